@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kvist.llm.encode import encode_column
 from kvist.llm.leak import leaked_passages
 from kvist.llm.lookalike import look_alike_cases, plain_corpus
+from kvist.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from kvist.llm.pii import personal_information, pseudonymised
 from kvist.llm.split import split_fields
 from kvist.plans.registry import Catalogue
@@ -34,6 +35,16 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+@CATALOGUE.query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_pairs(table(spark, folder, "tek17_chunks"))
+
+
+@CATALOGUE.query("p4_groups")
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, folder, "tek17_chunks"))
+
+
 @CATALOGUE.query("p5_found")
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return look_alike_cases(table(spark, folder, "tek17_dibk"), table(spark, folder, "tek17_eval_questions"))
