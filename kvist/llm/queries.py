@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kvist.llm.encode import encode_column
 from kvist.llm.leak import leaked_passages
 from kvist.llm.lookalike import look_alike_cases, plain_corpus
 from kvist.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from kvist.llm.pii import personal_information, pseudonymised
+from kvist.llm.similar import divisible_by_100, most_similar, similar_pairs
 from kvist.llm.split import split_fields
 from kvist.plans.registry import Catalogue
 from kvist.session import table
@@ -55,6 +57,16 @@ def p5_plain(spark: SparkSession, folder: str) -> DataFrame:
     return plain_corpus(table(spark, folder, "tek17_dibk"), table(spark, folder, "tek17_eval_questions"))
 
 
+@CATALOGUE.query("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs(table(spark, folder, "chroma_collection"), "id", "embedding")
+
+
+@CATALOGUE.query("p6_neighbours")
+def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return most_similar(table(spark, folder, "chroma_collection"), "id", "embedding", probes=0.4, asks=divisible_by_100(F.col("id")))
+
+
 @CATALOGUE.query("p7_ids")
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_column(table(spark, folder, "documents"), "doc_id", "text")
