@@ -144,7 +144,7 @@ def last_by_id(log: DataFrame, ident: str = "id", order: str = "_ord") -> DataFr
 
 def recall_at_k(log: DataFrame, run: str = "run") -> DataFrame:
     """(run, n, any_hit_recall, full_hit_recall) over questions with targets."""
-    with_targets = log.filter(F.size(T.section_set(F.col("target_sections"))) > 0)
+    with_targets = log.filter(F.size(F.coalesce("target_sections", F.array().cast("array<string>"))) > 0)
     return with_targets.groupBy(run).agg(F.count("*").alias("n"), F.avg(F.col("any_hit").cast("int")).alias("any_hit_recall"), F.avg(F.col("full_hit").cast("int")).alias("full_hit_recall"))
 
 
