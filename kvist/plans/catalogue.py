@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from kvist.plans import general
+from kvist.plans import corpus, general, ranking
 
-CATALOGUES = [general.CATALOGUE]
+CATALOGUES = [general.CATALOGUE, ranking.CATALOGUE, corpus.CATALOGUE]
