@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from kvist.plans import corpus, general, ranking
+from kvist.plans import corpus, general, ranking, scoring
 
-CATALOGUES = [general.CATALOGUE, ranking.CATALOGUE, corpus.CATALOGUE]
+CATALOGUES = [general.CATALOGUE, ranking.CATALOGUE, corpus.CATALOGUE, scoring.CATALOGUE]
