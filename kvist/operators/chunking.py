@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvist.functions.text import UNIT_START, strip, text
+from kvist.session import spread
 
 SIZE, OVERLAP = 800, 200
 #: Separators of oversized units, the strongest first.
@@ -26,6 +27,7 @@ def documents_of(provisions: DataFrame) -> DataFrame:
         F.concat(section, F.lit(" – "), title, F.lit(f"\n({label})\n\n"), strip(text(F.col(body)))).alias("text"),
     )
     both = F.array(doc("regulation", "Forskriftstekst", "reg_text"), doc("guidance", "Veiledning", "guidance_text"))
+    provisions = spread(provisions.select("_ord", "source", "section_id", "title", "chapter", "reg_text", "guidance_text"), "_ord")
     rows = provisions.select(F.col("_ord").alias("ord"), F.coalesce("source", F.lit("")).alias("source"), section.alias("section_id"), title.alias("title"), "chapter", F.explode(both).alias("d"))
     return rows.filter("d.body <> ''").select("ord", "source", "section_id", "title", "chapter", "d.text_type", "d.text")
 
@@ -43,13 +45,18 @@ def structural_units(body: Column) -> Column:
     functions within the row; no shuffle.
     """
     lines = F.filter(F.transform(F.split(text(body), r"\r\n|[\n\r]"), strip), lambda x: x != "")
+    return F.element_at(F.transform(F.array(lines), _units), 1)
+
+
+def _units(lines: Column) -> Column:
     joined = F.aggregate(
         lines, F.array().cast("array<string>"),
         lambda acc, x: F.when((F.size(acc) == 0) | x.rlike(UNIT_START), F.concat(acc, F.array(x))).otherwise(
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n"), x)))
         ),
     )
-    return F.when((F.size(lines) >= 8) & (F.size(joined) >= F.size(lines) - 1), F.array(F.array_join(lines, "\n"))).otherwise(joined)
+    one = lambda units: F.when((F.size(lines) >= 8) & (F.size(units) >= F.size(lines) - 1), F.array(F.array_join(lines, "\n"))).otherwise(units)
+    return F.element_at(F.transform(F.array(joined), one), 1)
 
 
 def split_large(body: str, limit: int, overlap: int, separators: list[str] = SEPARATORS) -> list[str]:

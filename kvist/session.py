@@ -40,6 +40,16 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Spread a scan over all cores where it has fewer partitions than these; larger scans stay as they are.
+
+    For costly work per row over few files: only plans without exchange, of selected columns, hashed by a unique key.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, *key) if held < cores else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df (files' sizes for scans)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
