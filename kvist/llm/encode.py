@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvist.session import spread
+
 #: The folder of the vocabulary files; a parameter everywhere below.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -210,4 +212,4 @@ def encode_column(df: DataFrame, id_column: str, text_column: str, vocabulary_na
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_column, "ids"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
+    return spread(df.select(F.col(id_column), F.col(text_column)), id_column).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")

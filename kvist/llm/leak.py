@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvist.session import union_all
+from kvist.session import spread, union_all
 
 #: Shortest tile in words; the run of words, and the share of a passage under tiles, that count as a leak.
 SEED, RUN, COVERAGE = 6, 12, 0.5
@@ -147,4 +147,4 @@ def _search(documents: DataFrame, own, run: int, coverage: float, seed: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "longest", "covered", "tiles", "coverage"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, item_id bigint, longest int, covered int, tiles int, coverage double")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(work, f"doc_id {kind}, item_id bigint, longest int, covered int, tiles int, coverage double")

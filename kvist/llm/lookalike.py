@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvist.functions.plain import DASHES, LOOKALIKES, blanks, ignorable, variants
-from kvist.session import union_all
+from kvist.session import spread, union_all
 
 #: Letters of the trigram model; with the word's border they bound its size to 30 ** 3.
 LETTERS = "abcdefghijklmnopqrstuvwxyzæøå"
@@ -36,7 +36,7 @@ _ACCENT = regex.compile(r"(?<=\p{L}\p{M}*)\p{M}")
 
 def trigram_counts(texts: DataFrame, column: str) -> dict[str, int]:
     """Counts of the letter trigrams of all words of all texts, with '^' for the border; at most 30 ** 3 entries."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(f"(?U)(?<![\\p{{L}}\\p{{M}}])[{LETTERS}]+(?![\\p{{L}}\\p{{M}}])"), F.lit(0))).alias("w"))
+    words = spread(texts.select("_ord", column), "_ord").select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(f"(?U)(?<![\\p{{L}}\\p{{M}}])[{LETTERS}]+(?![\\p{{L}}\\p{{M}}])"), F.lit(0))).alias("w"))
     words = words.filter(F.length("w") <= 64).groupBy("w").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit("^^"), F.col("w"), F.lit("^"))
     grams = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(3)))).alias("g"))
@@ -138,9 +138,7 @@ def values_of(df: DataFrame, table_name: str, field: str, identifier: bool, orde
 def look_alike_cases(provisions: DataFrame, questions: DataFrame) -> DataFrame:
     """(item_table, item_ord, item_field) of the values that are made of other characters than they look like."""
     cases = plain_values(_corpus_values(provisions, questions), trigram_counts(provisions, "reg_text"), cases_only=True)
-    single = cases.filter("item_field <> 'target_sections'").select("item_table", "item_ord", "item_field")
-    arrays = cases.filter("item_field = 'target_sections'").select("item_table", "item_ord", "item_field").distinct()
-    return single.unionByName(arrays)
+    return cases.select("item_table", "item_ord", "item_field").distinct()  # an array has several entries; cases are few
 
 
 def plain_corpus(provisions: DataFrame, questions: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvist.session import materialize
+from kvist.session import materialize, spread
 
 #: Words of a sequence, least words of a record, and the similarity as production parameters of the chunk table.
 SHINGLE, LEAST_WORDS, SIMILARITY = 3, 20, "0.6"
@@ -30,6 +30,7 @@ BLOCK, FOLLOW = 64, 0.1
 
 def shingle_sets(df: DataFrame, order: str, text: str, shingle: int = SHINGLE, least: int = LEAST_WORDS) -> DataFrame:
     """(ord, n, items): the distinct hashed word sequences of each record with at least ``least`` words."""
+    df = spread(df.select(order, text), order)
     words = df.select(F.col(order).cast("long").alias("ord"), F.regexp_extract_all(F.lower(text), F.lit("[0-9a-zæøå]+"), F.lit(0)).alias("w"))
     words = words.filter((F.size("w") >= max(least, shingle)) & F.col("ord").isNotNull())
     # The array is made once, before the lambda that reads it by position.

@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from kvist.session import spread
+
 #: The default key of the pseudonyms; a parameter, to be given by whoever publishes the text.
 KEY = b"kvist"
 
@@ -325,7 +327,7 @@ def personal_information(documents: DataFrame, names: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [batch.schema.field(0).type, pa.string(), pa.string()])], names=["doc_id", "kind", "found"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, kind string, found string")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, f"doc_id {kind}, kind string, found string")
 
 
 def pseudonymised(documents: DataFrame, names: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -344,4 +346,4 @@ def pseudonymised(documents: DataFrame, names: DataFrame, key: bytes = KEY) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "replaced"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, replaced int")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, f"doc_id {kind}, text string, replaced int")
