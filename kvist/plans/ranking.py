@@ -169,7 +169,7 @@ def context_assembly(spark, folder):
 got AS (SELECT qid, list(coalesce(c.metadata.section_id, '')) AS r FROM sparse JOIN tek17_chunks c ON ord = c._ord GROUP BY qid),
 x AS (SELECT coalesce(e.requires_qualification, false) AS need, {D.section_set('e.target_sections')} AS t, {D.section_set('g.r')} AS r FROM tek17_eval_questions e LEFT JOIN got g ON e._ord = g.qid WHERE e._ord % 100 = 0 AND len(e.target_sections) > 0),
 h AS (SELECT len(t) > 0 AND list_has_any(r, t) AS a, need, len(t) > 0 AND list_has_all(r, t) AS f FROM x)
-SELECT count(*) AS n, round(avg(a::INT), 6) AS any_hit_recall, round(avg((CASE WHEN need THEN a ELSE f END)::INT), 6) AS full_hit_recall FROM h""")
+SELECT count(*) AS n, round(avg(a::INT), 6) AS any_hit_recall, round(avg((CASE WHEN need THEN a ELSE f END)::INT), 6) AS full_hit_recall FROM h HAVING count(*) > 0""")
 def recall_at_k(spark, folder):
     from kvist.operators.answering import recall_log
     from kvist.operators.summaries import recall_at_k as recall
