@@ -26,6 +26,8 @@ SAMPLE = 40_000
 LISTS, MOST_LISTS = 2.0, 4096
 #: Subspaces and code words of the residuals; candidates kept per list, and per query for exact ranking.
 SUBSPACES, CODES, PER_LIST, RERANK = 8, 256, 64, 96
+#: Under a floor, candidates this far below it by their approximate cosine are dropped before exact ranking.
+MARGIN = 0.35
 #: Index rows of a part; a list with more is cut into salted parts.
 PART_ROWS = 8192
 K = 5
@@ -215,6 +217,12 @@ def _search(routed: DataFrame, index, k: int, floor: float) -> DataFrame:
                 score = np.repeat((qx[w] @ ix.centroids[l])[:, None], len(rows), 1)
                 for s in range(cut):
                     score += tables[s][w][:, c[:, s]]
+                if floor > -1:  # few candidates come near the floor; the far ones need no ranking
+                    at_q, at_x = np.nonzero(score >= floor - MARGIN)
+                    got_q.append(w[at_q])
+                    got_x.append(rows[at_x])
+                    got_s.append(score[at_q, at_x])
+                    continue
                 m = min(PER_LIST, len(rows))
                 best = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < len(rows) else np.tile(np.arange(m), (len(w), 1))
                 got_q.append(np.repeat(w, m))
