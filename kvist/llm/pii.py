@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -35,6 +36,7 @@ _SPOKEN_DOT = r"\s(?:dot|punkt|punktum)\s"
 _END = rf"(?!(?:{_FILE_ENDS})\b)\p{{L}}{{2,24}}(?![\p{{L}}\d@])"
 # Where an address may be: found first, as it is rare and cheap to look for.
 _MAIL_SIGN = regex.compile(rf"{_AT}|{_SPOKEN_AT}(?=[\p{{L}}\d-]+{_SPOKEN_DOT})", regex.IGNORECASE)
+_MAIL_HINTS = ("@", "krøll", "snabel", "(at", "[at", "{at", "<at", "( at", "[ at", "(æt", "[æt", " dot", " punkt", "\ndot", "\npunkt")
 _MAIL_BEFORE = regex.compile(rf"(?<![\p{{L}}\d_+%.@/-])(?:{_LOCAL}\s(?:dot|punkt)\s)?{_LOCAL}\Z", regex.IGNORECASE)
 _MAIL_AFTER = regex.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}{_END}", regex.IGNORECASE)
 
@@ -45,6 +47,8 @@ _PHONE = regex.compile(
     rf"(?<![\p{{L}}\d/.,+_=-])(?<!\d{_S})(?:(?P<home>\((?:\+|00)47\){_S}?|(?:\+|00)47{_S}?){_NATIONAL}"
     rf"|(?P<abroad>(?!\(?(?:\+|00)47){_PREFIX}\d(?:[ \u00a0\u202f-]?\d){{6,11}})|(?P<plain>{_NATIONAL}))(?![\d_/]|{_S}\d|[.,-]\d|\p{{L}})"
 )
+# Where a number long enough for a phone number may be; found first, as it is cheap to look for.
+_DIGITS = re.compile(r"[+(\d][\d \u00a0\u202f.()+-]{6,}\d")
 # Words before a bare number that make it a phone number, and those that make it something else.
 _CALLS = regex.compile(r"(?:tlf|telefon(?:nummer|nr)?|tel|mobil(?:nummer|nr)?|mob|ring(?:e|er)?|ringes|phone|call|cell|kontakt|contact|reach(?:ed)?|nås(?: på)?|sms|faks|fax|på|at|on|eller|or|til|to|nummer|number)[\s.:(/–-]*$", regex.IGNORECASE)
 _OTHERS = regex.compile(r"(?:sak(?:s?nr|snummer)?|case no|case|journal(?:post|nr)?|konto(?:nr|nummer)?|account(?: no)?|org\.? ?(?:nr|no)?|organi[sz]\w*|strekkode\w*|barcode|tegning\w*|drawing|prosjekt\w*|project\w*|ref|faktura\w*|invoice|artikkel\w*|article\w*|varenr|beløp\w*(?: er)?|amount(?: is)?|var|was|verdi\w*|value|id|nr|no|§|kr|nok|\$|€)[\s.:(#–-]*$", regex.IGNORECASE)
@@ -118,6 +122,8 @@ class Names:
             masked = "".join(parts) + text[at:]
         tokens = list(_TOKEN.finditer(masked))
         words = [t[0].lower() for t in tokens]
+        given, family, ends = self.given, self.family, self.ends
+        anchors = [k for k, w in enumerate(words) if w in given or w in family or len(w) == 1 or "-" in w or (len(w) > 5 and w.endswith(ends))] if ends else range(len(words))
         n, i = len(tokens), 0
 
         def gap(k: int) -> str:
@@ -130,7 +136,10 @@ class Names:
         def initial(k: int) -> bool:
             return len(words[k]) == 1 and bool(_INITIAL.match(gap(k)))
 
-        while i < n:
+        for anchor in anchors:
+            if anchor < i:
+                continue
+            i = anchor
             if self.is_given(words[i]):
                 j = i
                 while _GAP.match(gap(j)) and self.is_given(words[j + 1]):
@@ -173,8 +182,6 @@ class Names:
                         i = follows + 1
                         continue
                 i = j + 1
-                continue
-            i += 1
 
     @staticmethod
     def _free(text: str, at: int) -> bool:
@@ -184,7 +191,8 @@ class Names:
 
 
 def _mails(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in _MAIL_SIGN.finditer(text):
+    low_text = text.lower()
+    for m in _MAIL_SIGN.finditer(text) if any(h in low_text for h in _MAIL_HINTS) else ():
         low = max(0, m.start() - 130)
         before, after = _MAIL_BEFORE.search(text[low : m.start()]), _MAIL_AFTER.match(text, m.end())
         if before and after:
@@ -197,7 +205,7 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
     for m in _ID.finditer(text):
         if valid_id(*m.groups()):
             found.append((*m.span(), ID_NUMBER))
-    for m in _PHONE.finditer(text):
+    for m in (m for d in _DIGITS.finditer(text) for m in _PHONE.finditer(text, d.start(), min(len(text), d.end() + 3))):
         if m["plain"]:
             before = text[max(0, m.start() - 28) : m.start()]
             digits = m["plain"].isdigit()
