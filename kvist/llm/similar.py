@@ -150,20 +150,26 @@ def _route(reps: DataFrame, index, dim: int, probes: float) -> DataFrame:
             rows, lists, parts = rows[keep], lists[keep], parts[keep]
             starts = np.flatnonzero(np.concatenate([[True], (np.diff(rows) != 0) | (np.diff(parts) != 0)]))
             ends = np.append(starts[1:], len(rows))
-            row, part = rows[starts], parts[starts]
-            salts = ix.salts[lists[starts]]  # a part with several salts holds one list only
-            again = np.repeat(np.arange(len(row)), salts)
-            salt = np.arange(len(again)) - np.repeat(np.cumsum(salts) - salts, salts)
-            row, part, starts, ends, salts = row[again], part[again], starts[again], ends[again], salts[again]
-            at_home = (ix.part[home[row]] == part) & (no[row] % salts == salt)
-            use = at_home | asks[row]
-            row, part, starts, ends, salt, at_home = row[use], part[use], starts[use], ends[use], salt[use], at_home[use]
-            held = np.where(asks[row], ends - starts, 0)
+            row, part, size = rows[starts], parts[starts], ix.salts[lists[starts]].astype(np.int64)
+            at_home = ix.part[home[row]] == part
+            # A part of several salts holds one list: its index rows and its queries meet in a grid of salts.
+            plain, grid = np.flatnonzero((size == 1) & (at_home | asks[row])), size > 1
+            index_rows, query_rows = np.flatnonzero(grid & at_home), np.flatnonzero(grid & asks[row])
+            pick = np.concatenate([plain, np.repeat(index_rows, size[index_rows]), np.repeat(query_rows, size[query_rows])])
+            step = lambda k: np.arange(size[k].sum()) - np.repeat(np.cumsum(size[k]) - size[k], size[k])
+            own = lambda k, div: np.repeat(no[row[k]] // div(size[k]) % size[k], size[k])
+            zero = np.zeros(len(plain), np.int64)
+            salt_x = np.concatenate([zero, own(index_rows, lambda z: z * 0 + 1), step(query_rows)])
+            salt_q = np.concatenate([zero, step(index_rows), own(query_rows, lambda z: z)])
+            kind = np.concatenate([zero, np.ones(len(pick) - len(zero) - size[query_rows].sum(), np.int64), np.full(size[query_rows].sum(), 2)])
+            row, part, starts, ends, at_home = row[pick], part[pick], starts[pick], ends[pick], at_home[pick] & (kind != 2)
+            asking = asks[row] & (kind != 1)
+            held = np.where(asking, ends - starts, 0)
             offsets = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
             flat = lists[np.repeat(starts, held) + np.arange(offsets[-1]) - np.repeat(offsets[:-1], held)] if offsets[-1] else np.zeros(0, np.int32)
             width = pa.binary()
             yield pa.RecordBatch.from_arrays([
-                pa.array(part.astype(np.int64) * 65536 + salt), pa.array(no[row]), pa.array(np.where(at_home, home[row], -1).astype(np.int32)),
+                pa.array((part.astype(np.int64) << 40) + (salt_x << 20) + salt_q), pa.array(no[row]), pa.array(np.where(at_home, home[row], -1).astype(np.int32)),
                 pa.array([c.tobytes() for c in codes[row]], width), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))),
                 pa.array([v.tobytes() for v in x[row]], width),
             ], names=["part", "no", "home", "code", "lists", "x"])

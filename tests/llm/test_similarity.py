@@ -128,3 +128,16 @@ def test_divisible_by_100(spark):
     ids = [f"{n:024x}" for n in (0, 100, 12345600, 2**95 - 2**95 % 100, 1, 99, 2**95)]
     got = {r["id"] for r in spark.createDataFrame([(i,) for i in ids], "id string").filter(divisible_by_100(__import__("pyspark.sql.functions").sql.functions.col("id"))).collect()}
     assert got == {i for i in ids if int(i, 16) % 100 == 0}
+
+
+def test_heavy_lists_meet_in_a_grid(spark, monkeypatch):
+    import kvist.llm.similar as similar
+
+    monkeypatch.setattr(similar, "PART_ROWS", 40)
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=16)
+    rows = [(f"{i:04d}", list(map(float, centre + rng.normal(size=16) * 0.05))) for i in range(500)] + [(f"{i:04d}", list(map(float, rng.normal(size=16)))) for i in range(500, 700)]
+    top, _ = exact(rows)
+    got = most_similar(spark.createDataFrame(rows, "id string, embedding array<float>"), "id", "embedding", probes=1.0 - 1e-9).collect()
+    assert len({(r["id"], r["neighbour"]) for r in got}) == len(got) == 5 * len(rows)
+    assert sum(r["neighbour"] in top[r["id"]] for r in got) >= 0.97 * len(got)
