@@ -30,7 +30,7 @@ LOOKALIKES = {
 DASHES = "‐‑‒–—―−﹘﹣－⁃˗"
 
 # Compatibility tags of width and presentation variants; superscripts, subscripts and fractions are ordinary signs.
-VARIANT_TAGS = ("<wide>", "<narrow>", "<font>", "<small>", "<circle>", "<square>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>", "<noBreak>")
+VARIANT_TAGS = ("<wide>", "<narrow>", "<font>", "<small>", "<circle>", "<square>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>")
 
 
 @lru_cache(maxsize=1)
