@@ -68,14 +68,18 @@ def _pages(spark, folder):
     return rows.groupBy("root_print_url", "sha256").agg(F.concat(F.lit("<main class='print-document-content'>"), page, F.lit("</main>")).alias("content")).withColumn("path", F.concat_ws("#", "root_print_url", "sha256"))
 
 
-_HEAD = f"{D.strip('coalesce(section_id, chr(0)[1:0])')} || '. ' || {D.strip('coalesce(title, chr(0)[1:0])')}".replace("chr(0)[1:0]", "''")
-_NUMBER = r"'§[\s\p{Z}]*([0-9]{1,2}-[0-9]{1,2}[a-zA-Z]?)'"
+_ID_SQL = r"§[\s\p{Z}]*(\p{Nd}{1,2}-\p{Nd}{1,2}[a-zA-Z]?)"
 
 
-@CATALOGUE.query("html_provisions")
+@CATALOGUE.query("html_provisions", f"""
+WITH p AS (SELECT *, {D.strip("coalesce(section_id, '') || '. ' || coalesce(title, '')")} AS h, nullif({D.strip("coalesce(chapter, '')")}, '') AS ch FROM tek17_dibk),
+c AS (SELECT *, last_value(ch IGNORE NULLS) OVER (PARTITION BY root_print_url, sha256 ORDER BY _ord ROWS UNBOUNDED PRECEDING) AS carried, regexp_extract(h, '{_ID_SQL}', 1) AS num,
+    {D.clean('reg_text')} AS reg, {D.clean('guidance_text')} AS gui FROM p)
+SELECT concat_ws('#', root_print_url, sha256) AS path, carried AS chapter, '§ ' || num AS section_id, {D.strip(f"regexp_replace(h, '^{_ID_SQL}{D.WS}*[.–:-]?{D.WS}*', '')")} AS title,
+    reg AS reg_text, CASE WHEN gui <> '' THEN 'Veiledning' || chr(10) || gui ELSE '' END AS guidance_text FROM c WHERE starts_with(h, '§') AND num <> ''""")
 def html_provisions(spark, folder):
-    """Provisions parsed back from pages that are made of provisions; compared with them in the tests."""
-    return H.provisions_of(H.page_blocks(_pages(spark, folder)))
+    """Provisions parsed back from pages that are made of provisions."""
+    return H.provisions_of(H.page_blocks(_pages(spark, folder))).select("path", "chapter", "section_id", "title", "reg_text", "guidance_text")
 
 
 @CATALOGUE.query("chapter_carry_forward", """

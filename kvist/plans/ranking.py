@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from kvist.functions import text as T
 from kvist.operators import retrieval as R
 from kvist.plans import duck as D
 from kvist.plans.registry import Catalogue
-from kvist.session import table
+from kvist.session import shared_folder, table
 
 CATALOGUE = Catalogue()
 K = 6
@@ -68,6 +70,16 @@ def bm25_topk(spark, folder):
     return top.select("qid", "ord", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
 
 
+@CATALOGUE.query("bm25_index_topk", f"WITH {_bm25_sql(_QUESTIONS_SQL, _CHUNKS_SQL, K)} SELECT qid, ord, rank, round(score, 6) AS score FROM sparse")
+def bm25_index_topk(spark, folder):
+    """The same ranking from a written index."""
+    path = f"{shared_folder(spark)}/kvist-{uuid.uuid4().hex}"
+    R.write_index(table(spark, folder, "tek17_chunks"), path, "_ord", "text")
+    scored = R.index_scores(_questions(spark, folder), path, "_ord", "question")
+    top = R.best_first(scored.filter("score > 0"), K, F.col("score"), "ord")
+    return top.select("qid", "ord", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
 def _dense_sql(k: int) -> str:
     return f"""
 usable AS (SELECT id, embedding::DOUBLE[] AS v FROM chroma_collection WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda z: abs(z))) > 0),

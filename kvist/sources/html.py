@@ -22,8 +22,7 @@ BLOCKS = "pos int, kind string, block int, item int, text string"
 class _Blocks(HTMLParser):
     """Collects (pos, kind, block, item, text): the pieces of text that provisions are made of.
 
-    kind: chapter (header of a chapter block), heading, other (a section heading's sibling that isn't a
-    body), reg, label, guide. block: the number of the heading that a section follows, or of the chapter.
+    kind: chapter (header of a chapter block), heading, body (one begins), reg, label, guide. block: the number of the heading that a section follows, or of the chapter.
     """
 
     def __init__(self) -> None:
@@ -31,7 +30,8 @@ class _Blocks(HTMLParser):
         self.stack: list[tuple[str, frozenset[str], dict]] = []
         self.rows: list[tuple[int, str, int, int, str]] = []
         self.headings = self.items = self.chapters = 0
-        self.content = self.main = False
+        self.roots: dict[str, bool] = {}  # the kinds of document root that began
+        self.inside: list[frozenset[str]] = []  # of each row, the roots it lies in
         self.pending: dict[int, int] = {}  # depth of a heading's parent: the heading that waits for a body
         self.silent = 0
 
@@ -57,6 +57,7 @@ class _Blocks(HTMLParser):
             info["heading"] = self.pending[depth] = self.headings
         elif tag == "section" and "section-big" in classes and depth in self.pending:
             info["body"] = self.pending.pop(depth)
+            self._add("body", info["body"], "", self.stack)
         elif tag == "ul" and "guidance-text" in classes:
             info["guidance"] = True
         elif tag == "li" and "accordion-navigation" in classes:
@@ -68,8 +69,9 @@ class _Blocks(HTMLParser):
             info["content"] = True
         if tag in ("script", "style"):
             self.silent += 1
-        self.content |= "print-document-content" in classes
-        self.main |= tag == "main"
+        for root in (["content"] if "print-document-content" in classes else []) + (["main"] if tag == "main" else []):
+            if root not in self.roots:  # the first one counts
+                self.roots[root] = info[f"root-{root}"] = True
         self.stack.append((tag, classes, info))
 
     def _close(self, i: int) -> None:
@@ -85,6 +87,10 @@ class _Blocks(HTMLParser):
                 self._close(i)
                 break
 
+    def _add(self, kind: str, block: int, text: str, stack: list, item: int = 0) -> None:
+        self.rows.append((len(self.rows), kind, block, item, text))
+        self.inside.append(frozenset(r for r in ("content", "main") if any(f"root-{r}" in x for _, _, x in stack)))
+
     def handle_data(self, data):
         text = data.strip()
         if not text or self.silent:
@@ -92,7 +98,7 @@ class _Blocks(HTMLParser):
         info: dict = {}
         for _, _, x in self.stack:
             info |= x
-        add = lambda kind, block, item=0: self.rows.append((len(self.rows), kind, block, item, text))
+        add = lambda kind, block, item=0: self._add(kind, block, text, self.stack, item)
         if "block-header" in info and "chapter" in info and "body" not in info:
             add("chapter", info["chapter"])
         elif "heading" in info:
@@ -106,13 +112,17 @@ class _Blocks(HTMLParser):
 
 
 def html_blocks(html: str | bytes | None) -> list[tuple[int, str, int, int, str]]:
-    """The text blocks of a page, in order; see _Blocks. Unclosed tags are closed where their parent ends."""
+    """The text blocks of a page, in order; see _Blocks. Unclosed tags are closed where their parent ends.
+
+    Only the document root counts: the first print-document-content, else the first main, else the whole page.
+    """
     if not html:
         return []
     p = _Blocks()
     p.feed(html.decode("utf-8", "replace") if isinstance(html, bytes) else html)
     p.close()
-    return p.rows
+    root = next((r for r in ("content", "main") if r in p.roots), None)
+    return [row for row, inside in zip(p.rows, p.inside) if root is None or root in inside]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -148,9 +158,9 @@ def provisions_of(blocks: DataFrame, key: str = "path") -> DataFrame:
     )
     w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     carried = carried.withColumn("chapter", F.last("chapter", ignorenulls=True).over(w)).filter("heading IS NOT NULL")
-    number = F.regexp_extract("heading", r"§\s*(\d{1,2}-\d{1,2}[a-zA-Z]?)", 1)
+    number = F.regexp_extract("heading", r"(?U)§\s*(\d{1,2}-\d{1,2}[a-zA-Z]?)", 1)
     found = carried.filter(F.startswith("heading", F.lit("§")) & (number != ""))
-    found = found.withColumns({"section_id": F.concat(F.lit("§ "), number), "title": strip(F.regexp_replace("heading", r"^§\s*\d{1,2}-\d{1,2}[a-zA-Z]?\s*[.\-–:]?\s*", ""))})
+    found = found.withColumns({"section_id": F.concat(F.lit("§ "), number), "title": strip(F.regexp_replace("heading", r"(?U)^§\s*\d{1,2}-\d{1,2}[a-zA-Z]?\s*[.\-–:]?\s*", ""))})
     reg = blocks.filter("kind = 'reg'").groupBy(key, "block").agg(clean_text(joined("\n")).alias("reg_text"))
     items = blocks.filter("kind IN ('label', 'guide')").groupBy(key, "block", "item").agg(
         F.min("pos").alias("at"),
@@ -159,7 +169,8 @@ def provisions_of(blocks: DataFrame, key: str = "path") -> DataFrame:
     ).filter("body <> ''")
     part = F.concat(F.when(F.col("label") != "", F.col("label")).otherwise(F.lit("Veiledning")), F.lit("\n"), "body")
     guidance = items.groupBy(key, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("guidance_text"))
-    both = found.join(reg, [key, "block"], "left").join(guidance, [key, "block"], "left").filter("reg_text IS NOT NULL OR guidance_text IS NOT NULL")
+    bodies = blocks.filter("kind = 'body'").select(key, "block").distinct()
+    both = found.join(bodies, [key, "block"], "left_semi").join(reg, [key, "block"], "left").join(guidance, [key, "block"], "left")
     both = both.withColumns({"reg_text": F.coalesce("reg_text", F.lit("")), "guidance_text": F.coalesce("guidance_text", F.lit(""))})
     return both.select(key, "pos", "chapter", "section_id", "title", "reg_text", "guidance_text", full_text().alias("full_text"))
 

@@ -99,7 +99,12 @@ def test_html(spark):
         ("Kapittel 1 Felles", "§ 1-2", "Tittel & mer", "Første\nandre\nFørste", "Til ledd\nRåd\n\nVeiledning\nUten navn"),
         ("Kapittel 1 Felles", "§ 12-3a", "Med", "ja", ""), ("Kapittel 1 Felles", "§ 2-1", "Neste", "to", ""),
     ]
+    empty = provisions_of(page_blocks(spark.createDataFrame([("p", "<div class='print-chapter-content'><h2 class='big-header'>§ 1-1 A</h2><section class='section-big'></section></div>")], "path string, content string")))
+    assert [tuple(r)[3:] for r in empty.collect()] == [("§ 1-1", "A", "", "", "")]
     assert html_blocks(b"") == []
+    block = "<div class='print-chapter-content'><h2 class='big-header'>§ 1-1 A</h2><section class='section-big'>x</section></div>"
+    assert len(html_blocks(f"{block}<main>{block}</main>{block}")) == 3 and len(html_blocks(block * 2)) == 6
+    assert len(html_blocks(f"<main>{block}<div class='print-document-content'>{block}</div></main>")) == 3
 
 
 def test_documents_and_chunks(spark):
