@@ -15,7 +15,6 @@ from kvist.operators import summaries as S
 from kvist.operators.sweep import csv_list, grid, grid_table
 from kvist.plans import pipeline
 from kvist.schema import PROVISIONS, RUN_LOG
-from kvist.session import union_all
 from kvist.sources import manifest as M
 from kvist.sources.records import read_jsonl, tsv_report, write_csv, write_jsonl
 from kvist.sources.store import fingerprint, open_collection
@@ -90,9 +89,7 @@ def main(argv: list[str] | None = None) -> int:
         runs = grid(a.repeat, csv_list(a.prompt_version), csv_list(a.top_k, int), csv_list(a.retrieval_method), csv_list(a.hybrid_alpha, float), csv_list(a.temperature, float), csv_list(a.llm_model))
         print(tsv_report(grid_table(spark, runs)))
         if not a.dry_run:
-            keys = ("prompt_version", "top_k", "retrieval_method", "hybrid_alpha", "temperature")
-            parts = [pipeline.evaluate(spark, a.eval_file, a.chunks, a.store, settings(llm_model=r["model"], **{k: r[k] for k in keys})).withColumn("run", F.lit(r["run"])) for r in runs]
-            union_all(parts).write.partitionBy("run").mode("overwrite").json(a.out)
+            pipeline.evaluate(spark, a.eval_file, a.chunks, a.store, settings(), runs).write.partitionBy("run").mode("overwrite").json(a.out)
     elif a.command == "check-store":
         print(tsv_report(fingerprint(open_collection(spark, a.store))))
     return 0

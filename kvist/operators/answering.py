@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from kvist.config import Settings
 from kvist.functions.text import strip, text
 from kvist.operators.evaluation import clean_items, coverage, score_answers
-from kvist.operators.retrieval import QUALIFICATION_K, chapter_filter, effective_k, retrieve
+from kvist.operators.retrieval import CANDIDATES, QUALIFICATION_K, chapter_filter, effective_k, fuse, retrieve
+from kvist.operators.sweep import grid, grid_table
 from kvist.providers import chat, chat_column, embed_column, embedder
-from kvist.session import materialize
+from kvist.session import materialize, union_all
 
 _RULE = "Begynn svaret med KAN_IKKE_SVARE: og en kort grunn "
 #: Our own wording of the three strictnesses, and what is added where a question needs qualification.
@@ -40,37 +41,59 @@ def user_message(context: Column, question: Column, qualification: Column) -> Co
     return F.concat(F.lit("Kontekst:\n\n"), text(context), F.lit("\n\n---\n\n"), hint, F.lit("Spørsmål: "), question)
 
 
-def run_questions(questions: DataFrame, collection: DataFrame, chunks: DataFrame, cfg: Settings) -> DataFrame:
-    """The run log of all questions (id, question, target_sections, ...), as one batch.
+def run_sweep(questions: DataFrame, collection: DataFrame, chunks: DataFrame, runs: list[dict], cfg: Settings) -> DataFrame:
+    """The run logs of all questions under all runs of a grid, in one job, told apart by ``run``.
 
-    collection (key, embedding, document, metadata), chunks (key, ord, text). Items whose call fails are
+    collection (key, embedding, document, metadata), chunks (key, ord, text). Each side is ranked once, for
+    the largest k; runs differ by how far they read it and by how they weigh it. Items whose call fails are
     query_failed rows; blank questions are skipped. Answers are materialised before they are scored, so
     that no call is made twice.
     """
+    spark = questions.sparkSession
+    methods = {r["retrieval_method"] for r in runs}
     items = clean_items(questions).select("id", "question", "question_type", "should_refuse", "refusal_type", "requires_qualification", "qualification_reason", "target_sections")
-    items = items.withColumn("qid", F.col("id"))
-    asked = items if cfg.retrieval_method == "sparse" else embed_column(items, "question", embedder(cfg.embed_provider, cfg.embed_model, cfg.embed_base_url, cfg.api_key))
-    widest = max(cfg.top_k, QUALIFICATION_K)
-    ranked = retrieve(cfg.retrieval_method, widest, asked, collection, chunks, cfg.hybrid_alpha)
+    widest = max(*(r["top_k"] for r in runs), QUALIFICATION_K) * CANDIDATES
+    pairs = items.crossJoin(F.broadcast(grid_table(spark, runs))).withColumn("k", effective_k(F.col("top_k"), F.col("requires_qualification")))
+    sides, parts = {}, []
+    if methods != {"sparse"}:
+        asked = embed_column(items.select(F.col("id").alias("qid"), "question"), "question", embedder(cfg.embed_provider, cfg.embed_model, cfg.embed_base_url, cfg.api_key))
+        sides["dense"] = materialize(retrieve("dense", widest, asked, collection))
+    if methods != {"dense"}:
+        sides["sparse"] = materialize(retrieve("sparse", widest, items.select(F.col("id").alias("qid"), "question"), chunks=chunks, k1=cfg.bm25_k1, b=cfg.bm25_b))
+    asks = pairs.select("run", F.col("id").alias("qid"), "retrieval_method", "hybrid_alpha", "k")
+    for m in sorted(methods - {"hybrid"}):
+        near = asks.filter(F.col("retrieval_method") == m).join(sides[m], "qid").filter(F.col("rank") <= F.col("k"))
+        parts.append(near.select("run", F.col("qid").alias("id"), "key", "rank", "distance"))
+    if "hybrid" in methods:
+        both = asks.filter("retrieval_method = 'hybrid'")
+        wide = {n: both.join(d, "qid").filter(F.col("rank") <= F.col("k") * CANDIDATES).select(F.struct("run", "qid", "hybrid_alpha", "k").alias("qid"), "key", "distance") for n, d in sides.items()}
+        fused = fuse(wide["dense"], wide["sparse"], F.col("qid.k"), F.col("qid.hybrid_alpha"))
+        parts.append(fused.select("qid.run", F.col("qid.qid").alias("id"), "key", "rank", "distance"))
     facts = collection.select("key", F.col("document").alias("text"), "metadata")
-    near = ranked.join(facts, "key").join(items.select("qid", "requires_qualification", "target_sections"), "qid")
-    near = near.withColumn("section_id", F.col("metadata.section_id")).filter(F.col("rank") <= effective_k(cfg.top_k, F.col("requires_qualification")))
+    near = union_all(parts).join(facts, "key").join(items.select("id", "requires_qualification", "target_sections"), "id")
+    near = near.withColumns({"qid": F.struct("run", "id"), "section_id": F.col("metadata.section_id")})
     near = chapter_filter(near, "requires_qualification", "target_sections", "section_id")
     source = lambda f: F.coalesce(f"metadata.{f}", F.lit("")).alias(f)
     rows = F.array_sort(F.collect_list(F.struct("rank", *[source(f) for f in ("section_id", "title", "chapter", "text_type")], text(F.col("text")).alias("text"), "distance")))
-    context = near.groupBy("qid").agg(rows.alias("sources"))
-    ready = items.join(context, "qid", "left").withColumn("context", F.array_join(F.transform(F.coalesce("sources", F.array()), lambda s: s["text"]), "\n\n---\n\n"))
-    prompt = system_prompt(F.lit(cfg.prompt_version), F.col("requires_qualification"))
+    context = near.groupBy("run", "id").agg(rows.alias("sources"))
+    ready = pairs.drop("k").join(context, ["run", "id"], "left").withColumn("context", F.array_join(F.transform(F.coalesce("sources", F.array()), lambda s: s["text"]), "\n\n---\n\n"))
+    prompt = system_prompt(F.col("prompt_version"), F.col("requires_qualification"))
     ready = ready.withColumns({"_system": prompt, "_user": user_message(F.col("context"), F.col("question"), F.col("requires_qualification"))})
-    talk = chat(cfg.llm_provider, cfg.llm_model, cfg.llm_base_url, cfg.api_key, cfg.temperature, cfg.max_tokens)
-    answered = materialize(chat_column(ready, "_system", "_user", talk))
+
+    def talk(model: str, temperature: float):
+        return chat(cfg.llm_provider, model or cfg.llm_model, cfg.llm_base_url, cfg.api_key, temperature, cfg.max_tokens)
+
+    answered = materialize(chat_column(ready, "_system", "_user", talk, ("model", "temperature")))
     answered = answered.withColumn("retrieved_section_ids", F.transform(F.coalesce("sources", F.array().cast(answered.schema["sources"].dataType)), lambda s: s["section_id"]))
     scored = score_answers(coverage(answered), cfg.groundedness_threshold)
-    settings = {
-        "prompt_version": cfg.prompt_version, "mode": cfg.mode, "top_k": cfg.top_k, "retrieval_method": cfg.retrieval_method, "hybrid_alpha": cfg.hybrid_alpha,
-        "model": cfg.llm_model, "temperature": cfg.temperature, "embed_provider": cfg.embed_provider, "embed_model": cfg.embed_model,
-    }
-    return scored.withColumns({k: F.lit(v) for k, v in settings.items()} | {"system_prompt_sha256": prompt_fingerprint(F.col("_system"))}).drop("_system", "_user", "qid", "context")
+    more = {"mode": F.lit(cfg.mode), "embed_provider": F.lit(cfg.embed_provider), "embed_model": F.lit(cfg.embed_model), "system_prompt_sha256": prompt_fingerprint(F.col("_system"))}
+    return scored.withColumns(more).drop("_system", "_user", "context")
+
+
+def run_questions(questions: DataFrame, collection: DataFrame, chunks: DataFrame, cfg: Settings) -> DataFrame:
+    """The run log of all questions under one setting; see run_sweep."""
+    runs = grid(1, [cfg.prompt_version], [cfg.top_k], [cfg.retrieval_method], [cfg.hybrid_alpha], [cfg.temperature], [cfg.llm_model])
+    return run_sweep(questions, collection, chunks, runs, cfg).drop("run", "run_idx", "repeat")
 
 
 def ask(question: str, collection: DataFrame, chunks: DataFrame, cfg: Settings) -> dict:

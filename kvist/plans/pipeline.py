@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvist.config import Settings
-from kvist.operators.answering import run_questions
+from kvist.operators.answering import run_questions, run_sweep
 from kvist.operators.chunking import chunk_documents, documents_of
 from kvist.providers import embed_chunks, embedder
 from kvist.schema import CHUNKS, PROVISIONS, QUESTIONS
@@ -44,14 +44,15 @@ def ingest(spark: SparkSession, chunks: str, store: str, cfg: Settings) -> int:
     return refresh(embed_chunks(rows, embedder(cfg.embed_provider, cfg.embed_model, cfg.embed_base_url, cfg.api_key)), store)
 
 
-def evaluate(spark: SparkSession, questions: str, chunks: str, store: str, cfg: Settings) -> DataFrame:
-    """The run log of a question file; the sparse side reads the chunks, the dense side the collection."""
+def evaluate(spark: SparkSession, questions: str, chunks: str, store: str, cfg: Settings, runs: list[dict] | None = None) -> DataFrame:
+    """The run log of a question file, or those of a grid of runs; the sparse side reads the chunks, the dense side the collection."""
     from kvist.functions.text import fusion_key
 
     both = lambda df, body: df.withColumn("key", fusion_key(F.col(body), F.col("metadata")))
     collection = both(open_collection(spark, store), "document").dropDuplicates(["key"])
     rows = both(read_chunks(spark, chunks, CHUNKS), "text").withColumnRenamed("_ord", "ord")
-    return run_questions(read_jsonl(spark, questions, QUESTIONS), collection, rows.select("key", "ord", "text"), cfg)
+    asked, rows = read_jsonl(spark, questions, QUESTIONS), rows.select("key", "ord", "text")
+    return run_sweep(asked, collection, rows, runs, cfg) if runs else run_questions(asked, collection, rows, cfg)
 
 
 def build(spark: SparkSession, manifest: str, root: str, work: str, cfg: Settings) -> dict[str, int]:

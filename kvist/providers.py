@@ -115,15 +115,21 @@ def chat(provider: str, model: str = "", base_url: str = "", key: str = "", temp
     raise ValueError(f"unknown chat provider: {provider}")
 
 
-def chat_column(df: DataFrame, system: str, user: str, talk: Chat) -> DataFrame:
-    """Adds answer, llm_finish_reason, llm_usage and error; a call that fails gives its message, and the rest goes on."""
+def chat_column(df: DataFrame, system: str, user: str, talk: Callable, settings: tuple[str, ...] = ()) -> DataFrame:
+    """Adds answer, llm_finish_reason, llm_usage and error; a call that fails gives its message, and the rest goes on.
+
+    talk is a chat function; with settings it makes one of these columns' values, once for each combination.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chats: dict[tuple, Chat] = {}
         for batch in batches:
             rows = []
-            for s, u in zip(batch.column(system).to_pylist(), batch.column(user).to_pylist()):
+            for s, u, *values in zip(*(batch.column(c).to_pylist() for c in (system, user, *settings))):
                 try:
-                    r = talk([{"role": "system", "content": s or ""}, {"role": "user", "content": u or ""}])
+                    if settings and tuple(values) not in chats:
+                        chats[tuple(values)] = talk(*values)
+                    r = (chats[tuple(values)] if settings else talk)([{"role": "system", "content": s or ""}, {"role": "user", "content": u or ""}])
                     rows.append((str(r["content"]), r.get("finish_reason"), list((r.get("usage") or {}).items()), None))
                 except Exception as e:  # noqa: BLE001
                     rows.append((None, None, None, str(e) or type(e).__name__))
