@@ -29,13 +29,15 @@ BLOCK, FOLLOW = 64, 0.1
 
 
 def shingle_sets(df: DataFrame, order: str, text: str, shingle: int = SHINGLE, least: int = LEAST_WORDS) -> DataFrame:
-    """(ord, n, items): the distinct hashed word sequences of each record with at least ``least`` words."""
+    """(ord, n, items): the distinct hashed word sequences of each record; null where it has fewer than ``least`` words.
+
+    Short records are dropped after the sets are written: a filter here would make the words twice.
+    """
     df = spread(df.select(order, text), order)
     words = df.select(F.col(order).cast("long").alias("ord"), F.regexp_extract_all(F.lower(text), F.lit("[0-9a-zæøå]+"), F.lit(0)).alias("w"))
-    words = words.filter((F.size("w") >= max(least, shingle)) & F.col("ord").isNotNull())
     # The array is made once, before the lambda that reads it by position.
     items = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - shingle), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(shingle)]))))
-    return words.select("ord", items.alias("items")).select("ord", F.size("items").alias("n"), "items")
+    return words.select("ord", F.when(F.size("w") >= max(least, shingle), items).alias("items")).select("ord", F.size("items").alias("n"), "items")
 
 
 class SimilarityJoin:
@@ -46,7 +48,7 @@ class SimilarityJoin:
         if not 0 < t <= 1:
             raise ValueError("similarity must be over 0 and at most 1")
         self.num, self.den = t.numerator, t.denominator
-        keyed = materialize(sets.select("ord", "n", "items", F.xxhash64("items").alias("k1"), F.hash("items").alias("k2")))
+        keyed = materialize(sets.select("ord", "n", "items", F.xxhash64("items").alias("k1"), F.hash("items").alias("k2"))).filter("items IS NOT NULL AND ord IS NOT NULL")
         classes = keyed.groupBy("k1", "k2", "n").agg(F.min("ord").alias("rep"))
         #: (ord, rep): the least record with the same set.
         self.members = materialize(keyed.select("ord", "n", "k1", "k2").join(classes, ["k1", "k2", "n"]).select("ord", "rep"))
