@@ -25,8 +25,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzæøå"
 #: Log-probability of a letter of another alphabet, and of a change of script within a word.
 OTHER, CHANGE = math.log(1 / 48), math.log(1e-5)
 
-#: Values without any other character than these are plain already and stay in the JVM.
+#: Values without any other character than these are plain already and stay in the JVM; in an identifier an en dash isn't plain.
 ORDINARY = r"[^\x00-\x08\x0A-\x7FæøåÆØÅ§«»–•°²³éÉ]"
+ORDINARY_IDENTIFIER = ORDINARY.replace("–", "")
 
 _JOINED = regex.compile(r"(\p{Extended_Pictographic}(?:[️\U0001F3FB-\U0001F3FF]|‍(?=\p{Extended_Pictographic})|\p{Extended_Pictographic})*)")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -115,7 +116,8 @@ def plain_values(values: DataFrame, counts: dict[str, int], cases_only: bool) ->
     With cases_only just the values that held something not plain. Null values stay null and are no
     case. Values of ordinary characters only never leave the JVM if cases_only. No shuffle.
     """
-    rows = values.filter(F.col("value").rlike(ORDINARY)) if cases_only else values
+    odd = F.when(F.col("identifier"), F.col("value").rlike(ORDINARY_IDENTIFIER)).otherwise(F.col("value").rlike(ORDINARY))
+    rows = values.filter(odd) if cases_only else values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = Normalizer(counts)

@@ -1,6 +1,7 @@
 """Splitting, look-alikes, encoding, leaks and personal information: properties, brute force, edges."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kvist.llm.encode import TOKENIZERS, encode_column, vocabulary
 from kvist.llm.leak import Passages, leaked_passages, words
-from kvist.llm.lookalike import Normalizer, look_alike_cases, plain_corpus, trigram_counts
+from kvist.llm.lookalike import ORDINARY, ORDINARY_IDENTIFIER, Normalizer, look_alike_cases, plain_corpus, trigram_counts
 from kvist.llm.pii import Names, Pseudonyms, find, personal_information, pseudonymised, valid_id
 from kvist.llm.split import split, split_fields
 
@@ -83,6 +84,22 @@ def test_look_alike_tables(spark):
     assert counts == {"^^a": 2, "^av": 2, "av^": 2}
 
 
+def test_an_en_dash_alone_is_a_case_of_identifiers(spark):
+    p = spark.createDataFrame([(1, "§ 8–5", "1–2 m"), (2, "§ 8-5", "«krav» – 5 m²"), (3, "8−5", "−5")], "_ord bigint, section_id string, reg_text string")
+    q = spark.createDataFrame([(7, ["1-1", "16–3"]), (8, ["16-3", None])], "_ord bigint, target_sections array<string>")
+    got = look_alike_cases(p, q)
+    assert sorted(map(tuple, got.collect())) == [("tek17_dibk", 1, "section_id"), ("tek17_dibk", 3, "section_id"), ("tek17_eval_questions", 7, "target_sections")]
+    plain = plain_corpus(p, q).filter("is_case").select("item_table", "item_ord", "item_field").distinct()
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, got.collect()))
+
+
+@pytest.mark.parametrize("identifier,pattern", [(True, ORDINARY_IDENTIFIER), (False, ORDINARY)])
+def test_the_filter_drops_no_case(identifier, pattern):
+    n = Normalizer(COUNTS)
+    for ch in map(chr, (*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200))):
+        assert not n.plain(f"8{ch}5", identifier)[1] or re.search(pattern, ch), hex(ord(ch))
+
+
 # Encoding
 
 
