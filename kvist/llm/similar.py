@@ -1,10 +1,12 @@
 """The most similar vectors of every vector, by an inverted file with product-quantised residuals.
 
 Unit vectors are assigned to the lists of coarse centroids; what remains is quantised per subspace. A
-query probes its nearest lists: one table per query holds the products of its subvectors with all code
-words, so that a candidate's approximate cosine is the centroid's plus one look-up per subspace
-(asymmetric distances). The best are ranked again by their exact cosine. Lists that lie near each other
-form parts, so that a query travels once per part and not once per list.
+query without a floor probes its nearest lists: one table per query holds the products of its subvectors
+with all code words, so that a candidate's approximate cosine is the centroid's plus one look-up per
+subspace (asymmetric distances). What the quantiser's own error at a vector doesn't exclude is ranked by
+its exact cosine. Under a floor a query looks into every list that may hold a vector near enough, and
+there at every vector whose angle to the centroid allows it; nothing above the floor is missed. Lists that
+lie near each other form parts, so that a query travels once per part and not once per list.
 """
 
 from __future__ import annotations
@@ -24,27 +26,31 @@ from kvist.session import materialize
 SAMPLE = 40_000
 #: Lists per square root of the number of vectors, and at most.
 LISTS, MOST_LISTS = 2.0, 4096
-#: Subspaces and code words of the residuals; candidates kept per list, and per query for exact ranking.
-SUBSPACES, CODES, PER_LIST, RERANK = 8, 256, 64, 96
-#: Under a floor, candidates this far below it by their approximate cosine are dropped before exact ranking.
-MARGIN = 0.35
-#: Index rows of a part; a list with more is cut into salted parts.
-PART_ROWS = 8192
+#: Subspaces and code words of the residuals.
+SUBSPACES, CODES = 8, 256
+#: Index rows of a part; a list with more is cut into salted parts. Queries that meet a part in one group.
+PART_ROWS, QUERY_ROWS = 8192, 32_768
+#: Index rows of a part under a floor: queries travel to nearly all parts then, so that these are few and large.
+FLOOR_PART_ROWS = 65_536
+#: Queries that are compared with a list at once, and what rounding may change a cosine or an angle by.
+TOGETHER, ROUNDING = 512, 1e-3
 K = 5
 
 
 @dataclass
 class Index:
-    """Centroids (lists x dim), code words (subspaces x codes x dim / subspaces), each list's part and its salts."""
+    """Centroids (lists x dim), code words (subspaces x codes x dim / subspaces), each list's part and its salts; blocks of queries by part."""
 
     centroids: np.ndarray
     codes: np.ndarray
     part: np.ndarray
     salts: np.ndarray
+    blocks: np.ndarray | None = None
 
     @staticmethod
-    def fit(sample: np.ndarray, total: int, seed: int = 17) -> Index:
-        """Fit on a sample (rows of unit length) of ``total`` vectors."""
+    def fit(sample: np.ndarray, total: int, seed: int = 17, most: int | None = None) -> Index:
+        """Fit on a sample (rows of unit length) of ``total`` vectors; parts of ``most`` rows, PART_ROWS by default."""
+        most = most or PART_ROWS
         rng = np.random.default_rng(seed)
         lists = int(max(1, min(MOST_LISTS, LISTS * math.sqrt(total), len(sample) / 4)))
         centroids = _means(sample, lists, rng, 8, unit=True)
@@ -56,13 +62,13 @@ class Index:
         codes = [_means(few[:, s * width : (s + 1) * width], min(CODES, len(few)), rng, 6) for s in range(cut)]
         weight = np.bincount(home, minlength=lists) * (total / max(1, len(sample)))
         part, salts = np.zeros(lists, np.int32), np.ones(lists, np.int32)
-        heavy = np.flatnonzero(weight > PART_ROWS)
+        heavy = np.flatnonzero(weight > most)
         for k, h in enumerate(heavy):
-            part[h], salts[h] = k, math.ceil(weight[h] / PART_ROWS)
-        todo, after = [np.flatnonzero(weight <= PART_ROWS)], len(heavy)
+            part[h], salts[h] = k, math.ceil(weight[h] / most)
+        todo, after = [np.flatnonzero(weight <= most)], len(heavy)
         while todo:
             own = todo.pop()
-            if len(own) > 1 and weight[own].sum() > PART_ROWS:
+            if len(own) > 1 and weight[own].sum() > most:
                 c = centroids[own] - centroids[own].mean(0)
                 along = c @ np.linalg.svd(c, full_matrices=False)[2][0]
                 order = np.argsort(along, kind="stable")
@@ -74,6 +80,40 @@ class Index:
                 after += 1
         return Index(centroids, np.stack(codes).astype(np.float32), part, salts)
 
+    def reach(self, x: np.ndarray, probes: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(home, rows x lists): each row's list, and the lists that it has to look into as a query.
+
+        Under a positive floor: a vector y of another list h is nearer to that centroid than to home's, so
+        it lies beyond the plane between the two; y can't be within the floor's angle of x where x is
+        farther than its sine from the plane.
+        """
+        score = x @ self.centroids.T
+        home = np.argmax(score, 1).astype(np.int32)
+        if floor > -1:
+            if floor <= 0:
+                return home, np.ones(score.shape, bool)
+            square = (self.centroids**2).sum(1)
+            apart = np.sqrt(np.maximum(square[home][:, None] + square - 2 * (self.centroids @ self.centroids.T)[home], 0))
+            deep = score[np.arange(len(x)), home][:, None] - score
+            return home, deep <= apart * math.sqrt(max(0.0, 1 - floor * floor)) + ROUNDING
+        p = max(1, min(len(self.centroids), int(probes if probes >= 1 else math.ceil(probes * len(self.centroids)))))
+        near = np.zeros(score.shape, bool)
+        np.put_along_axis(near, np.argpartition(-score, p - 1, axis=1)[:, :p], True, 1)
+        return home, near
+
+    def lists_of(self) -> list[np.ndarray]:
+        """The lists of each part, in their order."""
+        order = np.argsort(self.part, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(self.part[order])) + 1)
+
+    def plan(self, sample: np.ndarray, asking: int, probes: float, floor: float) -> Index:
+        """Set the blocks that the queries of each part are cut into, by how many of a sample reach it."""
+        near = self.reach(sample[:2000], probes, floor)[1]
+        share = np.array([near[:, own].any(1).mean() for own in self.lists_of()])
+        salts = np.array([self.salts[own[0]] for own in self.lists_of()])
+        self.blocks = np.maximum(np.ceil(asking * share / QUERY_ROWS), salts).astype(np.int64)
+        return self
+
     def encode(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
         cut, _, width = self.codes.shape
         rest = x - self.centroids[home]
@@ -126,60 +166,61 @@ def _sample(reps: DataFrame, total: int, dim: int) -> np.ndarray:
     return _unit(np.concatenate(flat)) if flat else np.zeros((0, dim), np.float32)
 
 
-def _route(reps: DataFrame, index, dim: int, probes: float) -> DataFrame:
-    """(part, no, home, code, lists, x): index rows and the queries that each part must answer, one row for both."""
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _route(reps: DataFrame, index, dim: int, probes: float, floor: float) -> DataFrame:
+    """(part, no, home, code, lists, x): index rows and the queries that each part must answer; lists has a bit for each list of the part.
+
+    The index rows of a part meet its queries in a grid of salts by blocks. Where a part has one salt, a row
+    of it that is a query too travels as one for both to its own block.
+    """
 
     def run(batches):
         ix: Index = index.value
-        p = max(1, min(len(ix.centroids), int(probes if probes >= 1 else math.ceil(probes * len(ix.centroids)))))
+        lists_of = ix.lists_of()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            no, x = batch.column(0).to_numpy(), _unit(_matrix(batch.column(1), dim))
-            asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            score = x @ ix.centroids.T
-            near = np.argpartition(-score, p - 1, axis=1)[:, :p].astype(np.int32) if p < score.shape[1] else np.tile(np.arange(p, dtype=np.int32), (len(x), 1))
-            home = np.argmax(score, 1).astype(np.int32)
-            near = np.where(asks[:, None], near, home[:, None])
-            codes = ix.encode(x, home)
-            rows, lists = np.repeat(np.arange(len(x)), p), near.ravel()
-            parts = ix.part[lists]
-            order = np.lexsort((lists, parts, rows))
-            rows, lists, parts = rows[order], lists[order], parts[order]
-            keep = np.concatenate([[True], (np.diff(rows) != 0) | (np.diff(lists) != 0)])
-            rows, lists, parts = rows[keep], lists[keep], parts[keep]
-            starts = np.flatnonzero(np.concatenate([[True], (np.diff(rows) != 0) | (np.diff(parts) != 0)]))
-            ends = np.append(starts[1:], len(rows))
-            row, part, size = rows[starts], parts[starts], ix.salts[lists[starts]].astype(np.int64)
-            at_home = ix.part[home[row]] == part
-            # A part of several salts holds one list: its index rows and its queries meet in a grid of salts.
-            plain, grid = np.flatnonzero((size == 1) & (at_home | asks[row])), size > 1
-            index_rows, query_rows = np.flatnonzero(grid & at_home), np.flatnonzero(grid & asks[row])
-            pick = np.concatenate([plain, np.repeat(index_rows, size[index_rows]), np.repeat(query_rows, size[query_rows])])
-            step = lambda k: np.arange(size[k].sum()) - np.repeat(np.cumsum(size[k]) - size[k], size[k])
-            own = lambda k, div: np.repeat(no[row[k]] // div(size[k]) % size[k], size[k])
-            zero = np.zeros(len(plain), np.int64)
-            salt_x = np.concatenate([zero, own(index_rows, lambda z: z * 0 + 1), step(query_rows)])
-            salt_q = np.concatenate([zero, step(index_rows), own(query_rows, lambda z: z)])
-            kind = np.concatenate([zero, np.ones(len(pick) - len(zero) - size[query_rows].sum(), np.int64), np.full(size[query_rows].sum(), 2)])
-            row, part, starts, ends, at_home = row[pick], part[pick], starts[pick], ends[pick], at_home[pick] & (kind != 2)
-            asking = asks[row] & (kind != 1)
-            held = np.where(asking, ends - starts, 0)
-            offsets = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
-            flat = lists[np.repeat(starts, held) + np.arange(offsets[-1]) - np.repeat(offsets[:-1], held)] if offsets[-1] else np.zeros(0, np.int32)
-            width = pa.binary()
-            yield pa.RecordBatch.from_arrays([
-                pa.array((part.astype(np.int64) << 40) + (salt_x << 20) + salt_q), pa.array(no[row]), pa.array(np.where(at_home, home[row], -1).astype(np.int32)),
-                pa.array([c.tobytes() for c in codes[row]], width), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))),
-                pa.array([v.tobytes() for v in x[row]], width),
-            ], names=["part", "no", "home", "code", "lists", "x"])
-
-    return reps.select("no", "v", "asks").mapInArrow(run, "part bigint, no bigint, home int, code binary, lists array<int>, x binary")
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                no, x = some.column(0).to_numpy(), _unit(_matrix(some.column(1), dim))
+                home, near = ix.reach(x, probes, floor)
+                near &= some.column(2).to_numpy(zero_copy_only=False).astype(bool)[:, None]
+                codes, own = ix.encode(x, home), ix.part[home]
+
+                def rows(k, key, at_home, bits):
+                    home_or_none = np.where(at_home, home[k], -1).astype(np.int32)
+                    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(no[k]), pa.array(home_or_none), _binary(codes[k]), _binary(bits), _binary(x[k])], names=["part", "no", "home", "code", "lists", "x"])
+
+                for p, lists in enumerate(lists_of):
+                    asked, salts, blocks = near[:, lists], int(ix.salts[lists[0]]), int(ix.blocks[p])
+                    bits = np.packbits(asked, axis=1)
+                    asked, held = asked.any(1), own == p
+                    if salts == 1:
+                        for b in range(blocks):
+                            mine = asked & (no % blocks == b)
+                            k = np.flatnonzero(held | mine)
+                            if len(k):
+                                yield rows(k, np.full(len(k), (p << 40) + b, np.int64), held[k], np.where(mine[k, None], bits[k], 0).astype(np.uint8))
+                        continue
+                    k = np.flatnonzero(held)
+                    if len(k):
+                        for b in range(blocks):
+                            yield rows(k, (p << 40) + (no[k] % salts << 20) + b, held[k], np.zeros_like(bits[k]))
+                    k = np.flatnonzero(asked)
+                    if len(k):
+                        for c in range(salts):
+                            yield rows(k, (p << 40) + (c << 20) + no[k] // salts % blocks, np.zeros(len(k), bool), bits[k])
+
+    return reps.select("no", "v", "asks").mapInArrow(run, "part bigint, no bigint, home int, code binary, lists binary, x binary")
 
 
 def _search(routed: DataFrame, index, k: int, floor: float) -> DataFrame:
-    """(q, x, cosine): the best candidates of each query within each part."""
+    """(q, x, cosine): the k best candidates of each query within each part."""
     schema = pa.schema([("q", pa.int64()), ("x", pa.int64()), ("cosine", pa.float32())])
+    wide = math.acos(floor) + 5 * ROUNDING if floor > -1 else math.inf
 
     def run(t: pa.Table) -> pa.Table:
         ix: Index = index.value
@@ -188,70 +229,73 @@ def _search(routed: DataFrame, index, k: int, floor: float) -> DataFrame:
         no, home = t.column("no").to_numpy(), t.column("home").to_numpy()
         x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(len(no), -1)
         code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(no), cut)
-        own = np.flatnonzero(home >= 0)
-        own = own[np.argsort(home[own], kind="stable")]
-        low, high = (np.searchsorted(home[own], np.arange(len(ix.centroids)), s) for s in ("left", "right"))
-        held = t.column("lists").chunk(0) if t.num_rows and t.column("lists").num_chunks else pa.array([], pa.list_(pa.int32()))
-        sizes = np.diff(held.offsets.to_numpy()) if len(held) else np.zeros(0, np.int64)
-        flat, owner = held.flatten().to_numpy(), np.repeat(np.arange(len(no)), sizes)
-        # Queries that begin with the same list are answered together.
-        asking = np.flatnonzero(sizes > 0)
-        first = np.full(len(no), -1, np.int64)
-        first[owner[::-1]] = flat[::-1]
-        asking = asking[np.argsort(np.where(home[asking] >= 0, home[asking], first[asking]), kind="stable")]
-        place = np.full(len(no), -1, np.int64)
-        place[asking] = np.arange(len(asking))
-        order = np.lexsort((flat, place[owner]))
-        flat, owner = flat[order], place[owner][order]
-        qs, xs, cs = [], [], []
-        for a in range(0, len(asking), 1024):
-            ids = asking[a : a + 1024]
-            qx = x[ids]
-            tables = [qx[:, s * width : (s + 1) * width] @ ix.codes[s].T for s in range(cut)]
-            sel = slice(*np.searchsorted(owner, [a, a + len(ids)]))
-            lists, who = flat[sel], owner[sel] - a
-            by = np.argsort(lists, kind="stable")
-            lists, who = lists[by], who[by]
-            found, begin = np.unique(lists, return_index=True)
-            got_q, got_x, got_s = [], [], []
-            for l, b, e in zip(found.tolist(), begin.tolist(), np.append(begin[1:], len(lists)).tolist()):
-                rows = own[low[l] : high[l]]
-                if not len(rows):
-                    continue
-                w = who[b:e]
-                c = code[rows]
-                score = np.repeat((qx[w] @ ix.centroids[l])[:, None], len(rows), 1)
+        lists = ix.lists_of()[t.column("part")[0].as_py() >> 40]
+        bits = np.frombuffer(b"".join(t.column("lists").to_pylist()), np.uint8).reshape(len(no), -1)
+        own, asking = np.flatnonzero(home >= 0), np.flatnonzero(bits.any(1))
+        # The rows of a list in the order of their angle to its centroid.
+        angle = np.arccos(np.clip(np.einsum("ij,ij->i", x[own], ix.centroids[home[own]]), -1, 1))
+        order = np.lexsort((angle, home[own]))
+        own, angle = own[order], angle[order]
+        low, high = (np.searchsorted(home[own], lists, s) for s in ("left", "right"))
+        held, held_no, held_code = x[own], no[own], code[own]
+        # The quantiser's error of a row bounds how far its approximate cosine is off.
+        error = np.zeros(len(own), np.float32)
+        if floor <= -1:
+            coded = np.concatenate([ix.codes[s][held_code[:, s]] for s in range(cut)], 1)
+            error = np.linalg.norm(held - ix.centroids[home[own]] - coded, axis=1) + ROUNDING
+        best_s = np.full((len(asking), k), -np.inf, np.float32)
+        best_x = np.full((len(asking), k), -1, np.int64)
+
+        def exact(w: np.ndarray, first: int, last: int, tables: list[np.ndarray]) -> None:
+            """Rank rows first to last for the queries w, without those that can't come among the best."""
+            least = np.maximum(best_s[w, -1], np.float32(floor))
+            use = slice(first, last)
+            if tables and np.isfinite(best_s[w, -1]).all():
+                bound = (x[asking[w]] @ ix.centroids[home[own[first]]])[:, None] + error[use]
                 for s in range(cut):
-                    score += tables[s][w][:, c[:, s]]
-                if floor > -1:  # few candidates come near the floor; the far ones need no ranking
-                    at_q, at_x = np.nonzero(score >= floor - MARGIN)
-                    got_q.append(w[at_q])
-                    got_x.append(rows[at_x])
-                    got_s.append(score[at_q, at_x])
+                    bound += tables[s][:, held_code[use, s]]
+                at_q, at_x = np.nonzero(bound >= least[:, None])
+                value = np.einsum("ij,ij->i", x[asking[w[at_q]]], held[use][at_x])
+            else:
+                score = x[asking[w]] @ held[use].T
+                at_q, at_x = np.nonzero(score >= least[:, None])
+                value = score[at_q, at_x]
+            row = held_no[use][at_x]
+            other = row != no[asking[w[at_q]]]
+            at_q, value, row = w[at_q[other]], value[other], row[other]
+            if not len(at_q):
+                return
+            hit = np.unique(at_q)
+            q, v, r = np.concatenate([at_q, np.repeat(hit, k)]), np.concatenate([value, best_s[hit].ravel()]), np.concatenate([row, best_x[hit].ravel()])
+            by = np.lexsort((r, -v, q))
+            q, v, r = q[by], v[by], r[by]
+            rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
+            keep = rank < k
+            best_s[q[keep], rank[keep]], best_x[q[keep], rank[keep]] = v[keep], r[keep]
+
+        for a in range(0, len(asking), 8192):
+            some = asking[a : a + 8192]
+            asked = np.unpackbits(bits[some], axis=1)[:, : len(lists)].astype(bool)
+            tables = [x[some, s * width : (s + 1) * width] @ ix.codes[s].T for s in range(cut)] if floor <= -1 else []
+            for j in np.argsort(-asked.sum(0), kind="stable"):
+                if low[j] == high[j]:
                     continue
-                m = min(PER_LIST, len(rows))
-                best = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < len(rows) else np.tile(np.arange(m), (len(w), 1))
-                got_q.append(np.repeat(w, m))
-                got_x.append(rows[best.ravel()])
-                got_s.append(np.take_along_axis(score, best, 1).ravel())
-            if not got_q:
-                continue
-            gq, gx, gs = np.concatenate(got_q), np.concatenate(got_x), np.concatenate(got_s)
-            for score_of, most in ((lambda q, r, s: s, RERANK), (lambda q, r, s: np.einsum("ij,ij->i", qx[q], x[r]), k)):
-                gs = score_of(gq, gx, gs)
-                if most == k:
-                    use = (gs >= floor) & (no[gx] != no[ids[gq]])
-                    gq, gx, gs = gq[use], gx[use], gs[use]
-                by = np.lexsort((gx, -gs, gq))
-                gq, gx, gs = gq[by], gx[by], gs[by]
-                start = np.searchsorted(gq, gq, "left")
-                use = np.arange(len(gq)) - start < most
-                gq, gx, gs = gq[use], gx[use], gs[use]
-            qs.append(no[ids[gq]])
-            xs.append(no[gx])
-            cs.append(gs)
-        cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        return pa.table([cat(qs, np.int64), cat(xs, np.int64), cat(cs, np.float32)], schema=schema)
+                w = np.flatnonzero(asked[:, j])
+                to = np.arccos(np.clip(x[some[w]] @ ix.centroids[lists[j]], -1, 1))
+                by = np.argsort(to, kind="stable")
+                w, to = a + w[by], to[by]
+                for b in range(0, len(w), TOGETHER):
+                    q = w[b : b + TOGETHER]
+                    first, last = low[j], high[j]
+                    if floor > -1:  # no row within the floor's angle of a query differs more from it in its angle to the centroid
+                        ends = to[b] - wide, to[min(b + TOGETHER, len(w)) - 1] + wide
+                        first, last = low[j] + np.searchsorted(angle[low[j] : high[j]], ends[0], "left"), low[j] + np.searchsorted(angle[low[j] : high[j]], ends[1], "right")
+                    if first == last:
+                        continue
+                    for c in range(first, last, PART_ROWS):
+                        exact(q, c, min(last, c + PART_ROWS), [m[q - a] for m in tables])
+        at_q, at_k = np.nonzero(np.isfinite(best_s))
+        return pa.table([no[asking[at_q]], best_x[at_q, at_k], best_s[at_q, at_k]], schema=schema)
 
     return routed.groupBy("part").applyInArrow(run, "q bigint, x bigint, cosine float")
 
@@ -259,12 +303,13 @@ def _search(routed: DataFrame, index, k: int, floor: float) -> DataFrame:
 def most_similar(df: DataFrame, ident: str, vector: str, k: int = K, probes: float = 12, floor: float = -2.0, asks: Column | None = None, dim: int | None = None) -> DataFrame:
     """(id, neighbour, rank, cosine): for each id the k other rows with the most similar vectors among those found.
 
-    probes: lists that a query looks into (under 1: share of all lists). floor: cosines below it are not
-    reported (ranks are among all, as a higher cosine ranks before). asks: which rows are queries, null
+    probes: lists that a query looks into (under 1: share of all lists) where no floor is given. floor:
+    cosines below it are not reported (ranks are among all, as a higher cosine ranks before), and all
+    lists that may hold one above it are looked into. asks: which rows are queries, null
     counts as no; all by default. Null, zero and non-finite vectors and other lengths than the most
     frequent take no part; ids must be unique. Exact copies are searched once: a copy's neighbours are
-    its first k other copies by id, then those of its class. Ties go by id. Approximate: a neighbour in
-    a list that isn't probed is missed. The index is fitted on at most SAMPLE vectors, every one is in it.
+    its first k other copies by id, then those of its class. Ties go by id. Without a floor approximate: a
+    neighbour in a list that isn't probed is missed. The index is fitted on at most SAMPLE vectors, every one is in it.
     """
     spark = df.sparkSession
     vectors, dim = usable_vectors(df, ident, vector, dim)
@@ -272,7 +317,7 @@ def most_similar(df: DataFrame, ident: str, vector: str, k: int = K, probes: flo
     kind = vectors.schema["id"].dataType
     members = vectors.select("id", "no", "k1", "k2", (F.coalesce(asks, F.lit(False)) if asks is not None else F.lit(True)).alias("asks"))
     members = materialize(members.join(classes, ["k1", "k2"]).select("id", "no", "rep", "copies", "asks"))
-    counts = members.filter("no = rep").agg(F.count("*").alias("n"), F.max("copies").alias("c")).first()
+    counts = members.agg(F.count_if(F.col("no") == F.col("rep")).alias("n"), F.max("copies").alias("c"), F.count_if("asks").alias("asking")).first()
     total, copied = counts["n"], (counts["c"] or 0) > 1
     if not total:
         return spark.createDataFrame([], f"id {kind.simpleString()}, neighbour {kind.simpleString()}, rank int, cosine float")
@@ -281,8 +326,9 @@ def most_similar(df: DataFrame, ident: str, vector: str, k: int = K, probes: flo
         reps = vectors.select("no", "v").join(wanted.withColumnRenamed("rep", "no"), "no")
     else:
         reps = vectors.select("no", "v").join(members.select("no", "asks"), "no") if asks is not None else vectors.select("no", "v", F.lit(True).alias("asks"))
-    index = spark.sparkContext.broadcast(Index.fit(_sample(reps, total, dim), total))
-    found = _search(_route(reps, index, dim, probes), index, k, floor)
+    sample = _sample(reps, total, dim)
+    index = spark.sparkContext.broadcast(Index.fit(sample, total, most=FLOOR_PART_ROWS if floor > -1 else None).plan(sample, min(total, counts["asking"]), probes, floor))
+    found = _search(_route(reps, index, dim, probes, floor), index, k, floor)
     if copied:
         first = W.partitionBy("rep").orderBy("id")
         some = members.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= k + 1).select(F.col("rep").alias("x"), F.col("id").alias("neighbour"))
@@ -301,7 +347,7 @@ def divisible_by_100(hex_id: Column) -> Column:
     return (half(1) * (2**48 % 100) + half(13)) % 100 == 0
 
 
-def similar_pairs(df: DataFrame, ident: str, vector: str, cosine: float = 0.9, k: int = K, probes: float = 12) -> DataFrame:
+def similar_pairs(df: DataFrame, ident: str, vector: str, cosine: float = 0.9, k: int = K) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs with at least this cosine of which one is among the k most similar of the other."""
-    near = most_similar(df, ident, vector, k, probes, floor=cosine)
+    near = most_similar(df, ident, vector, k, floor=cosine)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

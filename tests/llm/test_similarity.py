@@ -141,3 +141,21 @@ def test_heavy_lists_meet_in_a_grid(spark, monkeypatch):
     got = most_similar(spark.createDataFrame(rows, "id string, embedding array<float>"), "id", "embedding", probes=1.0 - 1e-9).collect()
     assert len({(r["id"], r["neighbour"]) for r in got}) == len(got) == 5 * len(rows)
     assert sum(r["neighbour"] in top[r["id"]] for r in got) >= 0.97 * len(got)
+
+
+@pytest.mark.parametrize("query_rows", [65_536, 500])
+def test_a_third_in_one_near_group(spark, monkeypatch, query_rows):
+    import kvist.llm.similar as similar
+
+    monkeypatch.setattr(similar, "QUERY_ROWS", query_rows)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(6000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[:2000] = v[0] + rng.normal(size=(2000, 64)) * ((1 / 0.93 - 1) / 64) ** 0.5
+    rows = [(f"{i:05d}", list(map(float, x))) for i, x in enumerate(v)]
+    top, pairs = exact(rows)
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    assert {tuple(r) for r in similar_pairs(df, "id", "embedding").collect()} == pairs
+    if query_rows == 500:
+        near = most_similar(df, "id", "embedding", probes=10**6).collect()
+        assert len(near) == 5 * len(rows) and all(r["neighbour"] in top[r["id"]] for r in near)
