@@ -27,7 +27,8 @@ EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = "email", "phone", "id_number", "address
 
 # Ends of file names, which make a@b.png no address.
 _FILE_ENDS = "png|jpe?g|gif|svg|webp|bmp|tiff?|pdf|docx?|xlsx?|pptx?|txt|csv|zip|html?|xml|json|dwg|ifc|css|js|py|md|log|bak|tmp|exe"
-_AT = r"(?:@|\s?[(\[{<]\s?(?:at|krøllalfa|alfakrøll|snabel-?a|æt)\s?[)\]}>]\s?)"
+_BRACKETED = r"[(\[{<]\s?(?:at|krøllalfa|alfakrøll|snabel-?a|æt)\s?[)\]}>]"
+_AT = rf"(?:@|\s?{_BRACKETED}\s?)"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|punkt|punktum|prikk)\s?[)\]}]\s?|\s(?:dot|punkt|punktum)\s)"
 _LABEL = r"[\p{L}\d](?:[\p{L}\d-]{0,61}[\p{L}\d])?"
 _LOCAL = rf"[\p{{L}}\d_+%](?:[\p{{L}}\d_+%.'-]{{0,62}}[\p{{L}}\d_+%-])?"
@@ -36,7 +37,8 @@ _SPOKEN_DOT = r"\s(?:dot|punkt|punktum)\s"
 _END = rf"(?!(?:{_FILE_ENDS})\b)\p{{L}}{{2,24}}(?![\p{{L}}\d@])"
 # Where an address may be: found first, as it is rare and cheap to look for.
 _MAIL_SIGN = regex.compile(rf"{_AT}|{_SPOKEN_AT}(?=[\p{{L}}\d-]+{_SPOKEN_DOT})", regex.IGNORECASE)
-_MAIL_HINTS = ("@", "krøll", "snabel", "(at", "[at", "{at", "<at", "( at", "[ at", "(æt", "[æt", " dot", " punkt", "\ndot", "\npunkt")
+# What each branch of the sign can't do without; cheaper to look for, as none begins with something optional.
+_MAIL_HINTS = (regex.compile(_BRACKETED, regex.IGNORECASE), regex.compile(_SPOKEN_DOT, regex.IGNORECASE))
 _MAIL_BEFORE = regex.compile(rf"(?<![\p{{L}}\d_+%.@/-])(?:{_LOCAL}\s(?:dot|punkt)\s)?{_LOCAL}\Z", regex.IGNORECASE)
 _MAIL_AFTER = regex.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}{_END}", regex.IGNORECASE)
 
@@ -191,8 +193,7 @@ class Names:
 
 
 def _mails(text: str) -> Iterator[tuple[int, int, str]]:
-    low_text = text.lower()
-    for m in _MAIL_SIGN.finditer(text) if any(h in low_text for h in _MAIL_HINTS) else ():
+    for m in _MAIL_SIGN.finditer(text) if "@" in text or any(h.search(text) for h in _MAIL_HINTS) else ():
         low = max(0, m.start() - 130)
         before, after = _MAIL_BEFORE.search(text[low : m.start()]), _MAIL_AFTER.match(text, m.end())
         if before and after:

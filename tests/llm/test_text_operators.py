@@ -187,6 +187,13 @@ def test_found(text, kind, found):
     assert [(text[s:e], k) for s, e, k in find(text, NAMES)] == [(found, kind)]
 
 
+@pytest.mark.parametrize("sign", [f"{b}{s}{w}{s}{e}" for b, e in ("()", "[]", "{}", "<>") for s in ("", " ", "\u00a0", "\n") for w in ("at", "æt", "KRØLLALFA", "alfakrøll", "snabel-a", "snabela")] + [f"{s}{w}{s}" for s in (" ", "\t", "\u00a0", "\n") for w in ("at", "krøllalfa", "alfakrøll", "snabela")])
+def test_written_out_signs(sign):
+    dot = f"{sign[-1]}dot{sign[-1]}" if sign[0].isspace() else "."
+    mail = f"ola{sign}firma{dot}example"
+    assert [(mail, "email")] == [(f"skriv til {mail}"[s:e], k) for s, e, k in find(f"skriv til {mail}", NAMES)]
+
+
 @pytest.mark.parametrize("text", [
     "fil plan3@2x.png og pris@enhet og @tilsyn", "Saksnr. 20177825 er avsluttet, beløp 36 742 048 kroner", "Org.nr. 993 526 722, konto 7050.81.86807, datert 15.03.2019", "Riksvei 15 og Fylkesvei 515 og County Road 585",
     "Nordbakkmo kommune, Nordbakkmo-metoden, Marit alene", "over 27 °C. Nordbakkmo kommune har", "tallet 12345678901 her", "", "rom 15B, rev. 12, tegning 869171-16",
