@@ -153,6 +153,12 @@ def store_fingerprint(spark, folder):
     return S.fingerprint(table(spark, folder, "tek17_eval_questions").select("id", "question_type"))
 
 
+@CATALOGUE.query("collection_fingerprint")
+def collection_fingerprint(spark, folder):
+    """The vector collection's fingerprint over all its columns; DuckDB doesn't render arrays of floats and structs alike."""
+    return S.fingerprint(table(spark, folder, "chroma_collection"))
+
+
 @CATALOGUE.query("section_dedupe", f"""SELECT section_id, min(_ord) AS _ord FROM (SELECT _ord, {D.strip("coalesce(section_id, '')")} AS section_id, {D.strip("coalesce(title, '')")} AS title FROM tek17_dibk) WHERE section_id <> '' AND title <> '' GROUP BY section_id""")
 def section_dedupe(spark, folder):
     return Q.sections(table(spark, folder, "tek17_dibk")).select("section_id", "_ord")

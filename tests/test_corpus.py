@@ -137,3 +137,20 @@ def test_packing_independent_of_partitions(spark):
     p = spark.read.parquet("/root/testdata/sf0.001/tek17_dibk.parquet")
     runs = [sorted(map(str, chunk_documents(documents_of(p.repartition(n))).collect())) for n in (1, 8)]
     assert runs[0] == runs[1] and json.dumps(runs[0][0])
+
+
+def test_collection_fingerprint_sees_every_column(spark, tmp_path):
+    from kvist.plans.corpus import CATALOGUE
+
+    df = spark.read.parquet("/root/testdata/sf0.001/chroma_collection.parquet")
+    one = F.col("id") == df.agg(F.max("id")).first()[0]
+    changed = {
+        "same": F.col("id"), "id": F.when(one, F.lit("x")).otherwise(F.col("id")), "embedding": F.when(one, F.array_append("embedding", F.lit(0.5).cast("float"))).otherwise(F.col("embedding")),
+        "document": F.when(one, F.concat(F.coalesce("document", F.lit("")), F.lit("."))).otherwise(F.col("document")), "metadata": F.when(one, F.col("metadata").withField("para_end", F.lit(-1))).otherwise(F.col("metadata")),
+    }
+    found = {}
+    for name, column in changed.items():
+        df.withColumn("id" if name == "same" else name, column).repartition(3).write.parquet(f"{tmp_path}/{name}/chroma_collection.parquet")
+        found[name] = tuple(CATALOGUE.queries["collection_fingerprint"](spark, f"{tmp_path}/{name}").first())
+    assert {n for n, _ in found.values()} == {df.count()} and len({h for _, h in found.values()}) == len(changed)
+    assert found["same"] == tuple(CATALOGUE.queries["collection_fingerprint"](spark, "/root/testdata/sf0.001").first())
