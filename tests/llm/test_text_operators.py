@@ -93,6 +93,12 @@ def test_an_en_dash_alone_is_a_case_of_identifiers(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, got.collect()))
 
 
+def test_long_words_are_counted(spark):
+    word = "ab" * 50_000
+    counts = trigram_counts(spark.createDataFrame([(1, f"{word} av"), (2, "")], "_ord int, t string"), "t")
+    assert counts == {"^^a": 2, "^ab": 1, "aba": 49_999, "bab": 49_999, "ab^": 1, "^av": 1, "av^": 1}
+
+
 @pytest.mark.parametrize("identifier,pattern", [(True, ORDINARY_IDENTIFIER), (False, ORDINARY)])
 def test_the_filter_drops_no_case(identifier, pattern):
     n = Normalizer(COUNTS)
