@@ -4,6 +4,8 @@ Compatibility normalisation and the deletion of what isn't seen come first. Lett
 Latin one are then decided word by word: each such letter has two readings, a Viterbi search takes the
 best path through the word's lattice under a character trigram model of the corpus' own Latin words,
 with a price for each change of script, so that words wholly in another alphabet stay as they are.
+In an identifier dashes are hyphens besides, and the letter of a section number is read by table alone:
+it is one letter, where no word tells its alphabet.
 """
 
 from __future__ import annotations
@@ -56,6 +58,7 @@ class Normalizer:
             self.pairs[g[:2]] = self.pairs.get(g[:2], 0) + n
         self.table = str.maketrans(variants() | dict.fromkeys(ignorable()) | dict.fromkeys(blanks() + "\t", " "))
         self.special = frozenset(map(chr, self.table))
+        self.dashes = str.maketrans(dict.fromkeys(DASHES, "-"))
         self.identifier = str.maketrans(dict.fromkeys(DASHES, "-") | LOOKALIKES)
         self.known: dict[str, str] = {}
 
@@ -92,6 +95,12 @@ class Normalizer:
             self.known[word] = best
         return best
 
+    def words(self, text: str) -> str:
+        """The text with the best reading of each word that holds a look-alike letter."""
+        if _LOOKALIKE.isdisjoint(text):
+            return text
+        return _WORD.sub(lambda m: m[0] if _LOOKALIKE.isdisjoint(m[0]) else self.word(m[0]), text)
+
     def plain(self, text: str, identifier: bool) -> tuple[str, bool]:
         """(plain form, whether the value held a character that isn't plain)."""
         clear = text
@@ -104,10 +113,11 @@ class Normalizer:
         if identifier:
             plain = out.translate(self.identifier)
             m = regex.fullmatch(r"\s*(?:§\s*)*(\d{1,2})\s*-\s*(\d{1,2})\s*([a-zA-Z]?)\s*", plain)
-            return (f"§ {m[1]}-{m[2]}{m[3]}" if m else " ".join(plain.split())), case or plain != out
-        plain = out
-        if not _LOOKALIKE.isdisjoint(out):
-            plain = _WORD.sub(lambda m: m[0] if _LOOKALIKE.isdisjoint(m[0]) else self.word(m[0]), out)
+            if m:
+                return f"§ {m[1]}-{m[2]}{m[3]}", case or plain != out
+            plain = self.words(out.translate(self.dashes))
+            return " ".join(plain.split()), case or plain != out
+        plain = self.words(out)
         return plain.replace("\r\n", "\n").replace("\r", "\n").strip(), case or plain != out
 
 

@@ -73,6 +73,11 @@ def test_plain_identifier(text, plain, case):
     assert Normalizer({}).plain(text, True) == (plain, case)
 
 
+@pytest.mark.parametrize("text,plain,case", [("стена", "стена", False), ("ο ρ σύστημα 1–2", "o ρ σύστημα 1-2", True), ("krаv 3", "krav 3", True), ("§ 8-5 а", "§ 8-5a", True), ("8-5α", "§ 8-5a", True), ("νερό", "νερό", False)])
+def test_words_of_identifiers(text, plain, case):
+    assert Normalizer(COUNTS | {"^o^": 1}).plain(text, True) == (plain, case)
+
+
 def test_look_alike_tables(spark):
     p = spark.createDataFrame([(1, "§ 1-1", "krav"), (2, None, None), (3, "§ 1-1", "kr­av"), (3, "§ 1-1", "kr­av")], "_ord bigint, section_id string, reg_text string").withColumn("value", F.lit(1))
     q = spark.createDataFrame([(7, ["1-1", None, "1–1", "1‑2"]), (8, None), (9, [])], "_ord bigint, target_sections array<string>")
