@@ -58,6 +58,16 @@ def question_types(spark, folder):
     return table(spark, folder, "tek17_eval_questions").select("_ord", T.question_type(stated, F.col("should_refuse"), F.col("target_sections"), F.col("id")).alias("kind"))
 
 
+_TOLD = f"CASE WHEN {_SHOULD} THEN 'refusal' WHEN coalesce(len(target_sections), 0) >= 2 OR coalesce(contains(id, '_multi_'), false) THEN 'in_scope_multi' ELSE 'in_scope_single' END"
+
+
+@CATALOGUE.query("question_types_all", f"SELECT _ord, CASE WHEN {D.strip('question_type')} <> '' THEN {D.strip('question_type')} ELSE {_TOLD} END AS kind, {_TOLD} AS told FROM tek17_eval_questions")
+def question_types_all(spark, folder):
+    """The type of each question, and the type told from its other fields alone, for all questions."""
+    of = lambda stated: T.question_type(stated, F.col("should_refuse"), F.col("target_sections"), F.col("id"))
+    return table(spark, folder, "tek17_eval_questions").select("_ord", of(F.col("question_type")).alias("kind"), of(F.lit(None).cast("string")).alias("told"))
+
+
 _T, _G = D.section_set("target_sections"), D.section_set("retrieved_section_ids")
 _COVER = f"""cov AS (SELECT *, {_T} AS t, {_G} AS g, coalesce(requires_qualification, false) AS need FROM runs),
 hits AS (SELECT *, len(t) > 0 AND list_has_any(t, g) AS a_hit, CASE WHEN need THEN len(t) > 0 AND list_has_any(t, g) ELSE len(t) > 0 AND list_has_all(g, t) END AS f_hit FROM cov),

@@ -154,3 +154,12 @@ def test_collection_fingerprint_sees_every_column(spark, tmp_path):
         found[name] = tuple(CATALOGUE.queries["collection_fingerprint"](spark, f"{tmp_path}/{name}").first())
     assert {n for n, _ in found.values()} == {df.count()} and len({h for _, h in found.values()}) == len(changed)
     assert found["same"] == tuple(CATALOGUE.queries["collection_fingerprint"](spark, "/root/testdata/sf0.001").first())
+
+
+def test_question_types_of_all_rows(spark, tmp_path):
+    from kvist.plans.scoring import CATALOGUE
+
+    rows = [(1, "a", " refusal ", False, ["1-1"]), (2, "b", "refusal", False, ["1-1"]), (3, "c_multi_1", "in_scope_single", None, None), (4, "d", None, True, ["1-1", "1-2"]), (5, None, " ", False, ["1-1", "1-2"]), (6, None, None, None, None)]
+    spark.createDataFrame(rows, "_ord bigint, id string, question_type string, should_refuse boolean, target_sections array<string>").write.parquet(f"{tmp_path}/tek17_eval_questions.parquet")
+    got = sorted(map(tuple, CATALOGUE.queries["question_types_all"](spark, str(tmp_path)).collect()))
+    assert got == [(1, "refusal", "in_scope_single"), (2, "refusal", "in_scope_single"), (3, "in_scope_single", "in_scope_multi"), (4, "refusal", "refusal"), (5, "in_scope_multi", "in_scope_multi"), (6, "in_scope_single", "in_scope_single")]
