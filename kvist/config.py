@@ -14,6 +14,8 @@ INI = {
     "bm25_b": ("retrieval", "bm25_b"), "candidate_multiplier": ("retrieval", "hybrid_candidate_multiplier"), "chunk_size": ("chunking", "chunk_size"),
     "chunk_overlap": ("chunking", "chunk_overlap"), "prompt_version": ("prompt", "version"), "mode": ("evaluation", "mode"),
     "groundedness_threshold": ("evaluation", "groundedness_threshold"), "repeat": ("evaluation", "sweep_repeat"), "api_key": ("openai", "api_key"),
+    "qualification_k": ("retrieval", "qualification_top_k"), "refusal_tag": ("evaluation", "refusal_tag"), "content_word_length": ("evaluation", "content_word_length"),
+    "preview": ("evaluation", "preview_sources"),
 }
 
 
@@ -42,6 +44,10 @@ class Settings:
     groundedness_threshold: float = 0.25
     repeat: int = 1
     api_key: str = ""
+    qualification_k: int = 10
+    refusal_tag: str = "kan_ikke_svare"
+    content_word_length: int = 4
+    preview: int = 6
 
 
 def _cast(value: str, default):

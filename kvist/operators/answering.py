@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from kvist.config import Settings
 from kvist.functions.text import strip, text
 from kvist.operators.evaluation import clean_items, coverage, score_answers
-from kvist.operators.retrieval import CANDIDATES, QUALIFICATION_K, chapter_filter, effective_k, fuse, retrieve
+from kvist.operators.retrieval import chapter_filter, effective_k, fuse, retrieve
 from kvist.operators.sweep import grid, grid_table
-from kvist.providers import chat, chat_column, embed_column, embedder
+from kvist.providers import chat, chat_column, embed_column, embedder, provider_and_model
 from kvist.session import materialize, union_all
 
 _RULE = "Begynn svaret med KAN_IKKE_SVARE: og en kort grunn "
@@ -21,8 +21,6 @@ PROMPTS = {
     "strict": "Du kjenner byggteknisk forskrift. Bruk bare det konteksten sier uttrykkelig, uten slutninger. " + _RULE + "når konteksten ikke gir et klart svar, eller når svaret krever beregning eller prosjektering.",
 }
 QUALIFICATION = " Spørsmålet krever opplysninger om prosjektet: gi et forsiktig delvis svar av det som finnes, og si at det trengs mer informasjon og at svaret kan variere."
-PREVIEW = 6
-
 
 def system_prompt(version: Column, qualification: Column) -> Column:
     """The prompt of a version (unknown: baseline), longer where qualification is needed."""
@@ -44,16 +42,17 @@ def user_message(context: Column, question: Column, qualification: Column) -> Co
 def run_sweep(questions: DataFrame, collection: DataFrame, chunks: DataFrame, runs: list[dict], cfg: Settings) -> DataFrame:
     """The run logs of all questions under all runs of a grid, in one job, told apart by ``run``.
 
-    collection (key, embedding, document, metadata), chunks (key, ord, text). Each side is ranked once, for
-    the largest k; runs differ by how far they read it and by how they weigh it. Items whose call fails are
-    query_failed rows; blank questions are skipped. Answers are materialised before they are scored, so
-    that no call is made twice.
+    collection (id, key, embedding, document, metadata), chunks (ord, key, text, metadata); keys may repeat,
+    each row is ranked by itself (see retrieve). Each side is ranked once, for the largest k; runs differ by
+    how far they read it and by how they weigh it. Items whose call fails are query_failed rows; blank
+    questions are skipped. Answers are materialised before they are scored, so that no call is made twice.
     """
     spark = questions.sparkSession
     methods = {r["retrieval_method"] for r in runs}
     items = clean_items(questions).select("id", "question", "question_type", "should_refuse", "refusal_type", "requires_qualification", "qualification_reason", "target_sections")
-    widest = max(*(r["top_k"] for r in runs), QUALIFICATION_K) * CANDIDATES
-    pairs = items.crossJoin(F.broadcast(grid_table(spark, runs))).withColumn("k", effective_k(F.col("top_k"), F.col("requires_qualification")))
+    widest = max(*(r["top_k"] for r in runs), cfg.qualification_k) * (max(1, cfg.candidate_multiplier) if "hybrid" in methods else 1)
+    # The grid is as many rows as the caller listed, made on the driver.
+    pairs = items.crossJoin(F.broadcast(grid_table(spark, runs))).withColumn("k", effective_k(F.col("top_k"), F.col("requires_qualification"), cfg.qualification_k))
     sides, parts = {}, []
     if methods != {"sparse"}:
         asked = embed_column(items.select(F.col("id").alias("qid"), "question"), "question", embedder(cfg.embed_provider, cfg.embed_model, cfg.embed_base_url, cfg.api_key))
@@ -63,14 +62,16 @@ def run_sweep(questions: DataFrame, collection: DataFrame, chunks: DataFrame, ru
     asks = pairs.select("run", F.col("id").alias("qid"), "retrieval_method", "hybrid_alpha", "k")
     for m in sorted(methods - {"hybrid"}):
         near = asks.filter(F.col("retrieval_method") == m).join(sides[m], "qid").filter(F.col("rank") <= F.col("k"))
-        parts.append(near.select("run", F.col("qid").alias("id"), "key", "rank", "distance"))
+        parts.append(near.select("run", "qid", "side", "id", "rank", "distance"))
     if "hybrid" in methods:
         both = asks.filter("retrieval_method = 'hybrid'")
-        wide = {n: both.join(d, "qid").filter(F.col("rank") <= F.col("k") * CANDIDATES).select(F.struct("run", "qid", "hybrid_alpha", "k").alias("qid"), "key", "distance") for n, d in sides.items()}
+        wide = {n: both.join(d, "qid").filter(F.col("rank") <= F.col("k") * max(1, cfg.candidate_multiplier)).select(F.struct("run", "qid", "hybrid_alpha", "k").alias("qid"), "side", "id", "key", "distance") for n, d in sides.items()}
         fused = fuse(wide["dense"], wide["sparse"], F.col("qid.k"), F.col("qid.hybrid_alpha"))
-        parts.append(fused.select("qid.run", F.col("qid.qid").alias("id"), "key", "rank", "distance"))
-    facts = collection.select("key", F.col("document").alias("text"), "metadata")
-    near = union_all(parts).join(facts, "key").join(items.select("id", "requires_qualification", "target_sections"), "id")
+        parts.append(fused.select("qid.run", "qid.qid", "side", "id", "rank", "distance"))
+    facts = [collection.select(F.lit("dense").alias("side"), F.col("id").cast("string").alias("id"), F.col("document").alias("text"), "metadata")] if "dense" in sides else []
+    facts += [chunks.select(F.lit("sparse").alias("side"), F.col("ord").cast("string").alias("id"), "text", "metadata")] if "sparse" in sides else []
+    near = union_all(parts).join(union_all(facts), ["side", "id"]).drop("side", "id").withColumnRenamed("qid", "id")
+    near = near.join(items.select("id", "requires_qualification", "target_sections"), "id")
     near = near.withColumns({"qid": F.struct("run", "id"), "section_id": F.col("metadata.section_id")})
     near = chapter_filter(near, "requires_qualification", "target_sections", "section_id")
     source = lambda f: F.coalesce(f"metadata.{f}", F.lit("")).alias(f)
@@ -81,11 +82,12 @@ def run_sweep(questions: DataFrame, collection: DataFrame, chunks: DataFrame, ru
     ready = ready.withColumns({"_system": prompt, "_user": user_message(F.col("context"), F.col("question"), F.col("requires_qualification"))})
 
     def talk(model: str, temperature: float):
-        return chat(cfg.llm_provider, model or cfg.llm_model, cfg.llm_base_url, cfg.api_key, temperature, cfg.max_tokens)
+        provider, name = provider_and_model(model or cfg.llm_model, cfg.llm_provider)
+        return chat(provider, name, cfg.llm_base_url, cfg.api_key, temperature, cfg.max_tokens)
 
     answered = materialize(chat_column(ready, "_system", "_user", talk, ("model", "temperature")))
     answered = answered.withColumn("retrieved_section_ids", F.transform(F.coalesce("sources", F.array().cast(answered.schema["sources"].dataType)), lambda s: s["section_id"]))
-    scored = score_answers(coverage(answered), cfg.groundedness_threshold)
+    scored = score_answers(coverage(answered), cfg.groundedness_threshold, cfg.refusal_tag, cfg.content_word_length)
     more = {"mode": F.lit(cfg.mode), "embed_provider": F.lit(cfg.embed_provider), "embed_model": F.lit(cfg.embed_model), "system_prompt_sha256": prompt_fingerprint(F.col("_system"))}
     return scored.withColumns(more).drop("_system", "_user", "context")
 
@@ -97,19 +99,34 @@ def run_questions(questions: DataFrame, collection: DataFrame, chunks: DataFrame
 
 
 def ask(question: str, collection: DataFrame, chunks: DataFrame, cfg: Settings) -> dict:
-    """One question: answer, whether it was refused, and up to PREVIEW sources."""
+    """One question: answer, whether it was refused, and the first ``preview`` sources."""
     spark = chunks.sparkSession
     schema = "id string, question string, question_type string, should_refuse boolean, refusal_type string, requires_qualification boolean, qualification_reason string, target_sections array<string>"
     row = run_questions(spark.createDataFrame([("1", question, None, False, None, False, None, [])], schema), collection, chunks, cfg).first()
     if row is None or row["error"]:
         raise RuntimeError(row["error"] if row else "a blank question")
-    return {"answer": row["answer"], "refused": row["model_refused"], "sources": [s.asDict() for s in (row["sources"] or [])[:PREVIEW]]}
+    return {"answer": row["answer"], "refused": row["model_refused"], "sources": [s.asDict() for s in (row["sources"] or [])[: cfg.preview]]}
+
 
+def recall_log(questions: DataFrame, ranked: DataFrame, metadata: DataFrame, *on: str) -> DataFrame:
+    """Retrieval alone: questions with their retrieved sections and hits, without widening or chapter filter.
 
-def recall_log(questions: DataFrame, ranked: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Retrieval alone: questions with their retrieved sections and hits, without widening or chapter filter."""
-    got = ranked.join(metadata.select("key", F.coalesce("metadata.section_id", F.lit("")).alias("section")), "key").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "section"))).alias("r"))
+    ranked (qid, rank) and metadata meet in the columns ``on``, which name one row.
+    """
+    got = ranked.join(metadata.select(*on, F.coalesce("metadata.section_id", F.lit("")).alias("section")), list(on)).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "section"))).alias("r"))
     rows = questions.join(got.withColumnRenamed("qid", "id"), "id", "left").withColumn("retrieved_sections", F.transform(F.coalesce("r", F.array().cast("array<struct<rank:int,section:string>>")), lambda x: x["section"])).drop("r")
     return coverage(rows, retrieved="retrieved_sections").withColumn("has_targets", F.size(F.coalesce("target_sections", F.array().cast("array<string>"))) > 0)
 
 
+def retrieval_run(questions: DataFrame, collection: DataFrame, chunks: DataFrame, cfg: Settings) -> DataFrame:
+    """The retrieval log of all questions under one setting: no model is asked; collection and chunks as in run_sweep."""
+    items = clean_items(questions)
+    asked = items.select(F.col("id").alias("qid"), "question")
+    if cfg.retrieval_method != "sparse":
+        asked = embed_column(asked, "question", embedder(cfg.embed_provider, cfg.embed_model, cfg.embed_base_url, cfg.api_key))
+    ranked = retrieve(cfg.retrieval_method, cfg.top_k, asked, collection, chunks, cfg.hybrid_alpha, cfg.bm25_k1, cfg.bm25_b, cfg.candidate_multiplier)
+    row = lambda df, side, ident: df.select(F.lit(side).alias("side"), F.col(ident).cast("string").alias("row"), "metadata")
+    facts = row(collection, "dense", "id").unionByName(row(chunks, "sparse", "ord"))
+    log = recall_log(items, ranked.withColumnRenamed("id", "row"), facts, "side", "row")
+    more = {"top_k": F.lit(cfg.top_k), "retrieval_method": F.lit(cfg.retrieval_method), "hybrid_alpha": F.lit(cfg.hybrid_alpha), "embed_provider": F.lit(cfg.embed_provider), "embed_model": F.lit(cfg.embed_model)}
+    return log.withColumns(more)

@@ -44,17 +44,18 @@ def model_refused(qualification: Column, any_hit: Column, warning: Column, tagge
     return F.when(qualification & any_hit & warning, F.lit(False)).otherwise(tagged | heuristic)
 
 
-def score_answers(df: DataFrame, threshold: float = GROUNDED) -> DataFrame:
+def score_answers(df: DataFrame, threshold: float = GROUNDED, tag: str = T.REFUSAL_TAG, least: int = 4) -> DataFrame:
     """Adds the refusal flags, groundedness, correctness and status to items with coverage, answer and sources.
 
-    An item with an ``error`` is ``query_failed``: its findings are null, its correctness false.
+    An item with an ``error`` is ``query_failed``: its findings are null, its correctness false. tag: what
+    marks a refusal; least: letters of a content word.
     """
     ok = F.col("error").isNull() if "error" in df.columns else F.lit(True)
     df = df.withColumns({
         "should_refuse": false_if_null(F.col("should_refuse")), "requires_qualification": false_if_null(F.col("requires_qualification")),
-        "refused_tagged": T.has_refusal_tag(F.col("answer")), "refused_heuristic": T.classify_refusal(F.col("answer")),
+        "refused_tagged": T.has_refusal_tag(F.col("answer"), tag), "refused_heuristic": T.classify_refusal(F.col("answer"), tag),
         "qualification_warning_present": T.has_qualification_warning(F.col("answer")),
-        "groundedness_score": T.groundedness(F.col("answer"), F.col("sources")),
+        "groundedness_score": T.groundedness(F.col("answer"), F.col("sources"), least),
     })
     should, need, any_, full, partial, warned = (F.col(c) for c in ("should_refuse", "requires_qualification", "any_hit", "full_hit", "partial_hit", "qualification_warning_present"))
     df = df.withColumn("model_refused", model_refused(need, any_, warned, F.col("refused_tagged"), F.col("refused_heuristic")))
@@ -75,6 +76,7 @@ def score_answers(df: DataFrame, threshold: float = GROUNDED) -> DataFrame:
 
 def item_status(should: Column, refused: Column, need: Column, any_: Column, full: Column, partial: Column, warned: Column, grounded: Column) -> Column:
     """One of eleven states of an answered item."""
+    # The names of the states.
     return (
         F.when(should & refused, "correct_refusal").when(should, "under_refusal").when(refused, "over_refusal")
         .when(need & ~any_, "unsupported_qualified_answer").when(need & ~warned, "missing_qualification_warning")

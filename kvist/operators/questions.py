@@ -103,11 +103,12 @@ def multi_groups(sects: DataFrame, n: int, seed: int, most: int = 3) -> DataFram
     chapter = F.when(F.col("chapter") == "", "(no_chapter)").otherwise(F.col("chapter"))
     rows = sects.withColumn("_ch", chapter)
     sizes = rows.groupBy("_ch").agg(F.count("*").alias("size")).filter("size >= 2")
-    draws = sects.sparkSession.range(1, n + 1).withColumnRenamed("id", "idx")
-    chosen = draws.crossJoin(F.broadcast(sizes)).groupBy("idx").agg(F.min_by(F.struct("_ch", "size"), F.md5(F.concat_ws(":", F.lit(str(seed)), "idx", "_ch"))).alias("c")).select("idx", "c.*")
-    k = F.least("size", F.when(F.lit(most) > 2, F.lit(2) + F.pmod(F.xxhash64("idx", F.lit(seed)), F.lit(2))).otherwise(F.lit(2)))
+    # Each chapter draws for each item; the chapter with the least hash takes it. Items are as many as were asked for.
+    draws = sizes.withColumn("idx", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))))
+    chosen = draws.groupBy("idx").agg(F.min_by(F.struct("_ch", "size"), F.md5(F.concat_ws(":", F.lit(str(seed)), "idx", "_ch"))).alias("c")).select("idx", "c.*")
+    k = F.least("size", F.when(F.lit(most) > 2, F.lit(2) + (F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "idx")), 1, 1) >= "8").cast("int")).otherwise(F.lit(2)))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), "idx", "section_id"))
-    ranked = rows.join(F.broadcast(chosen), "_ch").withColumn("_rn", F.row_number().over(W.partitionBy("idx").orderBy(order))).filter(F.col("_rn") <= k)
+    ranked = rows.join(chosen, "_ch").withColumn("_rn", F.row_number().over(W.partitionBy("idx").orderBy(order))).filter(F.col("_rn") <= k)
     return ranked.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("_rn", "section_id", "title", topic(F.col("idx") + F.col("_rn") - 1).alias("topic")))).alias("members"))
 
 

@@ -6,12 +6,12 @@ One job for all runs: ``run`` is a column, never a loop over files.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kvist.functions import text as T
 from kvist.functions.metrics import confusion, refusal_metrics, wilson
 from kvist.operators.evaluation import CATEGORIES, false_if_null, refusal_category
+from kvist.sources.records import last_wins
 
 REFUSAL_TYPES = ["out_of_scope", "in_domain_missing_context", "(unspecified)"]
 SLICES = ["in_scope_single", "in_scope_multi"]
@@ -66,8 +66,11 @@ def refusal_by_type(log: DataFrame, run: str = "run") -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if(false_if_null(F.col("model_refused"))).alias("refused")).withColumn("rate", T.safe_div(F.col("refused"), F.col("n")))
 
 
-def run_summary(log: DataFrame, run: str = "run", order: str = "_ord") -> DataFrame:
-    """One wide row per run: the first row's settings, counts, rates, metrics, refusal types, in-scope slices and a breakdown as JSON."""
+def run_summary(log: DataFrame, run: str = "run", order: str = "_ord", runs: DataFrame | None = None) -> DataFrame:
+    """One wide row per run: the first row's settings, counts, rates, metrics, refusal types, in-scope slices and a breakdown as JSON.
+
+    runs: (run) names of all runs; one without rows gives n = 0 and nulls.
+    """
     ok, refused, should = answered(), false_if_null(F.col("model_refused")), false_if_null(F.col("should_refuse"))
     kind = T.question_type(F.col("question_type"), F.col("should_refuse"), F.col("target_sections"), F.col("id"))
     refusal = F.coalesce(T.blank_to_null(F.col("refusal_type")), F.lit("(unspecified)"))
@@ -103,7 +106,8 @@ def run_summary(log: DataFrame, run: str = "run", order: str = "_ord") -> DataFr
     by_type = refusal_by_type(log, run).withColumnRenamed("rate", "refused_rate")
     entries = F.array_sort(F.collect_list(F.struct("refusal_type", F.struct("n", "refused", "refused_rate"))))
     breakdown = by_type.groupBy(run).agg(F.to_json(F.map_from_entries(entries)).alias("refusal_type_breakdown"))
-    return g.select(*cols).join(breakdown, run, "left")
+    out = g.select(*cols).join(breakdown, run, "left")
+    return out if runs is None else runs.join(out, run, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def conditional_refusal(log: DataFrame, run: str = "run", order: str = "_ord") -> DataFrame:
@@ -138,8 +142,7 @@ def order_runs(summary: DataFrame) -> DataFrame:
 
 def last_by_id(log: DataFrame, ident: str = "id", order: str = "_ord") -> DataFrame:
     """The last row of each id that isn't blank; ids are stripped."""
-    keyed = log.withColumn(ident, T.strip(F.col(ident))).filter(F.col(ident) != "")
-    return keyed.withColumn("_rn", F.row_number().over(W.partitionBy(ident).orderBy(F.desc(order)))).filter("_rn = 1").drop("_rn")
+    return last_wins(log.withColumn(ident, T.strip(F.col(ident))), ident, order)
 
 
 def recall_at_k(log: DataFrame, run: str = "run") -> DataFrame:

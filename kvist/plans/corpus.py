@@ -85,10 +85,8 @@ def html_provisions(spark, folder):
 @CATALOGUE.query("chapter_carry_forward", """
 SELECT root_print_url, sha256, _ord, last_value(chapter IGNORE NULLS) OVER (PARTITION BY root_print_url, sha256 ORDER BY _ord ROWS UNBOUNDED PRECEDING) AS carried FROM tek17_dibk""")
 def chapter_carry_forward(spark, folder):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("root_print_url", "sha256").orderBy("_ord").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, folder, "tek17_dibk").select("root_print_url", "sha256", "_ord", F.last("chapter", ignorenulls=True).over(w).alias("carried"))
+    rows = table(spark, folder, "tek17_dibk").select("root_print_url", "sha256", "_ord", "chapter")
+    return H.carry_forward(rows, "chapter", "_ord", "root_print_url", "sha256", out="carried").drop("chapter")
 
 
 _DOCS = f"""docs AS (

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvist.config import Settings
-from kvist.operators.answering import run_questions, run_sweep
+from kvist.functions.text import fusion_key
+from kvist.operators.answering import retrieval_run, run_questions, run_sweep
 from kvist.operators.chunking import chunk_documents, documents_of
 from kvist.providers import embed_chunks, embedder
 from kvist.schema import CHUNKS, PROVISIONS, QUESTIONS
 from kvist.sources.html import page_blocks, provision_records, provisions_of, read_pages
 from kvist.sources.manifest import latest_valid, read_manifest, resolve
 from kvist.sources.records import read_chunks, read_jsonl, validate_chunks, write_jsonl
-from kvist.sources.store import open_collection, refresh
+from kvist.sources.store import fingerprint, open_collection, refresh
 
 
 def parse(spark: SparkSession, manifest: str, root: str, out: str) -> int:
     """Provisions of the latest valid snapshot of a manifest, as JSON Lines; FileNotFoundError without its page."""
-    import os
-
     line = latest_valid(read_manifest(spark, manifest)).first()
     path = resolve(line["path"], root)
     if not os.path.exists(path):
@@ -44,20 +45,35 @@ def ingest(spark: SparkSession, chunks: str, store: str, cfg: Settings) -> int:
     return refresh(embed_chunks(rows, embedder(cfg.embed_provider, cfg.embed_model, cfg.embed_base_url, cfg.api_key)), store)
 
 
+def sides(spark: SparkSession, chunks: str, store: str) -> tuple[DataFrame, DataFrame]:
+    """What retrieval searches: the collection (id, key, embedding, document, metadata) and the chunks (ord, key, text, metadata), whole."""
+    key = lambda df, body: df.withColumn("key", fusion_key(F.col(body), F.col("metadata")))
+    return key(open_collection(spark, store), "document"), key(read_chunks(spark, chunks, CHUNKS).withColumnRenamed("_ord", "ord"), "text")
+
+
 def evaluate(spark: SparkSession, questions: str, chunks: str, store: str, cfg: Settings, runs: list[dict] | None = None) -> DataFrame:
     """The run log of a question file, or those of a grid of runs; the sparse side reads the chunks, the dense side the collection."""
-    from kvist.functions.text import fusion_key
+    collection, rows = sides(spark, chunks, store)
+    asked = read_jsonl(spark, questions, QUESTIONS)
+    log = run_sweep(asked, collection, rows, runs, cfg) if runs else run_questions(asked, collection, rows, cfg)
+    # The fingerprint is one row.
+    facts = fingerprint(open_collection(spark, store)).select(F.struct(F.lit(store).alias("chroma_dir"), F.lit(os.path.basename(store.rstrip("/"))).alias("collection"), "count", F.col("sha256").alias("sqlite_sha256"), F.lit(None).cast("bigint").alias("sqlite_size")).alias("vectorstore"))
+    return log.crossJoin(F.broadcast(facts))
+
 
-    both = lambda df, body: df.withColumn("key", fusion_key(F.col(body), F.col("metadata")))
-    collection = both(open_collection(spark, store), "document").dropDuplicates(["key"])
-    rows = both(read_chunks(spark, chunks, CHUNKS), "text").withColumnRenamed("_ord", "ord")
-    asked, rows = read_jsonl(spark, questions, QUESTIONS), rows.select("key", "ord", "text")
-    return run_sweep(asked, collection, rows, runs, cfg) if runs else run_questions(asked, collection, rows, cfg)
+def recall(spark: SparkSession, questions: str, chunks: str, store: str, cfg: Settings) -> DataFrame:
+    """The retrieval log of a question file: what is retrieved, without asking a model."""
+    log = retrieval_run(read_jsonl(spark, questions, QUESTIONS), *sides(spark, chunks, store), cfg)
+    return log.withColumns({"collection_name": F.lit(os.path.basename(store.rstrip("/"))), "chroma_dir": F.lit(store)})
 
 
-def build(spark: SparkSession, manifest: str, root: str, work: str, cfg: Settings) -> dict[str, int]:
-    """Parse, chunk and ingest in one go; the number of records of each step."""
-    return {
+def build(spark: SparkSession, manifest: str, root: str, work: str, cfg: Settings, questions: str | None = None) -> dict[str, int]:
+    """Parse, chunk, ingest, and evaluate where questions are given, in one go; the number of records of each step."""
+    done = {
         "provisions": parse(spark, manifest, root, f"{work}/provisions"), "chunks": chunk(spark, f"{work}/provisions", f"{work}/chunks", cfg.chunk_size, cfg.chunk_overlap),
         "collection": ingest(spark, f"{work}/chunks", f"{work}/collection", cfg),
     }
+    if questions:
+        write_jsonl(evaluate(spark, questions, f"{work}/chunks", f"{work}/collection", cfg), f"{work}/run")
+        done["run"] = spark.read.text(f"{work}/run").count()
+    return done

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from kvist.functions import text as T
 from kvist.operators import retrieval as R
 from kvist.plans import duck as D
 from kvist.plans.registry import Catalogue
-from kvist.session import shared_folder, table
+from kvist.session import scratch, table
 
 CATALOGUE = Catalogue()
 K = 6
@@ -73,7 +71,7 @@ def bm25_topk(spark, folder):
 @CATALOGUE.query("bm25_index_topk", f"WITH {_bm25_sql(_QUESTIONS_SQL, _CHUNKS_SQL, K)} SELECT qid, ord, rank, round(score, 6) AS score FROM sparse")
 def bm25_index_topk(spark, folder):
     """The same ranking from a written index."""
-    path = f"{shared_folder(spark)}/kvist-{uuid.uuid4().hex}"
+    path = scratch(spark)
     R.write_index(table(spark, folder, "tek17_chunks"), path, "_ord", "text")
     scored = R.index_scores(_questions(spark, folder), path, "_ord", "question")
     top = R.best_first(scored.filter("score > 0"), K, F.col("score"), "ord")
@@ -141,6 +139,35 @@ def sweep_alpha(spark, folder):
     return top.select("qid.alpha", "qid.qid", "key", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _retrieved(spark, folder, method):
+    """A ranking of the collection as it is, whose keys repeat: rows are ranked by themselves, keys matter in the fusion alone."""
+    rows = table(spark, folder, "chroma_collection").withColumn("key", T.fusion_key(F.col("document"), F.col("metadata")))
+    asked = rows.filter(hex_divisible(F.col("id"))).select(F.col("id").alias("qid"), F.col("document").alias("question"), "embedding")
+    top = R.retrieve(method, K, asked, rows.select("id", "key", "embedding"), rows.select(F.col("id").alias("ord"), "key", F.col("document").alias("text")))
+    return top.select("qid", "side", "id", "key", F.col("rank").cast("bigint").alias("rank"), (F.round("distance", 5) + F.lit(0.0)).alias("distance"))
+
+
+_SPARSE_OWN = _bm25_sql(f"SELECT id AS qid, document AS q FROM chroma_collection WHERE {HEX_SQL}", "SELECT id AS ord, document AS text FROM chroma_collection", K)
+
+
+@CATALOGUE.query("retrieve_dense", f"WITH {_dense_sql(K)}, keys AS (SELECT id, {_KEY_SQL} AS key FROM (SELECT id, document, {_META_SQL} AS k FROM chroma_collection)) SELECT qid, 'dense' AS side, id, key, rank, round(distance, 5) + 0.0 AS distance FROM dense JOIN keys USING (id)")
+def retrieve_dense(spark, folder):
+    return _retrieved(spark, folder, "dense")
+
+
+@CATALOGUE.query("retrieve_sparse", f"WITH {_SPARSE_OWN}, keys AS (SELECT id, {_KEY_SQL} AS key FROM (SELECT id, document, {_META_SQL} AS k FROM chroma_collection)) SELECT qid, 'sparse' AS side, id, key, rank, round(distance, 5) + 0.0 AS distance FROM sparse JOIN keys ON ord = id")
+def retrieve_sparse(spark, folder):
+    return _retrieved(spark, folder, "sparce")
+
+
+@CATALOGUE.query("retrieve_hybrid", f"""WITH {_HYBRID_SQL},
+rows_found AS (SELECT qid, key, 'dense' AS side, id, 0 AS o, distance FROM dense JOIN keys USING (id) UNION ALL SELECT qid, key, 'sparse', id, 1, distance FROM sparse JOIN keys ON ord = id),
+payload AS (SELECT qid, key, side, id FROM rows_found QUALIFY row_number() OVER (PARTITION BY qid, key ORDER BY o, round(distance, 9), id) = 1)
+SELECT qid, side, id, key, rank, round(1 - c, 5) + 0.0 AS distance FROM (SELECT qid, key, 0.5 * d + 0.5 * s AS c, row_number() OVER (PARTITION BY qid ORDER BY round(0.5 * d + 0.5 * s, 9) DESC, key) AS rank FROM both_sides) JOIN payload USING (qid, key) WHERE rank <= {K}""")
+def retrieve_hybrid(spark, folder):
+    return _retrieved(spark, folder, "hybrid")
+
+
 def _ranked(spark, folder):
     """The ranking of each question with its own k, and the facts of its chunks."""
     q = _questions(spark, folder).select(F.col("_ord").alias("qid"), "requires_qualification", "target_sections")
@@ -189,5 +216,5 @@ def recall_at_k(spark, folder):
     q = _questions(spark, folder).withColumn("id", F.col("_ord"))
     c = table(spark, folder, "tek17_chunks").withColumn("key", F.col("_ord"))
     top = R.sparse_top_k(q, c, K, "_ord", "question", "_ord", "text").withColumnRenamed("ord", "key")
-    log = recall_log(q, top.select("qid", "key", "rank"), c).withColumn("run", F.lit("bm25"))
+    log = recall_log(q, top.select("qid", "key", "rank"), c, "key").withColumn("run", F.lit("bm25"))
     return recall(log).select("n", F.round("any_hit_recall", 6).alias("any_hit_recall"), F.round("full_hit_recall", 6).alias("full_hit_recall"))

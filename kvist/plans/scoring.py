@@ -312,7 +312,7 @@ def answer_batch(spark, folder):
     from kvist.operators.answering import run_questions
     from kvist.providers import embed_column, hashing_embedder
 
-    chunks = table(spark, folder, "tek17_chunks").select(F.col("_ord").alias("key"), F.col("_ord").alias("ord"), "text", "metadata")
-    collection = embed_column(chunks.select("key", F.col("text").alias("document"), "metadata"), "document", hashing_embedder())
+    chunks = table(spark, folder, "tek17_chunks").select(T.fusion_key(F.col("text"), F.col("metadata")).alias("key"), F.col("_ord").alias("ord"), "text", "metadata")
+    collection = embed_column(chunks.select(F.col("ord").alias("id"), "key", F.col("text").alias("document"), "metadata"), "document", hashing_embedder())
     q = table(spark, folder, "tek17_eval_questions").filter("_ord % 100 = 0")
-    return run_questions(q, collection, chunks.select("key", "ord", "text"), Settings(retrieval_method="hybrid"))
+    return run_questions(q, collection, chunks, Settings(retrieval_method="hybrid"))

@@ -89,6 +89,12 @@ def extractive_chat(limit: int = 3) -> Chat:
     return answer
 
 
+def provider_and_model(name: str, default: str) -> tuple[str, str]:
+    """Provider and model of a name like ``provider:model``; other names belong to the default provider."""
+    head, colon, tail = name.partition(":")
+    return (head, tail) if colon and head in ("offline", "ollama", "openai") else (default, name)
+
+
 def chat(provider: str, model: str = "", base_url: str = "", key: str = "", temperature: float = 0.3, max_tokens: int = 0) -> Chat:
     """A chat function: messages to content, finish_reason and usage; unknown providers raise ValueError."""
     p = (provider or "").strip().lower()

@@ -18,25 +18,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master gets a folder of its own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kvist-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the JVM ends."""
+    path = f"{shared_folder(spark)}/kvist-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write df as a Parquet table into the shared folder and read it again.
 
     Cuts the lineage, survives lost executors, keeps columns prunable; removed when the JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kvist-{uuid.uuid4().hex}"
+    path = scratch(spark)
     (df.repartition(partitions) if partitions else df).write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

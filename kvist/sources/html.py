@@ -156,8 +156,8 @@ def provisions_of(blocks: DataFrame, key: str = "path") -> DataFrame:
     carried = headings.select(key, "block", "pos", "heading", F.lit(None).cast("string").alias("chapter")).unionByName(
         chapters.select(key, F.lit(None).cast("int").alias("block"), "pos", F.lit(None).cast("string").alias("heading"), "chapter")
     )
-    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    carried = carried.withColumn("chapter", F.last("chapter", ignorenulls=True).over(w)).filter("heading IS NOT NULL")
+    carried = carry_forward(carried, "chapter", "pos", key).filter("heading IS NOT NULL")
+    # Fixed value: the form of a section number in a heading.
     number = F.regexp_extract("heading", r"(?U)§\s*(\d{1,2}-\d{1,2}[a-zA-Z]?)", 1)
     found = carried.filter(F.startswith("heading", F.lit("§")) & (number != ""))
     found = found.withColumns({"section_id": F.concat(F.lit("§ "), number), "title": strip(F.regexp_replace("heading", r"(?U)^§\s*\d{1,2}-\d{1,2}[a-zA-Z]?\s*[.\-–:]?\s*", ""))})
@@ -175,6 +175,12 @@ def provisions_of(blocks: DataFrame, key: str = "path") -> DataFrame:
     return both.select(key, "pos", "chapter", "section_id", "title", "reg_text", "guidance_text", full_text().alias("full_text"))
 
 
+def carry_forward(df: DataFrame, column: str, order: str, *keys: str, out: str | None = None) -> DataFrame:
+    """The last value of column that isn't null, up to each row, within the keys."""
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn(out or column, F.last(column, ignorenulls=True).over(w))
+
+
 def full_text():
     """Regulation and guidance, joined by an empty line; empty ones are left out."""
     some = lambda c: F.when(F.col(c) != "", F.col(c))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvist.schema import MANIFEST
-from kvist.sources.records import read_jsonl, write_jsonl
+from kvist.sources.records import append_line, read_jsonl
 
 HEADERS = {"User-Agent": "kvist/0.1", "Accept": "text/html,application/xhtml+xml"}
 TIMEOUT_S = 60
@@ -98,7 +98,7 @@ def download(spark: SparkSession, url: str, manifest_path: str, folder: str, roo
             f.write(body)
     stored = stored_path(path, root) if status == 200 and body else ""
     line = {"url": url, "final_url": final, "status": status, "downloaded_at": now.isoformat(), "path": stored, "sha256": hashlib.sha256(body).hexdigest() if body else "", "content_type": kind}
-    write_jsonl(spark.createDataFrame([line], MANIFEST), manifest_path, append=True)
+    append_line(spark, line, manifest_path)
     return line
 
 

@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import os
+import re
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kvist.session import broadcast_if_small
+
+
+#: Bits of ``_ord`` that hold the place within a file; the others hold the file's number.
+PLACE_BITS = 43
+
+
+def file_order(name: str) -> tuple:
+    """Sorts file names with their numbers read as numbers, so that part files keep the order of their writing."""
+    return tuple((0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.split(r"([0-9]+)", name) if x)
+
+
+def run_of(path: Column) -> Column:
+    """The run that a file belongs to: the file's name, or its folder's name for part files."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(F.startswith(name, F.lit("part-")), F.element_at(F.split(path, "/"), -2)).otherwise(name)
+
+
+def run_names(spark: SparkSession, path: str | list[str], run: str = "run") -> DataFrame:
+    """(run): the runs of all files, those without records included."""
+    return spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "p string").select(run_of(F.col("p")).alias(run)).distinct()
+
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, lenient: bool = False, run: str | None = None) -> DataFrame:
-    """Records of JSON Lines with ``_ord``, growing with the line number within a file.
+    """Records of JSON Lines with ``_ord``, growing with the file's name (see file_order) and with the line within it.
 
     Blank lines are skipped. Malformed lines raise, or are dropped if lenient. Missing keys are null.
-    run: a column that takes the file's name, so that many files are one scan.
+    run: a column that takes the run's name (see run_of), so that many files are one scan.
     """
     corrupt = "_corrupt_record"
     with_bad = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
-    # Each file's lines keep their order: partitions follow the file's offsets, and ids follow the rows.
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_ord"), *([F.col("_metadata.file_name").alias(run)] if run else []))
+    lines = spark.read.text(path)
+    # The place of a line: where its split begins, and its number in the scan's partition. A split that isn't
+    # its file's last one fills a partition, so that places within a file grow.
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    own = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+    rows = lines.select("value", place.alias("_place"), own.alias("_path"), *([run_of(F.col("_metadata.file_path")).alias(run)] if run else []))
+    files = sorted({re.sub("^file:/+", "file:/", f) for f in lines.inputFiles()}, key=file_order)
+    if len(files) > 1:
+        numbered = spark.createDataFrame([(f, n) for n, f in enumerate(files)], "_path string, _file bigint")
+        rows = rows.join(broadcast_if_small(numbered), "_path").withColumn("_ord", F.col("_file") * (1 << PLACE_BITS) + F.col("_place"))
+    else:
+        rows = rows.withColumnRenamed("_place", "_ord")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
     parsed = rows.filter(F.trim("value") != "").select("_ord", *([run] if run else []), "value", F.from_json("value", with_bad, options).alias("r"))
     if lenient:
@@ -26,9 +63,30 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType,
     return parsed.select("_ord", *([run] if run else []), *[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
 
 
-def write_jsonl(df: DataFrame, path: str, single: bool = False, append: bool = False) -> None:
-    """One JSON object per line, null fields kept; single: one file, for people to read, not for large results."""
-    (df.coalesce(1) if single else df).write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
+def write_jsonl(df: DataFrame, path: str, single: bool = False) -> None:
+    """One JSON object per line, null fields kept; single: one file, for people to read, not for large results.
+
+    Part files follow the order of df's partitions, and read_jsonl reads them in that order.
+    """
+    (df.coalesce(1) if single else df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def append_line(spark: SparkSession, record: dict, path: str) -> None:
+    """Append one JSON line: to the file at path (made where there is none), or as a new last file to the folder at path."""
+    line = (json.dumps(record, ensure_ascii=False) + "\n").encode()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where) and fs.getFileStatus(where).isDirectory():
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(where, f"part-{10**9}-{time.time_ns():020d}.json"), False)
+    elif fs.getUri().getScheme() == "file":
+        os.makedirs(os.path.dirname(os.path.abspath(where.toUri().getPath())), exist_ok=True)
+        with open(where.toUri().getPath(), "ab") as f:
+            f.write(line)
+        return
+    else:
+        out = fs.append(where) if fs.exists(where) else fs.create(where, False)
+    out.write(bytearray(line))
+    out.close()
 
 
 def write_csv(parts: list[DataFrame], path: str, single: bool = True) -> None:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvist.session import shared_folder
+from kvist.session import scratch
 from kvist.sources.manifest import is_valid
 
 
@@ -22,7 +20,7 @@ def latest_by_stream(spark: SparkSession, written: DataFrame) -> DataFrame:
 
     Each trigger's complete result replaces the table, so a restarted query repeats no effect.
     """
-    base = f"{shared_folder(spark)}/kvist-{uuid.uuid4().hex}"
+    base = scratch(spark)
     source = written.inputFiles()[0].rsplit("/", 1)[0] if written.inputFiles() else None
     if source is None:
         return latest_valid_stream(written)

@@ -10,9 +10,10 @@ from kvist.__main__ import main
 from kvist.config import settings
 from kvist.plans import pipeline
 from kvist.providers import chat, chat_column, embedder, hashing_embedder
-from kvist.schema import MANIFEST, QUESTIONS
+from kvist.operators.sweep import grid
+from kvist.schema import CHUNKS, MANIFEST, QUESTIONS, RETRIEVAL_LOG
 from kvist.sources import manifest as M
-from kvist.sources.records import last_wins, read_jsonl, tsv_report, validate_chunks, write_csv, write_jsonl
+from kvist.sources.records import file_order, last_wins, read_jsonl, tsv_report, validate_chunks, write_csv, write_jsonl
 from kvist.sources.store import fingerprint, open_collection, refresh
 from test_corpus import PAGE
 
@@ -44,6 +45,7 @@ def test_download_and_latest(spark, tmp_path):
 
     first = M.download(spark, "http://x/p", log, str(tmp_path / "data"), str(tmp_path), get=get)
     assert first["path"].startswith("data/") and M.download(spark, "http://x/p", log, str(tmp_path / "data"), str(tmp_path), get=get)["skipped"] and len(got) == 1
+    M.append_line(spark, {"url": "http://x/z"}, str(tmp_path / "folder" / "plain.jsonl"))
     bad = M.download(spark, "http://x/q", log, str(tmp_path / "data"), str(tmp_path), get=lambda u: (u, 404, b"", None))
     assert bad["path"] == "" and bad["sha256"] == ""
     assert M.latest_valid(M.read_manifest(spark, log)).first()["url"] == "http://x/p"
@@ -71,6 +73,100 @@ def test_end_to_end(spark, tmp_path, capsys):
     capsys.readouterr()
 
 
+def test_lines_keep_their_order(spark, tmp_path):
+    """Appends of falling sizes, a plain file that is appended to, and a folder of many parts."""
+    folder, plain = tmp_path / "folder", tmp_path / "m.jsonl"
+    folder.mkdir()
+    for i, size in enumerate((3000, 200, 0)):
+        for path in (folder, plain):
+            M.append_line(spark, {"url": f"u{i}", "path": "x" * size, "status": 200, "content_type": "text/html"}, str(path))
+    for path in (folder, plain):
+        rows = M.read_manifest(spark, str(path))
+        assert [r["url"] for r in rows.orderBy("_ord").collect()] == ["u0", "u1", "u2"]
+        assert M.latest_valid(rows.filter("url <> 'u2'")).first()["url"] == "u1"
+    many = spark.range(500).select(F.col("id").cast("string").alias("url"), F.repeat(F.lit("y"), ((F.lit(500) - F.col("id")) * 7).cast("int")).alias("path")).repartitionByRange(12, F.col("id").cast("int"))
+    write_jsonl(many, str(tmp_path / "parts"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for path in ("parts", "parts/*.json"):
+            assert [r["url"] for r in read_jsonl(spark, str(tmp_path / path), MANIFEST).orderBy("_ord").collect()] == [str(i) for i in range(500)]
+        write_jsonl(many, str(tmp_path / "one"), single=True)
+        assert [r["url"] for r in read_jsonl(spark, str(tmp_path / "one"), MANIFEST, run="run").orderBy("_ord").collect()] == [str(i) for i in range(500)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r[0] for r in read_jsonl(spark, str(tmp_path / "one"), MANIFEST, run="run").select("run").distinct().collect()] == ["one"]
+    assert sorted(["part-100000-a", "part-99999-b", "part-00002-c"], key=file_order) == ["part-00002-c", "part-99999-b", "part-100000-a"]
+
+
+def test_parts_of_one_unit_are_found(spark, tmp_path):
+    """Parts of an oversized unit share their key; the second one is the answer, whichever side finds it."""
+    meta = ("s", "§ 8-5", "T", None, "regulation", 1, 1)
+    texts = ["trapp rampe heis " * 3, "lyd støy demping " * 3, "energi varme kulde " * 3]
+    write_jsonl(spark.createDataFrame([(t, meta) for t in texts] + [(None, ("s", "§ 9-1", "U", None, "guidance", 1, 1))], CHUNKS).coalesce(1), str(tmp_path / "c"))
+    chunks = spark.createDataFrame([(t, meta) for t in texts], CHUNKS)
+    write_jsonl(chunks, str(tmp_path / "good"), single=True)
+    cfg = settings(environ={}, top_k=1)
+    assert pipeline.ingest(spark, str(tmp_path / "good"), str(tmp_path / "store"), cfg) == 3
+    write_jsonl(spark.createDataFrame([("q", "in_scope_single", "Hva gjelder for lyd, støy og demping?", False, None, ["8-5"], "easy", False, None, "")], QUESTIONS), str(tmp_path / "q"), single=True)
+    for method in ("dense", "sparse", "hybrid"):
+        one = settings(environ={}, top_k=1, retrieval_method=method)
+        row = pipeline.evaluate(spark, str(tmp_path / "q"), str(tmp_path / "c"), str(tmp_path / "store"), one).first()
+        assert [s["text"] for s in row["sources"]] == [texts[1]] and row["vectorstore"]["count"] == 3, method
+        log = pipeline.recall(spark, str(tmp_path / "q"), str(tmp_path / "c"), str(tmp_path / "store"), one)
+        assert log.first()["retrieved_sections"] == ["§ 8-5"] and set(RETRIEVAL_LOG.fieldNames()) <= set(log.columns)
+
+
+def test_settings_reach_the_run(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"trapp nummer {i}", ("s", f"§ 1-{i}", "T", None, "regulation", i, i)) for i in range(12)], CHUNKS)
+    write_jsonl(chunks, str(tmp_path / "c"), single=True)
+    pipeline.ingest(spark, str(tmp_path / "c"), str(tmp_path / "s"), settings(environ={}))
+    write_jsonl(spark.createDataFrame([("q", None, "trapp?", True, "x", ["1-2"], "easy", False, None, "")], QUESTIONS), str(tmp_path / "q"), single=True)
+    run = lambda **kw: pipeline.evaluate(spark, str(tmp_path / "q"), str(tmp_path / "c"), str(tmp_path / "s"), settings(environ={}, retrieval_method="hybrid", top_k=2, **kw)).first()
+    assert len(run()["sources"]) == 10 and len(run(qualification_k=3)["sources"]) == 3
+    assert run(refusal_tag="TRAPP")["refused_tagged"] and not run()["refused_tagged"]
+    assert run(content_word_length=40)["groundedness_score"] == 0.0 < run()["groundedness_score"]
+
+
+def test_benchmark_recall_and_empty_runs(spark, tmp_path, capsys):
+    chunks = spark.createDataFrame([("trapp", ("s", "§ 1-1", "T", None, "regulation", 1, 1))], CHUNKS)
+    write_jsonl(chunks, str(tmp_path / "c"), single=True)
+    pipeline.ingest(spark, str(tmp_path / "c"), str(tmp_path / "s"), settings(environ={}))
+    write_jsonl(spark.createDataFrame([("q", None, "trapp?", False, None, ["1-1"], "easy", False, None, "")], QUESTIONS), str(tmp_path / "q"), single=True)
+    files = ["--eval-file", str(tmp_path / "q"), "--chunks", str(tmp_path / "c"), "--store", str(tmp_path / "s")]
+    assert main(["benchmark", "--models", "offline:a,offline:b", *files, "--out", str(tmp_path / "b"), "--out-csv", str(tmp_path / "csv"), "--pairs"]) == 0
+    assert spark.read.json(str(tmp_path / "b")).select("run").distinct().count() == 2 and "delta_accuracy" in capsys.readouterr().out
+    assert main(["recall", *files, "--out", str(tmp_path / "r"), "--retrieval-method", "sparse"]) == 0
+    assert capsys.readouterr().out.strip().splitlines()[-1].split("\t") == ["run", "1", "1.000", "1.000"]
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "runs" / "none.jsonl").write_text("")
+    (tmp_path / "runs" / "one.jsonl").write_text('{"id": "1", "should_refuse": true, "model_refused": true}\n')
+    assert main(["summarize", "--glob", str(tmp_path / "runs" / "*.jsonl")]) == 0
+    lines = [x.split("\t")[:2] for x in capsys.readouterr().out.strip().splitlines()[1:]]
+    assert sorted(lines) == [["none.jsonl", "0"], ["one.jsonl", "1"]]
+    first, second = grid(1, [], [1], ["dense"], [0.5], [0.1], stamp="t1")[0]["run"], grid(1, [], [1], ["dense"], [0.5], [0.1], stamp="t2")[0]["run"]
+    assert first != second and first.startswith("t1_run001")
+
+
+def test_whole_pipeline_with_questions(spark, tmp_path):
+    log = str(tmp_path / "manifest.jsonl")
+    M.download(spark, "http://x/p", log, str(tmp_path / "data"), str(tmp_path), get=lambda u: (u, 200, PAGE.encode(), "text/html"))
+    write_jsonl(spark.createDataFrame([("q", None, "Hva er andre?", False, None, ["1-2"], "easy", False, None, "")], QUESTIONS), str(tmp_path / "q"), single=True)
+    assert pipeline.build(spark, log, str(tmp_path), str(tmp_path / "w"), settings(environ={}), str(tmp_path / "q"))["run"] == 1
+
+
+def test_shared_folder_of_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from kvist.session import shared_folder
+
+    fake = lambda master, found=None: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: found, set=lambda *a: None), sparkContext=SimpleNamespace(master=master, getConf=lambda: {}))
+    for master in ("spark://x:7077", "local-cluster[3,4,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_folder(fake(master))
+        assert shared_folder(fake(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_folder(fake("local[4]")).startswith("file:///")
+
+
 def test_store(spark, tmp_path):
     with pytest.raises(RuntimeError):
         open_collection(spark, str(tmp_path / "none"))
