@@ -1,134 +1,443 @@
 """Near-duplicate records with small edits: an exact set-similarity join that skips by set relations.
 
-Sets of word sequences are compared by Jaccard similarity. Equal sets are one. A global order by
-frequency gives each set a prefix that it must share with any similar one. Two relations save work:
+Sets of word sequences are compared by Jaccard similarity. Equal sets are one. A global order of the
+sequences gives each set a prefix that it must share with any similar one: hashes in their order, those
+that occur often behind them by their weight. Two relations save work:
 
-* Index lists are cut into blocks by the position that the token has in its sets; a pair of blocks whose
-  best case can't reach the needed overlap is skipped as a whole.
+* An index list is sorted by the position that the sequence has in its sets and cut into blocks; a pair of
+  blocks whose best case can't reach the needed overlap is skipped as a whole.
 * A set that differs from another one, its leader, in a few elements is not searched for on its own:
-  it probes only with the prefix tokens that its leader's prefix lacks, and its other answers are derived
+  it probes only with the prefix elements that its leader's prefix lacks, and its other answers are derived
   from the leader's, whose overlaps are corrected by the few elements in which both differ.
 
 The result is exact but for collisions of 64-bit hashes of the sequences (about n * n / 2 ** 65 for n
-different sequences).
+different sequences); it doesn't depend on the weights, which only order the sequences.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from fractions import Fraction
+from hashlib import blake2b
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvist.session import materialize, spread
+from kvist.session import broadcast_if_small, materialize, spread
 
 #: Words of a sequence, least words of a record, and the similarity as production parameters of the chunk table.
 SHINGLE, LEAST_WORDS, SIMILARITY = 3, 20, "0.6"
 #: Entries of a block of an index list; share of a set in which a follower may differ from its leader.
 BLOCK, FOLLOW = 64, 0.1
+#: Entries of one list that a task compares with one another; a list of more meets itself in a grid of bands.
+BAND = 16_384
+#: Least weight of a sequence that is ordered by it, and how many such sequences there are at most (least weights grow for that).
+LIGHT, MOST_WEIGHTS = 4, 500_000
+#: Hashes under which a set's least element is one of its marks; the first one finds its leader, all of them its first links.
+MARKS = 4
+#: Sequences that a task gathers before it counts them, and distinct words whose codes it keeps.
+COUNTED, KEPT_WORDS = 1 << 22, 200_000
+
+_WORDS = re.compile("[0-9a-zæøå]+").findall
+_SETS = "ord bigint, n int, items array<bigint>, k1 bigint, k2 bigint, marks array<bigint>, counts array<int>"
+#: An entry: its list, its set, n / rest / whole / crossed / side, how far lo, hi and slack are from n, n and 0, and the bitmap.
+_ENTRIES = "list bigint, id bigint, place bigint, span bigint, b0 bigint, b1 bigint"
+#: Largest distance that span holds; from it on a distance counts as unlimited.
+_FAR = (1 << 21) - 1
+
+
+class _Codes(dict):
+    """64-bit codes of words; starts anew when it holds KEPT_WORDS, which changes no code."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        code = self[word] = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
+        return code
+
+
+def _mix(x: np.ndarray, seed: int) -> np.ndarray:
+    """A bijection of 64-bit values that spreads their bits (splitmix64's finish)."""
+    x = x + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sets(texts: list[str | None], codes: _Codes, shingle: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, begins, items): the texts with enough words, and their sorted distinct sequences one after the other."""
+    words, rows, sizes = [], [], []
+    for k, text in enumerate(texts):
+        own = _WORDS(text.lower()) if text else ()
+        if len(own) >= max(least, shingle):
+            words += own
+            rows.append(k)
+            sizes.append(len(own))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    code = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    ends = np.cumsum(sizes)
+    value = np.zeros(len(code) - shingle + 1, np.uint64)
+    for k in range(shingle):
+        value = value * np.uint64(0x9E3779B97F4A7C15) + code[k : len(code) - shingle + 1 + k]
+    value = _mix(value, 1).view(np.int64)
+    parts = [value[e - s : e - shingle + 1] for s, e in zip(sizes, ends.tolist())]
+    for p in parts:
+        p.sort()
+    items = np.concatenate(parts)
+    begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    new = np.ones(len(items), bool)
+    new[1:] = items[1:] != items[:-1]
+    new[begins[:-1]] = True
+    return np.array(rows), np.concatenate([[0], np.cumsum(np.add.reduceat(new, begins[:-1]))]), items[new]
 
 
 def shingle_sets(df: DataFrame, order: str, text: str, shingle: int = SHINGLE, least: int = LEAST_WORDS) -> DataFrame:
-    """(ord, n, items): the distinct hashed word sequences of each record; null where it has fewer than ``least`` words.
+    """The distinct hashed word sequences of each record with at least ``least`` words, in one pass over the texts.
 
-    Short records are dropped after the sets are written: a filter here would make the words twice.
+    (ord, n, items, k1, k2, marks) of a set, where (k1, k2, n) tells equal sets and marks are its least elements under
+    other hashes. Rows without ord hold sequences (items) and how often a task met them (counts), from two on.
     """
-    df = spread(df.select(order, text), order)
-    words = df.select(F.col(order).cast("long").alias("ord"), F.regexp_extract_all(F.lower(text), F.lit("[0-9a-zæøå]+"), F.lit(0)).alias("w"))
-    # The array is made once, before the lambda that reads it by position.
-    items = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - shingle), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(shingle)]))))
-    return words.select("ord", F.when(F.size("w") >= max(least, shingle), items).alias("items")).select("ord", F.size("items").alias("n"), "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, seen, held = _Codes(), [], 0
+        names = [f.split()[0] for f in _SETS.split(", ")]
+
+        def weights() -> pa.RecordBatch:
+            tok, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.int64), return_counts=True)
+            often = n > 1
+            one = lambda v, kind: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kind))
+            none = pa.nulls(1, pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.int32()), one(tok[often], pa.int64()), none, none, pa.nulls(1, pa.list_(pa.int64())), one(n[often].astype(np.int32), pa.int32())], names=names)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                rows, begins, items = _sets(some.column(1).to_pylist(), codes, shingle, least)
+                if not len(rows):
+                    continue
+                bits, first = items.view(np.uint64), begins[:-1]
+                keys = [pa.array(np.add.reduceat(_mix(bits, k), first).view(np.int64)) for k in (2, 3)]
+                marks = np.stack([np.minimum.reduceat(_mix(bits, 10 + k), first).view(np.int64) for k in range(MARKS)], 1)
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * MARKS, pa.int32()), pa.array(marks.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(items))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(rows)), pa.array(np.diff(begins), pa.int32()), lists, *keys, marks, pa.nulls(len(rows), pa.list_(pa.int32()))], names=names)
+                seen.append(items)
+                held += len(items)
+                if held >= COUNTED:
+                    yield weights()
+                    seen, held = [], 0
+        if seen:
+            yield weights()
+
+    rows = spread(df.select(F.col(order).cast("long").alias("ord"), text).filter("ord IS NOT NULL"), "ord")
+    return rows.mapInArrow(run, _SETS)
+
+
+class _Order:
+    """The global order: sequences without weight by their hash, then the others by weight and hash."""
+
+    def __init__(self, tok: np.ndarray, weight: np.ndarray) -> None:
+        by = np.argsort(tok)
+        self.tok, self.weight = tok[by], weight[by]
+
+    def of(self, items: np.ndarray) -> np.ndarray:
+        """The weight of each sequence; 0 for most."""
+        if not len(self.tok):
+            return np.zeros(len(items), np.int64)
+        at = np.minimum(np.searchsorted(self.tok, items), len(self.tok) - 1)
+        return np.where(self.tok[at] == items, self.weight[at], 0)
+
+    def prefixes(self, items: np.ndarray, begins: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, sequence, weight, sequences after it) of all sets' prefixes."""
+        n = np.diff(begins)
+        row = np.repeat(np.arange(len(n)), n)
+        weight = self.of(items)
+        order = np.argsort((row << 32) + weight, kind="stable")
+        place = np.arange(len(items)) - np.repeat(begins[:-1], n)
+        width = n + (-n * share.numerator // share.denominator) + 1
+        keep = place < width[row]
+        order = order[keep]
+        return row[keep], items[order], weight[order], (n[row] - place - 1)[keep]
+
+
+def _bitmaps(items: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements in 128 cells, as two words a set: where those of two sets differ, one set has an element that the other lacks."""
+    cell = (_mix(items.view(np.uint64), 5) & np.uint64(127)).astype(np.int64)
+    bit = np.uint64(1) << (cell & 63).astype(np.uint64)
+    zero = np.uint64(0)
+    return np.stack([np.bitwise_xor.reduceat(np.where(cell >> 6 == k, bit, zero), begins[:-1]) for k in (0, 1)]).view(np.int64)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, begins) of a list column without nulls."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
+
+
+def _entry_batch(tok, weight, ident, whole, n, lo, hi, slack, rest, bitmap, component=()) -> pa.RecordBatch:
+    """Index entries; an entry of a long list goes to each cell of the grid that its band meets."""
+    n, lo, hi, slack, rest = (v.astype(np.int64) for v in (n, lo, hi, slack, rest))
+    bands = -(-weight // BAND)
+    many = np.flatnonzero(bands > 1)
+    copies = np.ones(len(tok), np.int64)
+    copies[many] = bands[many]
+    k = np.repeat(np.arange(len(tok)), copies)
+    other = np.arange(len(k)) - np.repeat(np.cumsum(copies) - copies, copies)
+    own = np.where(bands[k] > 1, (_mix(ident[k].view(np.uint64), 6) % np.maximum(bands[k], 1).astype(np.uint64)).astype(np.int64), 0)
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    cell = np.where(bands[k] > 1, _mix(((low << 31) + high + 1).view(np.uint64), 7).view(np.int64), 0)
+    place = (n << 34) + (rest << 3) + whole * 4  # a set has fewer than 2 ** 29 elements
+    far = lambda x: np.minimum(x, _FAR)
+    span = (far(n - lo) << 42) + (far(hi - n) << 21) + far(slack)
+    cols = [tok[k] ^ cell, ident[k], place[k] + (low < high) * 2 + (own > other), span[k], bitmap[0][k], bitmap[1][k], *(c[k] for c in component)]
+    names = [f.split()[0] for f in _ENTRIES.split(", ")] + ["component"]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names[: len(cols)])
+
+
+def _read_entries(t: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The fields of index entries."""
+    x = {n: t.column(k).to_numpy() for k, n in enumerate(t.schema.names)}
+    place, span = x.pop("place"), x.pop("span")
+    wide = lambda v: np.where(v == _FAR, 1 << 31, v)
+    x |= {"n": place >> 34, "rest": place >> 3 & (1 << 31) - 1, "whole": (place & 4) > 0, "crossed": (place & 2) > 0, "side": place & 1}
+    return x | {"lo": np.maximum(x["n"] - wide(span >> 42), 1), "hi": x["n"] + wide(span >> 21 & _FAR), "slack": wide(span & _FAR)}
+
+
+def _needed(total, share: Fraction):
+    """The least overlap of two similar sets with ``total`` elements together."""
+    return -(-total * share.numerator // (share.numerator + share.denominator))
+
+
+def _fits(x: dict, a: np.ndarray, b: np.ndarray, share: Fraction) -> np.ndarray:
+    """Can the sets that entries a and b represent be similar, with this sequence as the first they share?"""
+    num, den = share.numerator, share.denominator
+    least = _needed(x["lo"][a] + x["lo"][b], share)
+    good = np.minimum(x["rest"][a] + x["slack"][a], x["rest"][b] + x["slack"][b]) + 1 >= least
+    return good & (x["hi"][a] * den >= x["lo"][b] * num) & (x["hi"][b] * den >= x["lo"][a] * num)
+
+
+def _similar_enough(x: dict, a: np.ndarray, b: np.ndarray, share: Fraction) -> np.ndarray:
+    """The same by the sets' bitmaps: each differing parity is an element outside the overlap."""
+    apart = sum(np.bitwise_count((x[c][a] ^ x[c][b]).view(np.uint64)).astype(np.int64) for c in ("b0", "b1"))
+    most = (x["n"][a] + x["n"][b] - apart) // 2 + x["slack"][a] + x["slack"][b]
+    return most >= _needed(x["lo"][a] + x["lo"][b], share)
+
+
+def _meet(x: dict, begins: np.ndarray, share: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries within each list that can't be excluded, block by block."""
+    size = np.diff(begins)
+    if "component" in x:  # a list of one component holds no pair that is looked for
+        size = np.where(np.minimum.reduceat(x["component"], begins[:-1]) == np.maximum.reduceat(x["component"], begins[:-1]), 1, size)
+    small = np.repeat((size > 1) & (size <= BLOCK), np.diff(begins))
+    last = np.repeat(begins[1:], np.diff(begins))
+    at = np.flatnonzero(small)
+    step = 1
+    while len(at):
+        at = at[at + step < last[at]]
+        yield at, at + step
+        step += 1
+    for g in np.flatnonzero(size > BLOCK):
+        by = begins[g] + np.argsort(x["rest"][begins[g] : begins[g + 1]], kind="stable")
+        cuts = np.arange(0, len(by), BLOCK)
+        of = lambda f, c: f.reduceat(x[c][by], cuts)
+        block = {"lo": of(np.minimum, "lo"), "hi": of(np.maximum, "hi"), "slack": of(np.maximum, "slack"), "rest": of(np.maximum, "rest")}
+        for i in range(len(cuts)):
+            js = np.arange(i, len(cuts))
+            for j in js[_fits(block, np.full(len(js), i), js, share)]:
+                p, q = by[cuts[i] : cuts[i] + BLOCK], by[cuts[j] : cuts[j] + BLOCK]
+                a, b = np.repeat(p, len(q)), np.tile(q, len(p))
+                yield (a[a < b], b[a < b]) if i == j else (a, b)
+
+
+def _candidates(share: Fraction):
+    """Reads index entries sorted by list, and gives the pairs of ids that may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+
+        def work(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            x, found = _read_entries(t), []
+            new = np.ones(t.num_rows, bool)
+            new[1:] = x["list"][1:] != x["list"][:-1]
+            for a, b in _meet(x, np.append(np.flatnonzero(new), t.num_rows), share):
+                keep = (x["id"][a] != x["id"][b]) & (~x["crossed"][a] | (x["side"][a] != x["side"][b])) & _fits(x, a, b, share)
+                if "component" in x:
+                    keep &= x["component"][a] != x["component"][b]
+                a, b = a[keep], b[keep]
+                keep = _similar_enough(x, a, b, share)
+                a, b = a[keep], b[keep]
+                flip = x["id"][a] > x["id"][b]
+                a, b = np.where(flip, b, a), np.where(flip, a, b)
+                if len(a):
+                    found.append((x["id"][a], x["id"][b], x["whole"][a], x["whole"][b]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "wa", "wb"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([left, batch] if left is not None else [batch]).combine_chunks().to_batches()[0] if batch.num_rows else left
+            if t is None:
+                continue
+            key = t.column(0).to_numpy()
+            last = np.flatnonzero(key != key[-1])
+            cut = int(last[-1]) + 1 if len(last) else 0
+            left = t.slice(cut)
+            if cut:
+                yield from work(t.slice(0, cut))
+        if left is not None and left.num_rows:
+            yield from work(left)
+
+    return run
 
 
 class SimilarityJoin:
-    """All pairs of sets with a Jaccard similarity of at least ``similarity``; see the module."""
+    """All pairs of sets with a Jaccard similarity of at least ``similarity``; see the module. sets: what shingle_sets gives."""
 
     def __init__(self, sets: DataFrame, similarity: str = SIMILARITY) -> None:
-        t = Fraction(similarity)
-        if not 0 < t <= 1:
+        self.share = Fraction(similarity)
+        if not 0 < self.share <= 1:
             raise ValueError("similarity must be over 0 and at most 1")
-        self.num, self.den = t.numerator, t.denominator
-        keyed = materialize(sets.select("ord", "n", "items", F.xxhash64("items").alias("k1"), F.hash("items").alias("k2"))).filter("items IS NOT NULL AND ord IS NOT NULL")
-        classes = keyed.groupBy("k1", "k2", "n").agg(F.min("ord").alias("rep"))
+        self.num, self.den = self.share.numerator, self.share.denominator
+        rows = materialize(sets)
+        keyed = rows.filter("counts IS NULL")
+        keys = keyed.select("ord", "n", "k1", "k2", "marks")
+        classes = keys.groupBy("k1", "k2", "n").agg(F.min("ord").alias("rep"))
+        known = materialize(keys.join(classes, ["k1", "k2", "n"]).select("ord", "rep", "marks"))
         #: (ord, rep): the least record with the same set.
-        self.members = materialize(keyed.select("ord", "n", "k1", "k2").join(classes, ["k1", "k2", "n"]).select("ord", "rep"))
-        self.sets = keyed.join(self.members.filter("ord = rep").select("ord"), "ord").select(F.col("ord").alias("id"), "n", "items")
-
-    def needed(self, total: Column) -> Column:
-        """The least overlap of two similar sets with ``total`` elements together."""
-        return F.ceil(total * self.num / (self.num + self.den) - 1e-9)
+        self.members = known.select("ord", "rep")
+        self.reps = known.filter("ord = rep").select(F.col("ord").alias("id"), "marks")
+        self.sets = keyed.select(F.col("ord").alias("id"), "n", "items")
+        self.order = keyed.sparkSession.sparkContext.broadcast(self._weights(rows))
+
+    @staticmethod
+    def _weights(rows: DataFrame) -> _Order:
+        """Sequences that occur often, at most MOST_WEIGHTS, as all weights together are at most the number of all elements."""
+        total = rows.filter("counts IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        least = max(LIGHT, -(-total // MOST_WEIGHTS))
+        seen = rows.filter("counts IS NOT NULL").select(F.explode(F.arrays_zip("items", "counts")).alias("s")).groupBy("s.items").agg(F.sum("s.counts").alias("weight"))
+        t = seen.filter(F.col("weight") >= least).toArrow()
+        return _Order(t.column(0).to_numpy(), t.column(1).to_numpy())
 
     def similar(self, overlap: Column, total: Column) -> Column:
         return overlap * (self.num + self.den) >= total * self.num
 
-    def ordered(self) -> DataFrame:
-        """(id, n, toks array<struct<df, tok>>): elements that occur in several sets, the rarest first."""
-        exploded = self.sets.select("id", "n", F.explode("items").alias("tok"))
-        counts = exploded.groupBy("tok").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
-        return exploded.join(counts, "tok").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("toks"))
-
-    def pairs(self) -> DataFrame:
-        """(a, b), a < b: representatives of different sets that are similar."""
-        num, den = self.num, self.den
-        ordered = materialize(self.ordered())
-        width = F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1 - (F.col("n") - F.size("toks"))
-        base = ordered.select("id", "n", F.transform("toks", lambda x: x["tok"]).alias("toks"), F.slice("toks", F.lit(1), F.greatest(width, F.lit(0)).cast("int")).alias("prefix"))
-
-        # Leaders: the least set with the same minimum under another hash; followers differ from it in few elements.
-        rough = base.filter(F.size("toks") > 0).withColumn("mark", F.array_min(F.transform("toks", lambda x: F.xxhash64(x, F.lit(17)))))
-        heads = rough.groupBy("mark").agg(F.min("id").alias("leader"), F.count("*").alias("many")).filter("many > 1").drop("many")
-        near = rough.join(heads, "mark").filter("id <> leader").select("id", "n", "toks", "prefix", "leader")
-        lead = base.select(F.col("id").alias("leader"), F.col("n").alias("ln"), F.col("toks").alias("lt"), F.col("prefix").alias("lp"))
-        follow = (
-            near.join(lead, "leader")
-            .withColumn("plus", F.array_except("toks", "lt")).withColumn("minus", F.array_except("lt", "toks"))
-            .withColumn("more", F.col("n") - (F.size("toks") - F.size("plus"))).withColumn("less", F.col("ln") - (F.size("toks") - F.size("plus")))
-            .filter((F.col("more") + F.col("less")) <= F.greatest(F.lit(1.0), FOLLOW * F.col("ln")))
-        )
-        own_tokens = F.filter("prefix", lambda x: ~F.array_contains(F.transform("lp", lambda y: y["tok"]), x["tok"]))
-        followers = materialize(follow.select("id", "leader", "n", "plus", "minus", "more", own_tokens.alias("prefix"), "toks"))
-        groups = followers.groupBy("leader").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("more").cast("int").alias("slack"))
-
-        # Index entries: leaders and lone sets with their whole prefix, followers with what their leader's lacks.
-        rest = lambda n, size: F.transform(F.col("prefix"), lambda x, i: F.struct(x["tok"].alias("tok"), x["df"].alias("df"), (F.lit(0) + size - i - 1).alias("rest")))
-        leaders = base.join(followers.select("id"), "id", "left_anti").join(groups.withColumnRenamed("leader", "id"), "id", "left")
-        of_leaders = leaders.select(
-            "id", F.lit(True).alias("whole"), F.least("n", F.coalesce("lo", "n")).alias("lo"), F.greatest("n", F.coalesce("hi", "n")).alias("hi"),
-            F.coalesce("slack", F.lit(0)).alias("slack"), F.explode(rest("n", F.size("toks"))).alias("e"),
-        )
-        positions = F.transform("prefix", lambda x: F.struct(x["tok"].alias("tok"), x["df"].alias("df"), (F.size("toks") - F.array_position("toks", x["tok"]).cast("int")).alias("rest")))
-        of_followers = followers.select("id", F.lit(False).alias("whole"), F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(0).alias("slack"), F.explode(positions).alias("e"))
-        entries = of_leaders.unionByName(of_followers).select("id", "whole", "lo", "hi", "slack", "e.*")
-        # A block: entries of one token with about the same number of tokens after it; long lists are salted.
-        place = F.floor(F.log2(F.col("rest") + 1) * 2)
-        salt = F.when(F.col("df") > BLOCK, F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / BLOCK))).otherwise(F.lit(0))
-        blocks = materialize(
-            entries.groupBy("tok", place.alias("place"), salt.alias("salt")).agg(
-                F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), F.max("slack").alias("slack"),
-                F.collect_list(F.struct("id", "whole", "lo", "hi", "slack", "rest")).alias("entries"),
-            )
-        )
+    def needed(self, total: Column) -> Column:
+        """The least overlap of two similar sets with ``total`` elements together."""
+        return F.ceil(total * self.num / (self.num + self.den) - 1e-9)
 
-        def fits(a: str, b: str) -> Column:
-            """Can sets represented by a and b be similar, with this token as the first they share?"""
-            c = lambda x, y: F.col(f"{x}.{y}")
-            best = F.least(c(a, "rest") + c(a, "slack"), c(b, "rest") + c(b, "slack")) + 1
-            least = self.needed(c(a, "lo") + c(b, "lo"))
-            return (best >= least) & (c(a, "hi") * den >= c(b, "lo") * num) & (c(b, "hi") * den >= c(a, "lo") * num)
-
-        x, y = blocks.alias("x"), blocks.alias("y")
-        first = (F.col("x.place") < F.col("y.place")) | ((F.col("x.place") == F.col("y.place")) & (F.col("x.salt") <= F.col("y.salt")))
-        met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & first & fits("x", "y"))
-        met = met.select(F.explode("x.entries").alias("a"), F.col("y.entries").alias("ys")).select("a", F.explode("ys").alias("b"))
-        apart = F.col("a.id") != F.col("b.id")
-        met = met.filter(apart & fits("a", "b"))
-        flip = F.col("a.id") < F.col("b.id")
-        pick = lambda f: (F.when(flip, F.col(f"a.{f}")).otherwise(F.col(f"b.{f}")), F.when(flip, F.col(f"b.{f}")).otherwise(F.col(f"a.{f}")))
-        ids, wholes = pick("id"), pick("whole")
-        candidates = met.select(ids[0].alias("a"), ids[1].alias("b"), wholes[0].alias("wa"), wholes[1].alias("wb")).distinct()
-
-        left = base.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
-        right = base.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
+    def _of(self, ids: DataFrame, as_: str, items: str, n: str) -> DataFrame:
+        """The sets of ids (id), whose scan is filtered before anything is shuffled where the ids are few."""
+        return self.sets.join(broadcast_if_small(ids), "id").select(F.col("id").alias(as_), F.col("items").alias(items), F.col("n").alias(n))
+
+    def _led(self, every: bool) -> DataFrame:
+        """(id, leader, first): the least set with the same mark leads the others; by the first mark alone if every."""
+        marked = self.reps.select("id", F.posexplode(F.slice("marks", 1, 1 if every else MARKS)).alias("k", "mark"))
+        heads = marked.groupBy("k", "mark").agg(F.min("id").alias("leader"), F.count("*").alias("many")).filter("many > 1").drop("many")
+        pairs = marked.join(heads, ["k", "mark"]).filter("id <> leader").select("id", "leader", (F.col("k") == 0).alias("first"))
+        return materialize(pairs if every else pairs.groupBy("id", "leader").agg(F.max("first").alias("first")))
+
+    def _followers(self, every: bool) -> DataFrame:
+        """(id, leader, n, follows, plus, minus, more, tok, weight, rest, b0, b1): sets that differ from their leader in few elements.
+
+        plus, minus: the elements in which they differ. tok, weight, rest: the prefix elements that the leader's prefix
+        lacks. Unless every, only sets that are similar to their leader follow it, and other similar ones are here, too.
+        """
+        order, share = self.order, self.share
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ident, leader, first = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+                (items, begins), (led, led_begins) = _lists(batch.column(2)), _lists(batch.column(3))
+                row, tok, weight, rest = order.value.prefixes(items, begins, share)
+                at = np.searchsorted(row, np.arange(len(ident) + 1))
+                led_row, led_tok, _, _ = order.value.prefixes(led, led_begins, share)
+                led_at = np.searchsorted(led_row, np.arange(len(ident) + 1))
+                bits, out, none = _bitmaps(items, begins), [], np.zeros(0, np.int64)
+                for i in range(len(ident)):
+                    own, lead = items[begins[i] : begins[i + 1]], led[led_begins[i] : led_begins[i + 1]]
+                    plus = np.setdiff1d(own, lead, True)
+                    both = len(own) - len(plus)
+                    close = len(plus) + len(lead) - both <= max(1.0, FOLLOW * len(lead))
+                    linked = both >= _needed(len(own) + len(lead), share)
+                    if close and first[i] and (every or linked):
+                        p = slice(at[i], at[i + 1])
+                        new = ~np.isin(tok[p], led_tok[led_at[i] : led_at[i + 1]])
+                        out.append((ident[i], leader[i], len(own), True, plus, np.setdiff1d(lead, own, True), len(plus), tok[p][new], weight[p][new], rest[p][new], bits[0][i], bits[1][i]))
+                    elif linked and not every:
+                        out.append((ident[i], leader[i], len(own), False, none, none, 0, none, none, none, 0, 0))
+                if out:
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.list_(pa.int64())] * 2, pa.int32(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names="id leader n follows plus minus more tok weight rest b0 b1".split())
+
+        led = self._led(every)
+        own = self._of(materialize(led.select("id").distinct()) if not every else led.select("id"), "id", "items", "n").join(led, "id")
+        lead = self._of(materialize(led.select(F.col("leader").alias("id")).distinct()), "leader", "lead", "ln")
+        pairs = own.join(lead, "leader").select("id", "leader", "items", "lead", "first")
+        return materialize(pairs.mapInArrow(run, "id bigint, leader bigint, n int, follows boolean, plus array<bigint>, minus array<bigint>, more int, tok array<bigint>, weight array<bigint>, rest array<bigint>, b0 bigint, b1 bigint"))
+
+    def _entries(self, followers: DataFrame, groups: DataFrame, linked: DataFrame | None) -> DataFrame:
+        """The index: leaders and lone sets with their whole prefix, followers with what their leader's lacks.
+
+        linked: (id, component) of sets that are connected already; its entries then bear their component.
+        """
+        order, share = self.order, self.share
+        schema = _ENTRIES if linked is None else f"{_ENTRIES}, component bigint"
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ident, n, (items, begins) = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _lists(batch.column(2))
+                lo, hi, slack, *component = (batch.column(k).to_numpy() for k in range(3, batch.num_columns))
+                row, tok, weight, rest = order.value.prefixes(items, begins, share)
+                bits = _bitmaps(items, begins)
+                yield _entry_batch(tok, weight, ident[row], np.ones(len(row), bool), n[row], lo[row], hi[row], slack[row], rest, bits[:, row], [c[row] for c in component])
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                (tok, begins), (weight, _), (rest, _) = (_lists(batch.column(k)) for k in (2, 3, 4))
+                row = np.repeat(np.arange(batch.num_rows), np.diff(begins))
+                n = batch.column(1).to_numpy()[row]
+                bits = np.stack([batch.column(k).to_numpy()[row] for k in (5, 6)])
+                component = [batch.column(k).to_numpy()[row] for k in range(7, batch.num_columns)]
+                yield _entry_batch(tok, weight, batch.column(0).to_numpy()[row], np.zeros(len(row), bool), n, n, n, np.zeros(len(row), np.int64), rest, bits, component)
+
+        # What isn't a lone set: copies and followers drop out, leaders speak for their followers.
+        none = F.lit(None).cast("int")
+        other = self.members.filter("ord <> rep").select(F.col("ord").alias("id"), F.lit(True).alias("out"), none.alias("lo"), none.alias("hi"), none.alias("slack"))
+        other = other.unionByName(followers.select("id", F.lit(True).alias("out"), none.alias("lo"), none.alias("hi"), none.alias("slack")))
+        other = materialize(other.unionByName(groups.select(F.col("leader").alias("id"), F.lit(False).alias("out"), "lo", "hi", "slack")))
+        lone = self.sets.join(broadcast_if_small(other), "id", "left").filter("out IS NULL OR NOT out")
+        lone = lone.select("id", "n", "items", F.least("n", F.coalesce("lo", "n")).alias("lo"), F.greatest("n", F.coalesce("hi", "n")).alias("hi"), F.coalesce("slack", F.lit(0)).alias("slack"))
+        probes = followers.select("id", "n", "tok", "weight", "rest", "b0", "b1")
+        if linked is not None:
+            bear = lambda df: df.join(broadcast_if_small(linked), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            lone, probes = bear(lone), bear(probes)
+        return lone.mapInArrow(whole, schema).unionByName(probes.mapInArrow(own, schema))
+
+    def answers(self, every: bool = True) -> DataFrame:
+        """(a, b), a < b: representatives of different sets that are similar.
+
+        every: all such pairs. Otherwise only links that connect the same sets: sets of one mark are linked with its
+        leader where they are similar, and pairs are looked for between the components that come of it.
+        """
+        rows = self._followers(every)
+        followers = rows.filter("follows")
+        groups = materialize(followers.groupBy("leader").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("more").alias("slack")))
+        first = rows.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+        entries = self._entries(followers, groups, None if every else connected(first))
+        met = entries.repartition("list").sortWithinPartitions("list").mapInArrow(_candidates(self.share), "a bigint, b bigint, wa boolean, wb boolean")
+        candidates = materialize(met.distinct())
+
+        ids = materialize(candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct())
+        left, right = self._of(ids, "a", "ta", "na"), self._of(ids, "b", "tb", "nb")
         slack_of = lambda side, w: groups.select(F.col("leader").alias(side), F.lit(True).alias(w), F.col("lo").alias(f"l{side}"), F.col("slack").alias(f"s{side}"))
         seen = (
             candidates.join(left, "a").join(right, "b")
@@ -136,34 +445,37 @@ class SimilarityJoin:
             .join(slack_of("a", "wa"), ["a", "wa"], "left").join(slack_of("b", "wb"), ["b", "wb"], "left")
         )
         relaxed = self.needed(F.least("na", F.coalesce("la", "na")) + F.least("nb", F.coalesce("lb", "nb"))) - F.coalesce("sa", F.lit(0)) - F.coalesce("sb", F.lit(0))
-        seen = materialize(seen.filter(F.col("both") >= relaxed))
-        direct = seen.filter(self.similar(F.col("both"), F.col("na") + F.col("nb"))).select("a", "b")
+        wide = F.col("sa").isNotNull() | F.col("sb").isNotNull()
+        direct = self.similar(F.col("both"), F.col("na") + F.col("nb"))
+        # Only pairs that speak for followers are looked at again with their elements.
+        again = wide & (F.lit(every) | ~direct)
+        kept = [F.when(again, F.col(t)).alias(t) for t in ("ta", "tb")]
+        seen = materialize(seen.filter(F.col("both") >= relaxed).select("a", "b", "na", "nb", *kept, "both", F.col("sa").isNotNull().alias("ga"), F.col("sb").isNotNull().alias("gb"), direct.alias("direct"), again.alias("again")))
 
         # Answers of followers, derived from those of their leaders; a leader's own family is its answer, too.
         none = F.array().cast("array<bigint>")
         family = followers.select("leader", F.col("id").alias("f"), F.col("n").alias("fn"), "plus", "minus")
-        alone = lambda d, k: d.select(F.col(k).alias("leader"), F.col(k).alias("f"), F.col("n").alias("fn"), none.alias("plus"), none.alias("minus"))
-        led = base.join(groups.select(F.col("leader").alias("id")), "id", "left_semi")
-        kin = family.unionByName(alone(led, "id"))
-        wide = seen.filter("sa IS NOT NULL OR sb IS NOT NULL").select("a", "b", "na", "nb", "ta", "tb", "both", F.col("sa").isNotNull().alias("ga"), F.col("sb").isNotNull().alias("gb"))
-        same = led.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.col("toks").alias("ta"), F.col("toks").alias("tb"), F.size("toks").alias("both"), F.lit(True).alias("ga"), F.lit(True).alias("gb"))
-        todo = wide.unionByName(same)
-
-        def spread(df: DataFrame, on: str, flag: str, p: str) -> DataFrame:
-            """Each row once for every set that its side represents: f{p}, n{p}, plus{p}, minus{p}."""
+        lead = self._of(groups.select(F.col("leader").alias("id")), "id", "items", "n")
+        kin = family.unionByName(lead.select(F.col("id").alias("leader"), F.col("id").alias("f"), F.col("n").alias("fn"), none.alias("plus"), none.alias("minus")))
+        same = lead.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.col("items").alias("ta"), F.col("items").alias("tb"), F.size("items").alias("both"), F.lit(True).alias("ga"), F.lit(True).alias("gb"))
+        todo = seen.filter("again").drop("direct", "again")
+        todo = todo.unionByName(same) if every else todo
+
+        def spread_over(df: DataFrame, on: str, flag: str, p: str) -> DataFrame:
+            """Each row once for every set that its side represents: f{p}, fn{p}, plus{p}, minus{p}."""
             names = [F.col("f").alias(f"f{p}"), F.col("fn").alias(f"fn{p}"), F.col("plus").alias(f"plus{p}"), F.col("minus").alias(f"minus{p}")]
             many = df.filter(flag).join(kin.select(F.col("leader").alias(on), *names), on)
             one = df.filter(~F.col(flag)).select("*", F.col(on).alias(f"f{p}"), F.col(f"n{on}").alias(f"fn{p}"), none.alias(f"plus{p}"), none.alias(f"minus{p}"))
             return many.unionByName(one)
 
         common = lambda x, y: F.size(F.array_intersect(x, y))
-        step = spread(todo, "a", "ga", "1").withColumn("with_b", F.col("both") - common("minus1", "tb") + common("plus1", "tb"))
-        step = spread(step, "b", "gb", "2")
+        step = spread_over(todo, "a", "ga", "1").withColumn("with_b", F.col("both") - common("minus1", "tb") + common("plus1", "tb"))
+        step = spread_over(step, "b", "gb", "2")
         first_with = lambda z: common("ta", z) - common("minus1", z) + common("plus1", z)
         overlap = F.col("with_b") - first_with("minus2") + first_with("plus2")
         derived = step.filter((F.col("f1") != F.col("f2")) & self.similar(overlap, F.col("fn1") + F.col("fn2")))
-        derived = derived.select(F.least("f1", "f2").alias("a"), F.greatest("f1", "f2").alias("b"))
-        return direct.unionByName(derived).distinct()
+        found = seen.filter("direct").select("a", "b").unionByName(derived.select(F.least("f1", "f2").alias("a"), F.greatest("f1", "f2").alias("b")))
+        return (found if every else found.unionByName(first)).distinct()
 
 
 def near_duplicate_pairs(df: DataFrame, order: str = "_ord", text: str = "text", similarity: str = SIMILARITY, shingle: int = SHINGLE, least: int = LEAST_WORDS) -> DataFrame:
@@ -174,7 +486,7 @@ def near_duplicate_pairs(df: DataFrame, order: str = "_ord", text: str = "text",
     gives one row per record instead.
     """
     join = SimilarityJoin(shingle_sets(df, order, text, shingle, least), similarity)
-    pairs = materialize(join.pairs())
+    pairs = materialize(join.answers())
     a, b = (join.members.select(F.col("ord").alias(f"ord_{s}"), F.col("rep").alias(s)) for s in "ab")
     across = pairs.join(a, "a").join(b, "b").select("ord_a", "ord_b")
     within = a.join(b, F.col("a") == F.col("b")).filter("ord_a < ord_b").select("ord_a", "ord_b")
@@ -205,11 +517,12 @@ def near_duplicate_groups(df: DataFrame, order: str = "_ord", text: str = "text"
     """(ord, representative, group_id, links): one row per record with enough words.
 
     representative is the least record with the same set, group_id the least record that it is
-    connected with by similarity, links the number of different sets that are similar to its own.
+    connected with by similarity, links the number of links between different sets that hold the group
+    together. They are those that connect it, not all pairs: a set near many others is linked with a few.
     """
     join = SimilarityJoin(shingle_sets(df, order, text, shingle, least), similarity)
-    pairs = materialize(join.pairs())
+    pairs = materialize(join.answers(every=False))
     components = connected(pairs)
-    links = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "rep")
-    rows = join.members.join(components.withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")
+    links = pairs.select(F.col("a").alias("id")).join(components, "id").groupBy("component").agg(F.count("*").alias("links"))
+    rows = join.members.join(components.withColumnRenamed("id", "rep"), "rep", "left").join(links, "component", "left")
     return rows.select("ord", F.col("rep").alias("representative"), F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

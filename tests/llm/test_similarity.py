@@ -6,7 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from kvist.llm.neardup import SimilarityJoin, connected, near_duplicate_groups, near_duplicate_pairs
+from kvist.llm.neardup import SimilarityJoin, connected, near_duplicate_groups, near_duplicate_pairs, shingle_sets
 from kvist.llm.similar import divisible_by_100, most_similar, similar_pairs
 
 WORDS = [f"o{i}" for i in range(400)]
@@ -36,14 +36,73 @@ def brute(texts, least=20, n=3, t="0.6"):
     return {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize("similarity", ["0.6", "0.8"])
+@pytest.mark.parametrize("similarity", ["0.6", "0.8", "0.9"])
 def test_pairs_against_brute_force(spark, similarity):
     rng = random.Random(7)
     texts = list(enumerate(variants(rng, 60), 1))
     texts += [(5001, texts[0][1]), (5002, texts[0][1].upper()), (5003, None), (5004, ""), (5005, "kort tekst"), (5006, texts[3][1] + " " + " ".join(rng.choice(WORDS) for _ in range(30000)))]
     df = spark.createDataFrame([(o, x, "clash") for o, x in texts], "_ord bigint, text string, id string").repartition(3)
     got = [tuple(r) for r in near_duplicate_pairs(df, similarity=similarity).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(texts, t=similarity)
+    want = brute(texts, t=similarity)
+    assert len(got) == len(set(got)) and set(got) == want
+    rows = {r["ord"]: r for r in near_duplicate_groups(df, similarity=similarity).collect()}
+    assert {o: r["group_id"] for o, r in rows.items()} == components(rows, want)
+
+
+def components(ids, pairs):
+    label = {o: o for o in ids}
+    for _ in range(60):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+@pytest.mark.parametrize("block,band", [(4, 10_000), (4, 12), (64, 7)])
+def test_one_sequence_in_every_record(spark, monkeypatch, block, band):
+    """A list of all records is cut into blocks and bands; no task compares the whole list with itself, and nothing is lost."""
+    import kvist.llm.neardup as neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BAND", band)
+    rng = random.Random(3)
+    texts = [(i, "felles ord her " + " ".join(rng.choice(WORDS) for _ in range(rng.randint(17, 19)))) for i in range(1, 120)]
+    texts += [(1000 + i, " ".join(["a b c d e f g h i j k l m n o p q r s t u v w x y z"] + [f"q{i}"])) for i in range(40)]
+    texts += [(2000 + i, texts[i][1] + f" ny{i}") for i in range(20)]
+    df = spark.createDataFrame(texts, "_ord bigint, text string")
+    for t in ("0.6", "0.9"):
+        assert {tuple(r) for r in near_duplicate_pairs(df, similarity=t).collect()} == brute(texts, t=t)
+
+
+def test_entries_of_a_long_list_meet_once():
+    import numpy as np
+
+    import kvist.llm.neardup as neardup
+
+    n = 5 * neardup.BAND
+    ident = np.arange(n)
+    zeros, ones = np.zeros(n, np.int64), np.ones(n, np.int64)
+    batch = neardup._entry_batch(ones * 7, ones * n, ident, zeros > 0, ones * 30, ones * 30, ones * 30, zeros, ones * 29, np.stack([zeros, zeros]))
+    assert batch.num_rows == 5 * n
+    x = neardup._read_entries(batch)
+    _, sizes = np.unique(x["list"], return_counts=True)
+    assert len(sizes) == 15 and sizes.max() < 2.2 * neardup.BAND
+    cells = {}
+    for a, c, s in zip(x["id"].tolist(), x["list"].tolist(), zip(x["crossed"].tolist(), x["side"].tolist())):
+        if a < 300:
+            cells.setdefault(c, []).append((a, *s))
+    met = [tuple(sorted((p[0], q[0]))) for own in cells.values() for k, p in enumerate(own) for q in own[k + 1 :] if not p[1] or p[2] != q[2]]
+    assert len(met) == len(set(met)) == 300 * 299 // 2
+
+
+def test_groups_need_few_links(spark):
+    """A thousand near copies of one text: links grow with the records, not with their pairs."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [(i, " ".join([*base[: i % 90 + 5], f"x{i}", *base[i % 90 + 5 :]])) for i in range(1, 1001)]
+    df = spark.createDataFrame(texts, "_ord bigint, text string")
+    join = SimilarityJoin(shingle_sets(df, "_ord", "text"))
+    assert join.answers(every=False).count() < 20_000
+    rows = near_duplicate_groups(df).collect()
+    assert len(rows) == 1000 and {r["group_id"] for r in rows} == {1} and 999 <= rows[0]["links"] < 20_000
 
 
 def test_followers_are_used_and_exact(spark):
