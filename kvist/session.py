@@ -37,14 +37,15 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, partitions: int | None = None, dictionary: bool = True) -> DataFrame:
     """Write df as a Parquet table into the shared folder and read it again.
 
     Cuts the lineage, survives lost executors, keeps columns prunable; removed when the JVM ends.
+    dictionary: whether repeated values are looked for; hashes and vectors have none.
     """
     spark = df.sparkSession
     path = scratch(spark)
-    (df.repartition(partitions) if partitions else df).write.parquet(path)
+    (df.repartition(partitions) if partitions else df).write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
