@@ -42,7 +42,8 @@ MARKS = 4
 COUNTED, KEPT_WORDS = 1 << 22, 200_000
 
 _WORDS = re.compile("[0-9a-zæøå]+").findall
-_SETS = "ord bigint, n int, items array<bigint>, k1 bigint, k2 bigint, marks array<bigint>, counts array<int>"
+#: Items are 64-bit numbers, one after the other, as bytes: nothing in the JVM looks into them.
+_SETS = "ord bigint, n int, items binary, k1 bigint, k2 bigint, marks array<bigint>, counts binary"
 #: An entry: its list, its set, n / rest / whole / crossed / side, how far lo, hi and slack are from n, n and 0, and the bitmap.
 _ENTRIES = "list bigint, id bigint, place bigint, span bigint, b0 bigint, b1 bigint"
 #: Largest distance that span holds; from it on a distance counts as unlimited.
@@ -109,9 +110,8 @@ def shingle_sets(df: DataFrame, order: str, text: str, shingle: int = SHINGLE, l
         def weights() -> pa.RecordBatch:
             tok, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.int64), return_counts=True)
             often = n > 1
-            one = lambda v, kind: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kind))
             none = pa.nulls(1, pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.int32()), one(tok[often], pa.int64()), none, none, pa.nulls(1, pa.list_(pa.int64())), one(n[often].astype(np.int32), pa.int32())], names=names)
+            return pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.int32()), pa.array([tok[often].tobytes()]), none, none, pa.nulls(1, pa.list_(pa.int64())), pa.array([n[often].tobytes()])], names=names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -123,8 +123,7 @@ def shingle_sets(df: DataFrame, order: str, text: str, shingle: int = SHINGLE, l
                 keys = [pa.array(np.add.reduceat(_mix(bits, k), first).view(np.int64)) for k in (2, 3)]
                 marks = np.stack([np.minimum.reduceat(_mix(bits, 10 + k), first).view(np.int64) for k in range(MARKS)], 1)
                 marks = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * MARKS, pa.int32()), pa.array(marks.ravel()))
-                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(items))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(rows)), pa.array(np.diff(begins), pa.int32()), lists, *keys, marks, pa.nulls(len(rows), pa.list_(pa.int32()))], names=names)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(rows)), pa.array(np.diff(begins), pa.int32()), _packed(items, begins), *keys, marks, pa.nulls(len(rows), pa.binary())], names=names)
                 seen.append(items)
                 held += len(items)
                 if held >= COUNTED:
@@ -173,11 +172,24 @@ def _bitmaps(items: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, begins) of a list column without nulls."""
+    """(values, begins) of a column of lists or of packed numbers, without nulls."""
+    if pa.types.is_binary(column.type):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+        return np.frombuffer(column.buffers()[2], np.int64)[offsets[0] : offsets[-1]] if offsets[-1] else np.zeros(0, np.int64), (offsets - offsets[0]).astype(np.int64)
     offsets = column.offsets.to_numpy()
     return column.values.to_numpy()[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
 
 
+def _packed(items: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Rows of numbers as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer((begins * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(items))])
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many parities of two bitmaps differ."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64)
+
+
 def _entry_batch(tok, weight, ident, whole, n, lo, hi, slack, rest, bitmap, component=()) -> pa.RecordBatch:
     """Index entries; an entry of a long list goes to each cell of the grid that its band meets."""
     n, lo, hi, slack, rest = (v.astype(np.int64) for v in (n, lo, hi, slack, rest))
@@ -222,7 +234,7 @@ def _fits(x: dict, a: np.ndarray, b: np.ndarray, share: Fraction) -> np.ndarray:
 
 def _similar_enough(x: dict, a: np.ndarray, b: np.ndarray, share: Fraction) -> np.ndarray:
     """The same by the sets' bitmaps: each differing parity is an element outside the overlap."""
-    apart = sum(np.bitwise_count((x[c][a] ^ x[c][b]).view(np.uint64)).astype(np.int64) for c in ("b0", "b1"))
+    apart = sum(_apart(x[c][a], x[c][b]) for c in ("b0", "b1"))
     most = (x["n"][a] + x["n"][b] - apart) // 2 + x["slack"][a] + x["slack"][b]
     return most >= _needed(x["lo"][a] + x["lo"][b], share)
 
@@ -293,6 +305,38 @@ def _candidates(share: Fraction):
     return run
 
 
+_SEEN = "a bigint, b bigint, na int, nb int, ta array<bigint>, tb array<bigint>, both int, ga boolean, gb boolean, direct boolean, again boolean"
+
+
+def _verified(share: Fraction, every: bool):
+    """Counts the common elements of pairs (a, b, ta, tb, la, lb, sa, sb) and keeps those that are similar or speak for sets that may be.
+
+    l: the least size of the sets that a side speaks for, s: its slack, or -1 where it speaks for itself alone. Only rows
+    that are looked at ``again`` keep their elements.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            (ta, at), (tb, bt) = _lists(batch.column(2)), _lists(batch.column(3))
+            la, lb, sa, sb = (batch.column(k).to_numpy().astype(np.int64) for k in range(4, 8))
+            na, nb = np.diff(at), np.diff(bt)
+            both = np.array([len(np.intersect1d(ta[at[i] : at[i + 1]], tb[bt[i] : bt[i + 1]], True)) for i in range(len(a))])
+            direct = (both >= _needed(na + nb, share)) & (a != b)
+            ga, gb = sa >= 0, sb >= 0
+            again = (ga | gb) & (both >= _needed(la + lb, share) - np.maximum(sa, 0) - np.maximum(sb, 0))
+            again = again if every else again & ~direct
+            k = np.flatnonzero(direct | again)
+            part = lambda t, at: pa.array([t[at[i] : at[i + 1]] if again[i] else None for i in k], pa.list_(pa.int64()))
+            i32 = lambda x: pa.array(x[k].astype(np.int32))
+            cols = [pa.array(a[k]), pa.array(b[k]), i32(na), i32(nb), part(ta, at), part(tb, bt), i32(both), *(pa.array(x[k]) for x in (ga, gb, direct, again))]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in _SEEN.split(", ")])
+
+    return run
+
+
 class SimilarityJoin:
     """All pairs of sets with a Jaccard similarity of at least ``similarity``; see the module. sets: what shingle_sets gives."""
 
@@ -301,7 +345,7 @@ class SimilarityJoin:
         if not 0 < self.share <= 1:
             raise ValueError("similarity must be over 0 and at most 1")
         self.num, self.den = self.share.numerator, self.share.denominator
-        rows = materialize(sets)
+        rows = materialize(sets, dictionary=False)
         keyed = rows.filter("counts IS NULL")
         keys = keyed.select("ord", "n", "k1", "k2", "marks")
         classes = keys.groupBy("k1", "k2", "n").agg(F.min("ord").alias("rep"))
@@ -317,17 +361,18 @@ class SimilarityJoin:
         """Sequences that occur often, at most MOST_WEIGHTS, as all weights together are at most the number of all elements."""
         total = rows.filter("counts IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         least = max(LIGHT, -(-total // MOST_WEIGHTS))
-        seen = rows.filter("counts IS NOT NULL").select(F.explode(F.arrays_zip("items", "counts")).alias("s")).groupBy("s.items").agg(F.sum("s.counts").alias("weight"))
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(_lists(batch.column(k))[0]) for k in (0, 1)], names=["tok", "n"])
+
+        seen = rows.filter("counts IS NOT NULL").select("items", "counts").mapInArrow(unpack, "tok bigint, n bigint").groupBy("tok").agg(F.sum("n").alias("weight"))
         t = seen.filter(F.col("weight") >= least).toArrow()
         return _Order(t.column(0).to_numpy(), t.column(1).to_numpy())
 
     def similar(self, overlap: Column, total: Column) -> Column:
         return overlap * (self.num + self.den) >= total * self.num
 
-    def needed(self, total: Column) -> Column:
-        """The least overlap of two similar sets with ``total`` elements together."""
-        return F.ceil(total * self.num / (self.num + self.den) - 1e-9)
-
     def _of(self, ids: DataFrame, as_: str, items: str, n: str) -> DataFrame:
         """The sets of ids (id), whose scan is filtered before anything is shuffled where the ids are few."""
         return self.sets.join(broadcast_if_small(ids), "id").select(F.col("id").alias(as_), F.col("items").alias(items), F.col("n").alias(n))
@@ -353,12 +398,17 @@ class SimilarityJoin:
                     continue
                 ident, leader, first = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
                 (items, begins), (led, led_begins) = _lists(batch.column(2)), _lists(batch.column(3))
+                bits = _bitmaps(items, begins)
+                # Most sets of one mark differ too much; their bitmaps tell that.
+                n, led_n = np.diff(begins), np.diff(led_begins)
+                apart = sum(map(_apart, bits, _bitmaps(led, led_begins)))
+                near = apart <= np.maximum(1, FOLLOW * led_n) if every else (n + led_n - apart) // 2 >= _needed(n + led_n, share)
                 row, tok, weight, rest = order.value.prefixes(items, begins, share)
                 at = np.searchsorted(row, np.arange(len(ident) + 1))
                 led_row, led_tok, _, _ = order.value.prefixes(led, led_begins, share)
                 led_at = np.searchsorted(led_row, np.arange(len(ident) + 1))
-                bits, out, none = _bitmaps(items, begins), [], np.zeros(0, np.int64)
-                for i in range(len(ident)):
+                out, none = [], np.zeros(0, np.int64)
+                for i in np.flatnonzero(near):
                     own, lead = items[begins[i] : begins[i + 1]], led[led_begins[i] : led_begins[i + 1]]
                     plus = np.setdiff1d(own, lead, True)
                     both = len(own) - len(plus)
@@ -434,32 +484,24 @@ class SimilarityJoin:
         first = rows.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
         entries = self._entries(followers, groups, None if every else connected(first))
         met = entries.repartition("list").sortWithinPartitions("list").mapInArrow(_candidates(self.share), "a bigint, b bigint, wa boolean, wb boolean")
-        candidates = materialize(met.distinct())
+        candidates = met.distinct()
+        if every:
+            candidates = candidates.unionByName(groups.select(F.col("leader").alias("a"), F.col("leader").alias("b"), F.lit(True).alias("wa"), F.lit(True).alias("wb")))
+        candidates = materialize(candidates)
 
         ids = materialize(candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct())
         left, right = self._of(ids, "a", "ta", "na"), self._of(ids, "b", "tb", "nb")
         slack_of = lambda side, w: groups.select(F.col("leader").alias(side), F.lit(True).alias(w), F.col("lo").alias(f"l{side}"), F.col("slack").alias(f"s{side}"))
-        seen = (
-            candidates.join(left, "a").join(right, "b")
-            .withColumn("both", F.size(F.array_intersect("ta", "tb")))
-            .join(slack_of("a", "wa"), ["a", "wa"], "left").join(slack_of("b", "wb"), ["b", "wb"], "left")
-        )
-        relaxed = self.needed(F.least("na", F.coalesce("la", "na")) + F.least("nb", F.coalesce("lb", "nb"))) - F.coalesce("sa", F.lit(0)) - F.coalesce("sb", F.lit(0))
-        wide = F.col("sa").isNotNull() | F.col("sb").isNotNull()
-        direct = self.similar(F.col("both"), F.col("na") + F.col("nb"))
-        # Only pairs that speak for followers are looked at again with their elements.
-        again = wide & (F.lit(every) | ~direct)
-        kept = [F.when(again, F.col(t)).alias(t) for t in ("ta", "tb")]
-        seen = materialize(seen.filter(F.col("both") >= relaxed).select("a", "b", "na", "nb", *kept, "both", F.col("sa").isNotNull().alias("ga"), F.col("sb").isNotNull().alias("gb"), direct.alias("direct"), again.alias("again")))
+        paired = candidates.join(left, "a").join(right, "b").join(slack_of("a", "wa"), ["a", "wa"], "left").join(slack_of("b", "wb"), ["b", "wb"], "left")
+        paired = paired.select("a", "b", "ta", "tb", *[F.coalesce(F.least("na", "la") if x == "a" else F.least("nb", "lb"), f"n{x}").alias(f"l{x}") for x in "ab"], *[F.coalesce(f"s{x}", F.lit(-1)).alias(f"s{x}") for x in "ab"])
+        seen = materialize(paired.mapInArrow(_verified(self.share, every), _SEEN))
 
         # Answers of followers, derived from those of their leaders; a leader's own family is its answer, too.
         none = F.array().cast("array<bigint>")
         family = followers.select("leader", F.col("id").alias("f"), F.col("n").alias("fn"), "plus", "minus")
         lead = self._of(groups.select(F.col("leader").alias("id")), "id", "items", "n")
         kin = family.unionByName(lead.select(F.col("id").alias("leader"), F.col("id").alias("f"), F.col("n").alias("fn"), none.alias("plus"), none.alias("minus")))
-        same = lead.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.col("items").alias("ta"), F.col("items").alias("tb"), F.size("items").alias("both"), F.lit(True).alias("ga"), F.lit(True).alias("gb"))
         todo = seen.filter("again").drop("direct", "again")
-        todo = todo.unionByName(same) if every else todo
 
         def spread_over(df: DataFrame, on: str, flag: str, p: str) -> DataFrame:
             """Each row once for every set that its side represents: f{p}, fn{p}, plus{p}, minus{p}."""
