@@ -6,6 +6,7 @@ are fixed values.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -33,12 +34,16 @@ DASHES = "‐‑‒–—―−﹘﹣－⁃˗"
 VARIANT_TAGS = ("<wide>", "<narrow>", "<font>", "<small>", "<circle>", "<square>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>")
 
 
+_LATIN = re.compile(r"[0-9A-Za-z\u00C0-\u024F().]+").fullmatch
+
+
 @lru_cache(maxsize=1)
 def variants() -> dict[str, str]:
     """Width and presentation variants of letters, digits and signs with their ordinary form.
 
-    By rule: a compatibility mapping under one of VARIANT_TAGS, a ligature of letters, or a canonical
-    singleton; only where the ordinary form consists of letters, digits or signs of Latin text.
+    By rule: a compatibility mapping under one of VARIANT_TAGS, a ligature of letters, any other compatibility
+    form of a letter or number that is made of Latin letters, digits, brackets and full stops (Roman numerals,
+    letter pairs, bracketed digits), or a canonical singleton.
     """
     found = {}
     for cp in range(0x80, sys.maxunicode + 1):
@@ -48,7 +53,7 @@ def variants() -> dict[str, str]:
             continue
         tag, _, rest = d.partition(" ") if d[0] == "<" else ("", "", d)
         to = unicodedata.normalize("NFKC", ch)
-        ligature = tag == "<compat>" and 0xFB00 <= cp <= 0xFB4F
+        ligature = tag == "<compat>" and (0xFB00 <= cp <= 0xFB4F or (unicodedata.category(ch)[0] in "LN" and _LATIN(to) is not None))
         singleton = not tag and " " not in rest
         if to != ch and " " not in to and (tag in VARIANT_TAGS or ligature or singleton) and not unicodedata.category(ch).startswith("Z"):
             found[ch] = to
