@@ -2,8 +2,9 @@
 
 Compatibility normalisation and the deletion of what isn't seen come first. Letters that look like a
 Latin one are then decided word by word: each such letter has two readings, a Viterbi search takes the
-best path through the word's lattice under a character trigram model of the corpus' own Latin words,
-with a price for each change of script, so that words wholly in another alphabet stay as they are.
+best path of one script through the word's lattice under a character trigram model of the corpus' own
+Latin words, so that words wholly in another alphabet stay as they are; only where no path is of one
+script does a path win that changes it, at a price for each change.
 In an identifier dashes are hyphens besides, and the letter of a section number is read by table alone:
 it is one letter, where no word tells its alphabet.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -34,9 +36,27 @@ ORDINARY_IDENTIFIER = ORDINARY.replace("–", "")
 _JOINED = regex.compile(r"(\p{Extended_Pictographic}(?:[️\U0001F3FB-\U0001F3FF]|‍(?=\p{Extended_Pictographic})|\p{Extended_Pictographic})*)")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _LOOKALIKE = frozenset(LOOKALIKES)
+#: By script: the letters that Latin ones may stand for in a word of that script.
+_FOREIGN: dict[str, dict[str, str]] = {}
+for _letter, _latin in LOOKALIKES.items():
+    if len(_latin) == 1 and _latin.isascii():
+        _FOREIGN.setdefault(unicodedata.name(_letter).split(" ")[0], {}).setdefault(_latin, _letter)
+_FOREIGN["CYRILLIC"]["k"] = "к"
 _ACCENT = regex.compile(r"(?<=\p{L}\p{M}*)\p{M}")
 
 
+@lru_cache(maxsize=4096)
+def _script(ch: str) -> str:
+    """L for Latin, else the first word of the letter's name."""
+    name = unicodedata.name(ch, "?").split(" ")[0]
+    return "L" if name == "LATIN" else name
+
+
+def _stood_in(text: str, plain: str) -> bool:
+    """Did a letter of another alphabet stand for a Latin one? Both have the same letters at the same places; the reverse is no case."""
+    return text != plain and any(a != b and _script(a) != "L" for a, b in zip(text, plain))
+
+
 def trigram_counts(texts: DataFrame, column: str) -> dict[str, int]:
     """Counts of the letter trigrams of all words of all texts, with '^' for the border; at most 30 ** 3 entries."""
     words = spread(texts.select("_ord", column), "_ord").select(F.explode_outer(F.regexp_extract_all(F.lower(column), F.lit(f"(?U)(?<![\\p{{L}}\\p{{M}}])[{LETTERS}]+(?![\\p{{L}}\\p{{M}}])"), F.lit(0))).alias("w"))
@@ -56,6 +76,13 @@ class Normalizer:
         self.pairs: dict[str, int] = {}
         for g, n in counts.items():
             self.pairs[g[:2]] = self.pairs.get(g[:2], 0) + n
+        self.twos: dict[str, int] = {}
+        self.ones: dict[str, int] = {}
+        self.after: dict[str, int] = {}
+        for g, n in counts.items():
+            for held, x in ((self.twos, g[1:]), (self.ones, g[2]), (self.after, g[1])):
+                held[x] = held.get(x, 0) + n
+        self.total = sum(self.ones.values()) or 1
         self.table = str.maketrans(variants() | dict.fromkeys(ignorable()) | dict.fromkeys(blanks() + "\t", " "))
         self.special = frozenset(map(chr, self.table))
         self.dashes = str.maketrans(dict.fromkeys(DASHES, "-"))
@@ -63,8 +90,9 @@ class Normalizer:
         self.known: dict[str, str] = {}
 
     def latin(self, a: str, b: str, c: str) -> float:
-        """Log-probability of letter c after a and b, smoothed; letters outside the model count as unseen."""
-        return math.log((self.counts.get(a + b + c, 0) + 0.05) / (self.pairs.get(a + b, 0) + 0.05 * 30))
+        """Log-probability of letter c after a and b: trigrams, backed off to pairs, single letters and a floor."""
+        p = 0.05 / 30 + 0.15 * self.ones.get(c, 0) / self.total + 0.3 * self.twos.get(b + c, 0) / (self.after.get(b, 0) or 1)
+        return math.log(p + 0.5 * self.counts.get(a + b + c, 0) / (self.pairs.get(a + b, 0) or 1))
 
     def word(self, word: str) -> str:
         """The best reading of a word with letters of other alphabets."""
@@ -75,25 +103,33 @@ class Normalizer:
             return latin if f"^{latin.lower()}^" in self.counts else word
         if word in self.known:
             return self.known[word]
-        paths: dict[tuple[str, str, str], tuple[float, str]] = {("^", "^", ""): (0.0, "")}
+        best = self.search(word)
+        if len(self.known) < 100_000:
+            self.known[word] = best
+        return best
+
+    def search(self, word: str) -> str:
+        """Viterbi over the word's lattice: a letter may be read as it stands or as its look-alike of the other script.
+
+        Paths of one script come first: a path that changes script counts only where none of one script exists.
+        """
+        scripts = {_script(ch) for ch in word if unicodedata.category(ch)[0] != "M"}
+        paths: dict[tuple[str, str, str, bool], tuple[float, str]] = {("^", "^", "", False): (0.0, "")}
         for ch in word:
-            readings = [ch, LOOKALIKES[ch]] if ch in LOOKALIKES else [ch]
-            after: dict[tuple[str, str, str], tuple[float, str]] = {}
-            for (a, b, script), (score, text) in paths.items():
+            readings = [ch, LOOKALIKES[ch]] if ch in LOOKALIKES else [ch, *(_FOREIGN[s][ch] for s in sorted(scripts & _FOREIGN.keys()) if ch in _FOREIGN[s])]
+            after: dict[tuple[str, str, str, bool], tuple[float, str]] = {}
+            for (a, b, script, mixed), (score, text) in paths.items():
                 for r in readings:
-                    own = "L" if r[0] < "ɐ" else unicodedata.name(r[0], "?").split(" ")[0]
-                    if unicodedata.category(r[0])[0] == "M":
-                        own = script
+                    own = script if unicodedata.category(r[0])[0] == "M" else _script(r[0])
                     x = r[-1].lower() if own == "L" else "?"
-                    s = score + (self.latin(a, b, x) if own == "L" else OTHER) + (CHANGE if script and own != script else 0.0)
-                    key = (b, x, own)
+                    change = bool(script) and own != script
+                    s = score + (self.latin(a, b, x) if own == "L" else OTHER) + (CHANGE if change else 0.0)
+                    key = (b, x, own, mixed or change)
                     if key not in after or s > after[key][0]:
                         after[key] = (s, text + r)
             paths = after
-        best = max(paths.items(), key=lambda p: p[1][0] + (self.latin(p[0][0], p[0][1], "^") if p[0][2] == "L" else OTHER / 4))[1][1]
-        if len(self.known) < 100_000:
-            self.known[word] = best
-        return best
+        ends = {p: s + (self.latin(p[0], p[1], "^") if p[2] == "L" else OTHER / 4) for p, (s, _) in paths.items()}
+        return paths[max(ends, key=lambda p: (not p[3], ends[p]))][1]
 
     def words(self, text: str) -> str:
         """The text with the best reading of each word that holds a look-alike letter."""
@@ -115,10 +151,11 @@ class Normalizer:
             m = regex.fullmatch(r"\s*(?:§\s*)*(\d{1,2})\s*-\s*(\d{1,2})\s*([a-zA-Z]?)\s*", plain)
             if m:
                 return f"§ {m[1]}-{m[2]}{m[3]}", case or plain != out
-            plain = self.words(out.translate(self.dashes))
-            return " ".join(plain.split()), case or plain != out
+            dashed = out.translate(self.dashes)
+            plain = self.words(dashed)
+            return " ".join(plain.split()), case or dashed != out or _stood_in(dashed, plain)
         plain = self.words(out)
-        return plain.replace("\r\n", "\n").replace("\r", "\n").strip(), case or plain != out
+        return plain.replace("\r\n", "\n").replace("\r", "\n").strip(), case or _stood_in(out, plain)
 
 
 def plain_values(values: DataFrame, counts: dict[str, int], cases_only: bool) -> DataFrame:

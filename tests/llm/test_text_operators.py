@@ -78,6 +78,14 @@ def test_words_of_identifiers(text, plain, case):
     assert Normalizer(COUNTS | {"^o^": 1}).plain(text, True) == (plain, case)
 
 
+@pytest.mark.parametrize("text,plain,case", [
+    ("caf\u0435", "cafe", True), ("\u0443oga", "yoga", True), ("yog\u0430", "yoga", True), ("\u0501ag", "dag", True), ("T\u0395\u039a", "TEK", True), ("\u041c\u043e\u0441k\u0432\u0430", "\u041c\u043e\u0441\u043a\u0432\u0430", False),
+    ("\u0445\u043e\u0440 \u0441\u043e\u0440 \u043e\u0441\u0430", "\u0445\u043e\u0440 \u0441\u043e\u0440 \u043e\u0441\u0430", False), ("Ⅳ", "IV", True), ("ǆ", "dž", True), ("⑴", "(1)", True), ("\u00b5m", "\u00b5m", False), ("№ 5…", "№ 5…", False), ("ΔT", "ΔT", False),
+])
+def test_words_of_one_script(text, plain, case):
+    assert Normalizer(COUNTS).plain(text, False) == (plain, case)
+
+
 def test_look_alike_tables(spark):
     p = spark.createDataFrame([(1, "§ 1-1", "krav"), (2, None, None), (3, "§ 1-1", "kr­av"), (3, "§ 1-1", "kr­av")], "_ord bigint, section_id string, reg_text string").withColumn("value", F.lit(1))
     q = spark.createDataFrame([(7, ["1-1", None, "1–1", "1‑2"]), (8, None), (9, [])], "_ord bigint, target_sections array<string>")
