@@ -112,11 +112,12 @@ class Normalizer:
         """Viterbi over the word's lattice: a letter may be read as it stands or as its look-alike of the other script.
 
         Paths of one script come first: a path that changes script counts only where none of one script exists.
+        Latin letters may stand for foreign ones only where the word can't be wholly Latin.
         """
-        scripts = {_script(ch) for ch in word if unicodedata.category(ch)[0] != "M"}
+        foreign = {_script(ch) for ch in word if ch not in LOOKALIKES and unicodedata.category(ch)[0] != "M"} - {"L"}
         paths: dict[tuple[str, str, str, bool], tuple[float, str]] = {("^", "^", "", False): (0.0, "")}
         for ch in word:
-            readings = [ch, LOOKALIKES[ch]] if ch in LOOKALIKES else [ch, *(_FOREIGN[s][ch] for s in sorted(scripts & _FOREIGN.keys()) if ch in _FOREIGN[s])]
+            readings = [ch, LOOKALIKES[ch]] if ch in LOOKALIKES else [ch, *(_FOREIGN[s][ch] for s in sorted(foreign & _FOREIGN.keys()) if ch in _FOREIGN[s])]
             after: dict[tuple[str, str, str, bool], tuple[float, str]] = {}
             for (a, b, script, mixed), (score, text) in paths.items():
                 for r in readings:
