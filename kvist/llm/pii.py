@@ -1,8 +1,8 @@
 """Personal information inside free text: finding it, and replacing it with typed placeholders.
 
-Validated numbers (phone numbers, identity numbers with their birth dates) are permuted within their
-format by a keyed Feistel network, so that equal values stay linked across documents and a placeholder
-never holds a real value; other kinds carry a keyed digest.
+Validated numbers (phone numbers, identity numbers with their birth dates) and dates are permuted within
+their format by a keyed Feistel network, so that equal values stay linked across documents and no digit of a
+value but its country code is kept; other kinds carry a keyed digest of their normal form.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ from pyspark.sql import DataFrame
 
 from kvist.session import spread
 
-#: The default key of the pseudonyms; a parameter, to be given by whoever publishes the text.
-KEY = b"kvist"
+EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME, DATE = "email", "phone", "id_number", "address", "name", "date"
 
-EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = "email", "phone", "id_number", "address", "name"
+# Country codes of one and of two digits; all others have three.
+_ONE_DIGIT = ["1", "7"]
+_TWO_DIGITS = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+HOME = "47"
 
 # Ends of file names, which make a@b.png no address.
 _FILE_ENDS = "png|jpe?g|gif|svg|webp|bmp|tiff?|pdf|docx?|xlsx?|pptx?|txt|csv|zip|html?|xml|json|dwg|ifc|css|js|py|md|log|bak|tmp|exe"
@@ -32,6 +36,8 @@ _AT = rf"(?:@|\s?{_BRACKETED}\s?)"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|punkt|punktum|prikk)\s?[)\]}]\s?|\s(?:dot|punkt|punktum)\s)"
 _LABEL = r"[\p{L}\d](?:[\p{L}\d-]{0,61}[\p{L}\d])?"
 _LOCAL = rf"[\p{{L}}\d_+%](?:[\p{{L}}\d_+%.'-]{{0,62}}[\p{{L}}\d_+%-])?"
+#: Most characters before the sign: two local parts of 64, a spoken dot between them, and the one that must not be there.
+_MAIL_REACH = 2 * 64 + len(" punkt ") + 1
 _SPOKEN_AT = r"\s(?:at|krøllalfa|alfakrøll|snabela)\s"
 _SPOKEN_DOT = r"\s(?:dot|punkt|punktum)\s"
 _END = rf"(?!(?:{_FILE_ENDS})\b)\p{{L}}{{2,24}}(?![\p{{L}}\d@])"
@@ -72,6 +78,10 @@ _ENGLISH = regex.compile(
     r"(?<![\p{L}\d.,/-])\d{1,4}[A-Za-z]?[ \u00a0\u202f](?:\p{Lu}[\p{L}'-]+[ \u00a0\u202f]){1,3}(?i:close|road|street|lane|avenue|drive|way|court|place|gardens|terrace|crescent|row|square|hill|grove)(?![\p{L}\d])"
 )
 
+# The last four words before a place, read backwards; as far as a street's name or a number's label can reach.
+_WORDS_BEFORE = regex.compile(r"(?r)[^ \u00a0\u202f]*(?:[ \u00a0\u202f][^ \u00a0\u202f]*){0,4}")
+_DATE = regex.compile(r"(?<![\d./-])(?:(?P<y>\d{4})-(?P<m>\d\d)-(?P<d>\d\d)|(?P<d>\d{1,2})[./](?P<m>\d{1,2})[./](?P<y>\d{4}))(?![\d/-]|\.\d)")
+
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:[-'’]\p{L}[\p{L}\p{M}]*)*")
 _GAP = regex.compile(r"[ \u00a0\u202f\t]{1,2}\Z")
 _COMMA = regex.compile(r",[ \u00a0\u202f\t]{1,2}\Z")
@@ -92,6 +102,10 @@ def valid_id(d: str, m: str, y: str, i: str, k: str) -> bool:
     return 1 <= month <= 12 and 1 <= day <= (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[month - 1]
 
 
+#: Distinct words of which a worker remembers whether a name can begin with them.
+KEPT_WORDS = 200_000
+
+
 class Names:
     """A register of names; family names it lacks are told by the endings that its families share."""
 
@@ -103,16 +117,30 @@ class Names:
             for k in range(4, len(n) - 1):
                 ends[n[-k:]].add(n[-k - 1])
         #: Endings that follow at least three different letters in the register: where a name is composed.
-        self.ends = tuple(e for e, before in ends.items() if len(before) >= 3)
+        self.ends = frozenset(e for e, before in ends.items() if len(before) >= 3)
+        self.lengths = sorted({len(e) for e in self.ends})
+        self.anchors: dict[str, bool] = {}
 
     def is_given(self, w: str) -> bool:
         return w in self.given or ("-" in w and all(p in self.given for p in w.split("-")))
 
+    def is_composed(self, w: str) -> bool:
+        """Does a word end like composed family names? Its own endings are looked up, whatever the register's size."""
+        return len(w) > 5 and any(w[-k:] in self.ends for k in self.lengths if k < len(w))
+
     def is_family(self, w: str) -> bool:
-        if w in self.family or (len(w) > 5 and bool(self.ends) and w.endswith(self.ends) and "-" not in w):
+        if w in self.family or ("-" not in w and self.is_composed(w)):
             return True
         return "-" in w and all(self.is_family(p) for p in w.split("-"))
 
+    def anchor(self, w: str) -> bool:
+        """Can a name begin with this word? Remembered for up to KEPT_WORDS words."""
+        if w not in self.anchors:
+            if len(self.anchors) >= KEPT_WORDS:
+                self.anchors.clear()
+            self.anchors[w] = w in self.given or w in self.family or len(w) == 1 or "-" in w or self.is_composed(w)
+        return self.anchors[w]
+
     def find(self, text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         """(start, end) of names of persons outside the stretches taken."""
         masked = text
@@ -124,8 +152,7 @@ class Names:
             masked = "".join(parts) + text[at:]
         tokens = list(_TOKEN.finditer(masked))
         words = [t[0].lower() for t in tokens]
-        given, family, ends = self.given, self.family, self.ends
-        anchors = [k for k, w in enumerate(words) if w in given or w in family or len(w) == 1 or "-" in w or (len(w) > 5 and w.endswith(ends))] if ends else range(len(words))
+        anchors = [k for k, w in enumerate(words) if self.anchor(w)]
         n, i = len(tokens), 0
 
         def gap(k: int) -> str:
@@ -194,7 +221,7 @@ class Names:
 
 def _mails(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _MAIL_SIGN.finditer(text) if "@" in text or any(h.search(text) for h in _MAIL_HINTS) else ():
-        low = max(0, m.start() - 130)
+        low = max(0, m.start() - _MAIL_REACH)
         before, after = _MAIL_BEFORE.search(text[low : m.start()]), _MAIL_AFTER.match(text, m.end())
         if before and after:
             yield low + before.start(), after.end(), EMAIL
@@ -208,13 +235,13 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
             found.append((*m.span(), ID_NUMBER))
     for m in (m for d in _DIGITS.finditer(text) for m in _PHONE.finditer(text, d.start(), min(len(text), d.end() + 3))):
         if m["plain"]:
-            before = text[max(0, m.start() - 28) : m.start()]
+            before = text[min(_WORDS_BEFORE.match(text, 0, m.start()).start(), max(0, m.start() - 28)) : m.start()]
             digits = m["plain"].isdigit()
             if _UNITS.match(text[m.end() : m.end() + 10]) or (_OTHERS.search(before) and not regex.search(r"(?i)(?:tlf|telefon\w*|mobil\w*|phone|call)[\s.:]*(?:nr|no|nummer)?[\s.:]*$", before)) or (digits and not _CALLS.search(before)):
                 continue
         found.append((*m.span(), PHONE))
     for m in _HOUSE.finditer(text):
-        low = max(0, m.start() - 64)
+        low = _WORDS_BEFORE.match(text, 0, m.start()).start()
         street = _STREET.search(text[low : m.start()])
         if street and not (street["word"] and _ROADS.match(street["word"])):
             found.append((low + street.start(), m.end(), ADDRESS))
@@ -228,11 +255,69 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
     return sorted(free + [(s, e, NAME) for s, e in names.find(text, taken)])
 
 
+def dates(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the valid dates in a text that are written in digits."""
+    for m in _DATE.finditer(text):
+        if _day(m) is not None:
+            yield m.start(), m.end(), DATE
+
+
+def _day(m: regex.Match) -> datetime.date | None:
+    try:
+        day = datetime.date(int(m["y"]), int(m["m"]), int(m["d"]))
+    except ValueError:
+        return None
+    return day if Pseudonyms.FIRST <= day.toordinal() < Pseudonyms.FIRST + Pseudonyms.DAYS else None
+
+
+def country(digits: str) -> str:
+    """The country code that the digits after an international prefix begin with."""
+    return digits[:1] if digits[:1] in _ONE_DIGIT else digits[:2] if digits[:2] in _TWO_DIGITS else digits[:3]
+
+
+def _mail_form(text: str) -> str:
+    """local@domain of a mail address, however its signs are written."""
+    at = regex.sub(rf"(?i){_AT}|{_SPOKEN_AT}", "@", text.lower(), count=1)
+    return regex.sub(rf"(?i){_DOT}|{_SPOKEN_DOT}", ".", at)
+
+
+# Forms of the same end of a street's name, the first one stands for all.
+_SAME_ENDS = [["vei", "veien", "vegen", "veg", "v."], ["gate", "gaten", "gata", "gt."], ["allé", "alléen", "alleen", "alle"], ["plass", "plassen"], ["torg", "torget"], ["terrasse", "terrassen"], ["brygge", "brygga", "bryggen"]]
+_END_FORMS = {form: forms[0] for forms in _SAME_ENDS for form in forms}
+_STREET_END = regex.compile("(?:" + "|".join(regex.escape(f) for f in sorted(_END_FORMS, key=len, reverse=True)) + r")(?=\s\d)")
+
+
+def _address_form(text: str) -> str:
+    """Lower case, single blanks, one form of the street's end, no blank before the house's letter."""
+    bare = " ".join(text.lower().split())
+    bare = regex.sub(r"(?<=\d) (?=[a-z]$)", "", bare)
+    return _STREET_END.sub(lambda m: _END_FORMS[m[0]], bare, count=1)
+
+
+def _name_form(text: str, names: Names | None) -> str:
+    """Lower-case words, given names first."""
+    before, comma, after = text.lower().partition(",")
+    words = _TOKEN.findall(f"{after} {before}" if comma else before)
+    if names and not comma and len(words) > 1 and names.is_family(words[0]) and not names.is_given(words[0]) and names.is_given(words[-1]):
+        k = next(i for i, w in enumerate(words) if names.is_given(w))
+        words = words[k:] + words[:k]
+    return " ".join(words)
+
+
 class Pseudonyms:
-    """Keyed pseudonyms: Feistel permutations of numbers within their format, digests for the rest."""
+    """Keyed pseudonyms: Feistel permutations of numbers and dates within their format, digests of normal forms for the rest.
+
+    Who has the key can tell the numbers; it must not be published. names: tells family names from given ones.
+    """
 
-    def __init__(self, key: bytes = KEY) -> None:
-        self.key = key
+    #: The days that dates are permuted among: 1800 to 2199.
+    FIRST = datetime.date(1800, 1, 1).toordinal()
+    DAYS = datetime.date(2200, 1, 1).toordinal() - FIRST
+
+    def __init__(self, key: bytes, names: Names | None = None) -> None:
+        if not key:
+            raise ValueError("pseudonyms need a key")
+        self.key, self.names = key, names
 
     def _round(self, tweak: str, k: int, value: int) -> int:
         return int.from_bytes(hmac.digest(self.key, f"{tweak}|{k}|{value}".encode(), "sha256")[:8], "big")
@@ -281,21 +366,44 @@ class Pseudonyms:
         return "".join(next(it) if c.isdigit() else c for c in text)
 
     def phone(self, text: str) -> str:
-        """Another number with the same prefix and grouping."""
-        m = regex.match(rf"(?:{_PREFIX})?", text)
-        head, rest = text[: m.end()], text[m.end() :]
-        digits = "".join(c for c in rest if c.isdigit())
-        low, size = (2 * 10 ** (len(digits) - 1), 8 * 10 ** (len(digits) - 1)) if digits[0] >= "2" else (0, 10 ** len(digits))
-        it = iter(f"{self.permute(int(digits) - low, size, f'phone{len(digits)}{low}') + low:0{len(digits)}d}")
-        return head + "".join(next(it) if c.isdigit() else c for c in rest)
+        """Another number of the same country with the same grouping; all spellings of a number give the same digits."""
+        at = [i for i, c in enumerate(text) if c.isdigit()]
+        head = regex.match(r"\(?(\+|00)", text)
+        code = HOME
+        if head:
+            at = at[2:] if head[1] == "00" else at
+            code = country("".join(text[i] for i in at))
+            at = at[len(code) :]
+        digits = "".join(text[i] for i in at)
+        low, size = (2 * 10**7, 8 * 10**7) if code == HOME and len(digits) == 8 and digits[0] >= "2" else (0, 10 ** len(digits))
+        new = iter(f"{self.permute(int(digits or 0) - low, size, f'phone{code}|{len(digits)}|{low}') + low:0{len(digits)}d}")
+        out = list(text)
+        for i in at:
+            out[i] = next(new)
+        return "".join(out)
+
+    def date(self, text: str) -> str:
+        """Another date in the same form; 1 January 2020 and 2020-01-01 give the same day."""
+        m = _DATE.fullmatch(text)
+        day = datetime.date.fromordinal(self.FIRST + self.permute(_day(m).toordinal() - self.FIRST, self.DAYS, "date"))
+        full = len(m["d"]) == len(m["m"]) == 2
+        parts = {"y": f"{day.year:04d}", "m": f"{day.month:02d}" if full else str(day.month), "d": f"{day.day:02d}" if full else str(day.day)}
+        out, last = "", 0
+        for name in sorted(parts, key=m.start):
+            out += text[last : m.start(name)] + parts[name]
+            last = m.end(name)
+        return out + text[last:]
+
+    def normal(self, kind: str, text: str) -> str:
+        """The form that all spellings of a value share."""
+        return {EMAIL: _mail_form, ADDRESS: _address_form}.get(kind, lambda t: _name_form(t, self.names))(text)
 
     def placeholder(self, kind: str, text: str) -> str:
-        """[KIND:pseudonym]; equal values give equal pseudonyms."""
-        if kind == ID_NUMBER:
-            return f"[ID_NUMBER:{self.id_number(text)}]"
-        if kind == PHONE:
-            return f"[PHONE:{self.phone(text)}]"
-        return f"[{kind.upper()}:{hmac.new(self.key, f'{kind}|{" ".join(text.lower().split())}'.encode(), hashlib.sha256).hexdigest()[:8]}]"
+        """[KIND:pseudonym]; equal values give equal pseudonyms, digests have 128 bits."""
+        number = {ID_NUMBER: self.id_number, PHONE: self.phone, DATE: self.date}.get(kind)
+        if number:
+            return f"[{kind.upper()}:{number(text)}]"
+        return f"[{kind.upper()}:{hmac.new(self.key, f'{kind}|{self.normal(kind, text)}'.encode(), hashlib.sha256).hexdigest()[:32]}]"
 
     def replace(self, text: str, found: list[tuple[int, int, str]]) -> str:
         out, at = [], 0
@@ -313,7 +421,7 @@ def _register(names: DataFrame):
     rows = names.select("name", "name_kind").filter("name IS NOT NULL").distinct().limit(MOST_NAMES + 1).collect()
     if len(rows) > MOST_NAMES:
         raise ValueError(f"a name register of more than {MOST_NAMES} rows isn't supported")
-    return names.sparkSession.sparkContext.broadcast(([r[0] for r in rows if r[1] == "given"], [r[0] for r in rows if r[1] == "family"]))
+    return names.sparkSession.sparkContext.broadcast(Names([r[0] for r in rows if r[1] == "given"], [r[0] for r in rows if r[1] == "family"]))
 
 
 def personal_information(documents: DataFrame, names: DataFrame) -> DataFrame:
@@ -325,7 +433,7 @@ def personal_information(documents: DataFrame, names: DataFrame) -> DataFrame:
     register = _register(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Names(*register.value)
+        known = register.value
         for batch in batches:
             rows = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -339,17 +447,23 @@ def personal_information(documents: DataFrame, names: DataFrame) -> DataFrame:
     return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, f"doc_id {kind}, kind string, found string")
 
 
-def pseudonymised(documents: DataFrame, names: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(doc_id, text, replaced int): texts with typed placeholders, everything else unchanged; null stays null."""
+def pseudonymised(documents: DataFrame, names: DataFrame, key: bytes, with_dates: bool = False) -> DataFrame:
+    """(doc_id, text, replaced int): texts with typed placeholders, everything else unchanged; null stays null.
+
+    key: of the pseudonyms, to be kept by whoever publishes the text. with_dates: replace valid dates, too, which
+    are no personal information by themselves.
+    """
     register = _register(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pseudonyms = Names(*register.value), Pseudonyms(key)
+        known, pseudonyms = register.value, Pseudonyms(key, register.value)
         for batch in batches:
             texts, counts = [], []
             for value in batch.column(1):
                 text = value.as_py()
                 found = find(text, known) if text else []
+                if text and with_dates:
+                    found = sorted(found + [d for d in dates(text) if all(d[1] <= s or e <= d[0] for s, e, _ in found)])
                 texts.append(pseudonyms.replace(text, found) if found else text)
                 counts.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "replaced"])

@@ -16,6 +16,8 @@ from kvist.plans.registry import Catalogue
 from kvist.session import table
 
 CATALOGUE = Catalogue()
+#: A key for this test data alone; a real one is kept by whoever publishes the text.
+TEST_KEY = b"a key of the test data"
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,4 +98,4 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @CATALOGUE.query("p9_text")
 def p9_text(spark: SparkSession, folder: str) -> DataFrame:
-    return pseudonymised(table(spark, folder, "documents"), table(spark, folder, "person_names"))
+    return pseudonymised(table(spark, folder, "documents"), table(spark, folder, "person_names"), TEST_KEY)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kvist.llm.encode import TOKENIZERS, encode_column, vocabulary
 from kvist.llm.leak import Passages, leaked_passages, words
 from kvist.llm.lookalike import ORDINARY, ORDINARY_IDENTIFIER, Normalizer, look_alike_cases, plain_corpus, trigram_counts
-from kvist.llm.pii import Names, Pseudonyms, find, personal_information, pseudonymised, valid_id
+from kvist.llm.pii import Names, Pseudonyms, country, find, personal_information, pseudonymised, valid_id
 from kvist.llm.split import split, split_fields
 
 SMALL = "/root/testdata/sf0.001"
@@ -252,6 +252,54 @@ def test_personal_information_tables(spark):
     docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " ")], "doc_id bigint, text string").withColumn("kind", F.lit(1))
     names = spark.createDataFrame([("Marit", "given"), ("Nordbakkmo", "family"), (None, "given")], "name string, name_kind string")
     assert sorted(map(tuple, personal_information(docs, names).collect())) == [(1, "name", "Marit Nordbakkmo"), (1, "phone", "22 33 44 55")]
-    out = {r["doc_id"]: r for r in pseudonymised(docs, names).collect()}
+    out = {r["doc_id"]: r for r in pseudonymised(docs, names, b"k").collect()}
     assert out[1]["replaced"] == 600 and "Marit" not in out[1]["text"] and out[1]["text"].count(", tlf [PHONE:") == 200 and out[2]["text"] is None and out[3]["text"] == ""
     assert personal_information(docs, names.limit(0)).filter("kind = 'name'").count() == 0 and personal_information(docs.limit(0), names).count() == 0
+
+
+@pytest.mark.parametrize("kind,spellings", [
+    ("phone", ["91234567", "912 34 567", "91 23 45 67", "+47 91234567", "+4791234567", "004791234567", "(+47) 91 23 45 67", "0047 912 34 567"]), ("phone", ["+447700900023", "+44 7700 900023", "0044 7700 900-023"]),
+    ("email", ["Ola.Berg@firma.example", "ola.berg (at) firma.example", "ola.berg[at]firma dot example", "ola punkt berg krøllalfa firma punkt example", "OLA.BERG@FIRMA.EXAMPLE"]),
+    ("name", ["Ola Nordbakkmo", "Nordbakkmo, Ola", "NORDBAKKMO OLA", "ola  nordbakkmo"]), ("address", ["Nedre Lillegata 12 B", "nedre  Lillegata 12b", "Nedre Lillegt. 12B"]), ("address", ["Storebakkv. 7", "Storebakkveien 7"]),
+    ("date", ["2020-01-31", "31.01.2020", "31/1/2020", "31.1.2020"]),
+])
+def test_spellings_of_a_value_are_linked(kind, spellings):
+    p = Pseudonyms(b"k", NAMES)
+    bare = {re.sub(r"^00(?=4)|[^0-9a-f]", "", p.placeholder(kind, x).split(":")[1]) if kind == "phone" else p.placeholder(kind, x) for x in spellings}
+    if kind == "phone":
+        bare = {x.removeprefix("47" if len(x) > 8 else "") for x in bare} if spellings[0] == "91234567" else bare
+    elif kind == "date":
+        bare = {tuple(map(int, re.split("[./-]", x[6:-1])[:: 1 if "-" in x else -1])) for x in bare}
+    assert len(bare) == 1 and p.placeholder(kind, spellings[0]) != Pseudonyms(b"l", NAMES).placeholder(kind, spellings[0])
+
+
+def test_pseudonyms_are_permutations():
+    p = Pseudonyms(b"k")
+    numbers = [f"+47 {n}" for n in range(91234000, 91234300)]
+    assert len({p.phone(x) for x in numbers}) == len(numbers) and {p.phone(x)[:4] for x in numbers} == {"+47 "} and len({p.phone(x)[4] for x in numbers}) > 4
+    assert {p.phone(x)[4:].replace(" ", "") for x in numbers} == {p.phone(x[4:]) for x in numbers}
+    days = [f"{d:02d}.{m:02d}.{y}" for y in range(1999, 2003) for m in range(1, 13) for d in range(1, 29)]
+    assert len({p.date(x) for x in days}) == len(days) and all(re.fullmatch(r"\d\d\.\d\d\.\d{4}", p.date(x)) for x in days)
+    assert [country(x) for x in ("4791234567", "15551234", "79001234", "3581234")] == ["47", "1", "7", "358"]
+    with pytest.raises(ValueError):
+        Pseudonyms(b"")
+
+
+def test_long_local_parts_and_streets():
+    local, street = f"{'a' * 63}b punkt {'c' * 63}d", f"Nedre {'S' + 'o' * 90}s vei"
+    text = f"skriv til {local}@firma.example, bor i {street} 12 B"
+    assert [(text[s:e], k) for s, e, k in find(text, NAMES)] == [(f"{local}@firma.example", "email"), (f"{street} 12 B", "address")]
+    assert find("organisasjons" + "u" * 60 + "nummeret: 99 35 26 72", NAMES) == []
+
+
+def test_a_large_register_is_looked_up():
+    many = Names(["Ola"], [f"{a}{b}{c}bakkmo" for a in "BDFGHK" for b in "aeiou" for c in "lmnr"])
+    text = "Ola Tunbakkmo og Ola Viken. " * 400
+    assert len(find(text, many)) == 800 and many.is_composed("tunbakkmo") and not many.is_composed("bakkmo")
+
+
+def test_dates_are_replaced_on_request(spark):
+    docs = spark.createDataFrame([(1, "født 31.01.1980, sak 2020-02-30, versjon 1.2.3, den 5.6.2021.")], "doc_id bigint, text string")
+    names = spark.createDataFrame([], "name string, name_kind string")
+    text = pseudonymised(docs, names, b"k", with_dates=True).first()
+    assert text["replaced"] == 2 and "31.01.1980" not in text["text"] and "2020-02-30, versjon 1.2.3" in text["text"] and pseudonymised(docs, names, b"k").first()["replaced"] == 0
