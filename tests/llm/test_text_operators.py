@@ -180,14 +180,22 @@ def test_reordered_passage_is_a_leak():
     assert list(index.tiles(codes)) == [(0, 8, 16, 2)]
 
 
-def test_leak_blocks(spark, monkeypatch):
+def test_passages_held_and_joined_agree(spark, monkeypatch):
     import kvist.llm.leak as leak
 
     d, p = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "eval_passages"))
     whole = sorted(map(tuple, leaked_passages(d, p).collect()))
-    monkeypatch.setattr(leak, "BLOCK_CHARS", 20_000)
-    assert sorted(map(tuple, leaked_passages(d, p).collect())) == whole
+    held = leak.leaked_passages(d, p, run=9, coverage=0.3)
+    lower = sorted(map(tuple, held.collect()))
+    monkeypatch.setattr(leak, "HELD_CHARS", 1000)
+    monkeypatch.setattr(leak, "HEAVY", 2)
+    assert sorted(map(tuple, leaked_passages(d, p).collect())) == whole and len(whole) < len(lower)
+    assert sorted(map(tuple, leaked_passages(d, p, run=9, coverage=0.3).collect())) == lower
     assert leaked_passages(d.limit(0), p).count() == 0 == leaked_passages(d, p.limit(0)).count()
+    same = [spark.createDataFrame([(1, "ja " * 40)], "doc_id bigint, text string"), spark.createDataFrame([(7, "ja " * 30 + "x " * 400)], "item_id bigint, text string")]
+    assert [r["longest"] for r in leaked_passages(*same).collect()] == [30]
+    twice = d.filter("text IS NOT NULL").limit(20)
+    assert leaked_passages(twice.union(twice), p).count() == 2 * leaked_passages(twice, p).count()
 
 
 # Personal information
