@@ -66,7 +66,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @CATALOGUE.query("p6_neighbours")
 def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    return most_similar(table(spark, folder, "chroma_collection"), "id", "embedding", probes=0.4, asks=divisible_by_100(F.col("id")))
+    return most_similar(table(spark, folder, "chroma_collection"), "id", "embedding", asks=divisible_by_100(F.col("id")))
 
 
 @CATALOGUE.query("p7_ids")

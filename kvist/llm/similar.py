@@ -34,6 +34,8 @@ PART_ROWS, QUERY_ROWS = 8192, 32_768
 FLOOR_PART_ROWS = 65_536
 #: Queries that are compared with a list at once, and what rounding may change a cosine or an angle by.
 TOGETHER, ROUNDING = 512, 1e-3
+#: Lists that a query looks into; their share of all lists falls with the number of vectors.
+PROBES = 24
 K = 5
 
 
@@ -300,7 +302,7 @@ def _search(routed: DataFrame, index, k: int, floor: float) -> DataFrame:
     return routed.groupBy("part").applyInArrow(run, "q bigint, x bigint, cosine float")
 
 
-def most_similar(df: DataFrame, ident: str, vector: str, k: int = K, probes: float = 12, floor: float = -2.0, asks: Column | None = None, dim: int | None = None) -> DataFrame:
+def most_similar(df: DataFrame, ident: str, vector: str, k: int = K, probes: float = PROBES, floor: float = -2.0, asks: Column | None = None, dim: int | None = None) -> DataFrame:
     """(id, neighbour, rank, cosine): for each id the k other rows with the most similar vectors among those found.
 
     probes: lists that a query looks into (under 1: share of all lists) where no floor is given. floor:

@@ -173,6 +173,19 @@ def test_similar_vectors_against_brute_force(spark):
     assert len({(r["id"], r["rank"]) for r in near}) == len(near) == 5 * len(rows) and hits >= 0.9 * 5 * len(rows)
 
 
+def test_recall_of_all_five_at_the_default_lists(spark):
+    """The collection itself, every row a query: at least 0.95 of the five nearest, whatever their cosine."""
+    df = spark.read.parquet("/root/testdata/sf0.01/chroma_collection.parquet")
+    rows = [(r["id"], r["embedding"]) for r in df.select("id", "embedding").collect() if r["embedding"] and any(r["embedding"])]
+    v = np.array([x for _, x in rows], np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    s = v @ v.T
+    np.fill_diagonal(s, -2)
+    least = dict(zip([i for i, _ in rows], np.sort(s, axis=1)[:, -5]))
+    near = most_similar(df, "id", "embedding").collect()
+    assert len(near) == 5 * len(rows) and sum(r["cosine"] >= least[r["id"]] - 1e-5 for r in near) >= 0.95 * len(near)
+
+
 def test_hot_copies_and_small_tables(spark):
     rows = [(f"c{i:04d}", [1.0, 2.0, 3.0, 4.0]) for i in range(900)] + [(f"d{i}", [1.0, 2.0, 3.0, 4.0 + i]) for i in range(1, 4)]
     df = spark.createDataFrame(rows, "id string, embedding array<float>")
