@@ -78,7 +78,11 @@ def section_changes(manifest: DataFrame, provisions: DataFrame) -> DataFrame:
     valid = (F.col("status") == 200) & (F.trim("path") != "") & F.lower("content_type").contains("text/html")
     lines = manifest.filter(valid & F.col("url").isNotNull()).select("url", at.alias("at"), "downloaded_at", "sha256", "_ord").filter("at IS NOT NULL")
     single = lines.groupBy("url", "at").agg(F.max_by(F.struct("downloaded_at", "sha256"), "_ord").alias("d")).select("url", "at", "d.*")
-    numbered = number_deliveries(single, "url", "at")
+    # Content delivered again and again counts once: only what differs from the delivery before goes on.
+    every = number_deliveries(single, "url", "at")
+    before = every.select("url", (F.col("idx") + 1).alias("idx"), F.col("sha256").alias("before"), F.lit(True).alias("follows"))
+    news = every.join(before, ["url", "idx"], "left").filter("follows IS NULL OR NOT sha256 <=> before").select("url", "at", "downloaded_at", "sha256")
+    numbered = number_deliveries(news, "url", "at")
     following = numbered.select("url", (F.col("idx") - 1).alias("idx"), F.col("downloaded_at").alias("next_label"))
     deliveries = numbered.join(following, ["url", "idx"], "left").select("url", "sha256", "idx", F.col("downloaded_at").alias("label"), "next_label")
 
