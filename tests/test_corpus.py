@@ -163,3 +163,28 @@ def test_question_types_of_all_rows(spark, tmp_path):
     spark.createDataFrame(rows, "_ord bigint, id string, question_type string, should_refuse boolean, target_sections array<string>").write.parquet(f"{tmp_path}/tek17_eval_questions.parquet")
     got = sorted(map(tuple, CATALOGUE.queries["question_types_all"](spark, str(tmp_path)).collect()))
     assert got == [(1, "refusal", "in_scope_single"), (2, "refusal", "in_scope_single"), (3, "in_scope_single", "in_scope_multi"), (4, "refusal", "refusal"), (5, "in_scope_multi", "in_scope_multi"), (6, "in_scope_single", "in_scope_single")]
+
+
+def test_bm25_by_salts_and_by_index(spark, monkeypatch, tmp_path):
+    """Query tokens beyond the broadcast's bound, tokens of all documents, an index that is kept for the same texts only."""
+    docs = spark.createDataFrame([(i, " ".join(["og", f"w{i % 7}", f"x{i % 50}", "og"][: i % 5])) for i in range(300)], "o int, t string")
+    asked = spark.createDataFrame([(i, f"og w{i} x{i} og ukjent") for i in range(20)], "q int, t string")
+    score = lambda df: {(r["qid"], r["ord"]): round(r["score"], 9) for r in df.collect()}
+    want = score(R.bm25_scores(asked, docs, "q", "t", "o", "t"))
+    path = str(tmp_path / "index")
+    assert R.ensure_index(docs, path, "o", "t") and not R.ensure_index(docs.repartition(3), path, "o", "t")
+    assert score(R.index_scores(asked, path, "q", "t")) == want
+    monkeypatch.setattr(R, "BROADCAST_LIMIT", -1)
+    monkeypatch.setattr(R, "HEAVY", 10)
+    assert score(R.bm25_scores(asked, docs, "q", "t", "o", "t")) == want == score(R.index_scores(asked, path, "q", "t"))
+    assert R.ensure_index(docs.union(docs.limit(1).withColumn("o", F.lit(999))), path, "o", "t") and len(score(R.index_scores(asked, path, "q", "t"))) >= len(want)
+    assert len(want) > 1000 and R.bm25_scores(asked, docs.limit(0), "q", "t", "o", "t").count() == 0 == R.bm25_scores(asked.limit(0), docs, "q", "t", "o", "t").count()
+
+
+def test_dense_blocks_agree(spark, monkeypatch):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)] if i % 9 else ([float("nan")] * 8 if i % 2 else [1.0, None])) for i in range(120)], "id int, v array<double>")
+    rows = lambda: sorted(map(tuple, R.dense_top_k(df, df, 3, "id", "v", "id", "v").select("qid", "id", "rank").collect()))
+    whole = rows()
+    monkeypatch.setattr(R, "BLOCK_FLOATS", 100)
+    assert rows() == whole and len(whole) == 3 * sum(1 for i in range(120) if i % 9)
