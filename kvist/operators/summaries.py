@@ -6,6 +6,7 @@ One job for all runs: ``run`` is a column, never a loop over files.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kvist.functions import text as T
@@ -135,9 +136,18 @@ def conditional_refusal(log: DataFrame, run: str = "run", order: str = "_ord") -
     )
 
 
+def _order() -> list[Column]:
+    return [F.coalesce("model", F.lit("")), F.coalesce("retrieval_method", F.lit("")), F.coalesce("top_k", F.lit(-1))]
+
+
 def order_runs(summary: DataFrame) -> DataFrame:
     """Runs by model, method and top_k; missing top_k first."""
-    return summary.orderBy(F.coalesce("model", F.lit("")), F.coalesce("retrieval_method", F.lit("")), F.coalesce("top_k", F.lit(-1)))
+    return summary.orderBy(*_order())
+
+
+def with_positions(summary: DataFrame) -> DataFrame:
+    """Adds each run's position in that order, as a column; a row is a run, so that they are few."""
+    return summary.withColumn("position", F.rank().over(W.orderBy(*_order())))
 
 
 def last_by_id(log: DataFrame, ident: str = "id", order: str = "_ord") -> DataFrame:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from kvist.plans import corpus, general, ranking, scoring
+from kvist.plans import corpus, files, general, ranking, scoring
 
-CATALOGUES = [general.CATALOGUE, ranking.CATALOGUE, corpus.CATALOGUE, scoring.CATALOGUE]
+CATALOGUES = [general.CATALOGUE, ranking.CATALOGUE, corpus.CATALOGUE, scoring.CATALOGUE, files.CATALOGUE]

@@ -9,7 +9,7 @@ from kvist.operators import chunking as C
 from kvist.operators import questions as Q
 from kvist.plans import duck as D
 from kvist.plans.registry import Catalogue
-from kvist.session import materialize, table
+from kvist.session import materialize, scratch, table
 from kvist.sources import html as H
 from kvist.sources import manifest as M
 from kvist.sources import store as S
@@ -82,6 +82,22 @@ def html_provisions(spark, folder):
     return H.provisions_of(H.page_blocks(_pages(spark, folder))).select("path", "chapter", "section_id", "title", "reg_text", "guidance_text")
 
 
+_CANONICAL = "regexp_replace(regexp_replace(regexp_replace({0}, '[?#].*$', ''), ';[^/;]*$', ''), '/+$', '')"
+
+
+@CATALOGUE.query("provision_records", f"""
+WITH found AS ({CATALOGUE.oracles["html_provisions"]}),
+s AS (SELECT concat_ws('#', root_print_url, sha256) AS path, root_print_url, sha256, max(final_url) AS final_url, max(downloaded_at) AS downloaded_at FROM tek17_dibk GROUP BY root_print_url, sha256)
+SELECT 'dibk' AS source, 'provision' AS doc_type, root_print_url, final_url, {_CANONICAL.format("coalesce(nullif(final_url, ''), root_print_url)")} AS canonical_root_print_url, downloaded_at, path AS source_path, sha256,
+    chapter, section_id, title, reg_text, guidance_text, concat_ws(chr(10) || chr(10), nullif(reg_text, ''), nullif(guidance_text, '')) AS full_text FROM found JOIN s USING (path)""")
+def provision_records(spark, folder):
+    """The fourteen columns of the provisions file."""
+    pages = _pages(spark, folder).withColumnRenamed("path", "source_path")
+    snapshots = table(spark, folder, "tek17_dibk").groupBy(F.col("root_print_url").alias("url"), "sha256").agg(F.max("final_url").alias("final_url"), F.max("downloaded_at").alias("downloaded_at"))
+    snapshots = snapshots.withColumn("source_path", F.concat_ws("#", "url", "sha256"))
+    return H.provision_records(H.provisions_of(H.page_blocks(pages, "source_path"), "source_path"), snapshots).drop("pos")
+
+
 @CATALOGUE.query("chapter_carry_forward", """
 SELECT root_print_url, sha256, _ord, last_value(chapter IGNORE NULLS) OVER (PARTITION BY root_print_url, sha256 ORDER BY _ord ROWS UNBOUNDED PRECEDING) AS carried FROM tek17_dibk""")
 def chapter_carry_forward(spark, folder):
@@ -119,9 +135,34 @@ def structural_units(spark, folder):
     return rows.select("_ord", (F.col("unit") + 1).cast("bigint").alias("unit"), F.md5("text").alias("unit_md5"))
 
 
-@CATALOGUE.query("pack_chunks")
+_PACK = f"""WITH RECURSIVE {_DOCS},
+b AS (SELECT ord, text_type, text[1:instr(text, chr(10) || chr(10)) + 1] AS header, text[instr(text, chr(10) || chr(10)) + 2:] AS body FROM docs),
+l AS (SELECT ord, text_type, header, list_filter(list_transform(regexp_split_to_array(body, '\\r\\n|[\\n\\r]'), lambda z: {D.strip('z')}), lambda z: z <> '') AS lines FROM b),
+x AS (SELECT ord, text_type, header, len(lines) AS n, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),
+m AS (SELECT *, sum(CASE WHEN i = 1 OR regexp_matches(line, '^(\\(\\d+\\)|[a-zæøåA-ZÆØÅ]\\)|\\d+\\)|[-–•])\\s+') THEN 1 ELSE 0 END) OVER (PARTITION BY ord, text_type ORDER BY i) AS unit FROM x),
+g AS (SELECT ord, text_type, max(unit) AS units FROM m GROUP BY ALL),
+j AS (SELECT m.ord, m.text_type, header, CASE WHEN n >= 8 AND units >= n - 1 THEN 1 ELSE unit END AS i, string_agg(line, chr(10) ORDER BY m.i) AS u FROM m JOIN g USING (ord, text_type) GROUP BY ALL),
+u AS (SELECT *, length(header) AS h, length(u) AS len, max(i) OVER (PARTITION BY ord, text_type) AS n, sum(length(u) + 2) OVER (PARTITION BY ord, text_type ORDER BY i) AS c FROM j),
+e AS (SELECT s.ord, s.text_type, s.i AS a, s.n, s.len > greatest(1, 800 - s.h) AS big, CASE WHEN s.len > greatest(1, 800 - s.h) THEN s.i ELSE max(t.i) FILTER (WHERE t.i = s.i OR s.h + t.c - (s.c - s.len - 2) - 2 <= 800) END AS z
+    FROM u s JOIN u t ON s.ord = t.ord AND s.text_type = t.text_type AND t.i >= s.i GROUP BY s.ord, s.text_type, s.i, s.n, s.h, s.len, s.c),
+w AS (SELECT e.ord, e.text_type, e.a, e.n, e.big, e.z, max(t.i) FILTER (WHERE t.i > e.a AND t.i <= e.z AND l.c - (t.c - t.len - 2) >= 200) AS back
+    FROM e JOIN u l ON e.ord = l.ord AND e.text_type = l.text_type AND e.z = l.i JOIN u t ON e.ord = t.ord AND e.text_type = t.text_type GROUP BY e.ord, e.text_type, e.a, e.n, e.big, e.z),
+step AS (SELECT *, CASE WHEN big THEN a + 1 WHEN z >= n THEN NULL ELSE coalesce(back, greatest(a + 1, z)) END AS following FROM w),
+chain AS (SELECT ord, text_type, 1::HUGEINT AS a FROM step WHERE a = 1 UNION SELECT c.ord, c.text_type, s.following FROM chain c JOIN step s ON c.ord = s.ord AND c.text_type = s.text_type AND c.a = s.a WHERE s.following IS NOT NULL AND s.following <= s.n)
+SELECT c.ord, c.text_type, c.a::BIGINT AS para_start, s.z::BIGINT AS para_end, CASE WHEN NOT s.big THEN md5(min(u.header) || string_agg(u.u, chr(10) || chr(10) ORDER BY u.i)) END AS text_md5
+FROM chain c JOIN step s ON c.ord = s.ord AND c.text_type = s.text_type AND c.a = s.a JOIN u ON u.ord = c.ord AND u.text_type = c.text_type AND u.i BETWEEN c.a AND s.z GROUP BY c.ord, c.text_type, c.a, s.z, s.big"""
+
+
+@CATALOGUE.query("pack_chunks", _PACK)
 def pack_chunks(spark, folder):
-    return C.chunk_documents(C.documents_of(table(spark, folder, "tek17_dibk")))
+    """Which units each chunk holds, and its text's hash; the parts of an oversized unit are one row without hash, as their cuts are our own."""
+    docs = C.documents_of(table(spark, folder, "tek17_dibk"))
+    chunks = C.chunk_documents(docs).select("ord", "metadata.text_type", F.col("metadata.para_start").cast("bigint").alias("para_start"), F.col("metadata.para_end").cast("bigint").alias("para_end"), "text")
+    header, body = C.header_and_body(F.col("text"))
+    one = lambda us: F.filter(F.transform(us, lambda u, i: F.struct((i + 1).cast("bigint").alias("unit"), F.length(u).alias("len"))), lambda u: u["len"] > F.lit(C.SIZE) - F.length(header))
+    big = docs.select("ord", "text_type", F.explode(one(C.structural_units(body))).alias("b")).select("ord", "text_type", F.col("b.unit").alias("para_start"), F.lit(True).alias("big"))
+    rows = chunks.join(big, ["ord", "text_type", "para_start"], "left")
+    return rows.select("ord", "text_type", "para_start", "para_end", F.when(F.col("big").isNull(), F.md5("text")).alias("text_md5")).distinct()
 
 
 _ID = """substr(sha256(coalesce(metadata.section_id, '') || '::' || coalesce(metadata.text_type, '') || '::' || coalesce(metadata.para_start::VARCHAR, '') || '-' || coalesce(metadata.para_end::VARCHAR, '') || '::' || sha256(coalesce(text, ''))), 1, 24)"""
@@ -138,12 +179,29 @@ def upsert_last_wins(spark, folder):
     return last_wins(rows, "id").select("id", "_ord")
 
 
-@CATALOGUE.query("collection_refresh")
+@CATALOGUE.query("collection_refresh", f"""WITH c AS (SELECT {_ID} AS id, _ord, text, metadata FROM tek17_chunks), l AS (SELECT id, max(_ord) AS _ord FROM c GROUP BY id)
+SELECT id, md5(text) AS document_md5, metadata.section_id AS section_id, 64 AS dim FROM c JOIN l USING (id, _ord)""")
 def collection_refresh(spark, folder):
-    """Chunks embedded offline, deduplicated by id: what a full refresh writes."""
+    """Chunks embedded offline and written as a collection, the last of each id; opened again."""
     from kvist.providers import embed_chunks, hashing_embedder
 
-    return S.collection_of(embed_chunks(table(spark, folder, "tek17_chunks"), hashing_embedder()))
+    path = scratch(spark)
+    S.refresh(embed_chunks(table(spark, folder, "tek17_chunks"), hashing_embedder()), path)
+    return S.open_collection(spark, path).select("id", F.md5("document").alias("document_md5"), "metadata.section_id", F.size("embedding").alias("dim"))
+
+
+@CATALOGUE.query("embed_questions", """
+WITH w AS (SELECT _ord, unnest(regexp_extract_all(lower(question), '[0-9a-zæøå]+')) AS w FROM tek17_eval_questions),
+h AS (SELECT _ord, ('0x' || substr(md5(w), 15, 2))::BIGINT % 64 AS dim, CASE WHEN ('0x' || substr(md5(w), 1, 1))::BIGINT >= 8 THEN 1 ELSE -1 END AS sign FROM w),
+s AS (SELECT _ord, dim, sum(sign)::DOUBLE AS s FROM h GROUP BY _ord, dim)
+SELECT _ord, dim, round(s / sqrt(sum(s * s) OVER (PARTITION BY _ord)), 3) AS value FROM s WHERE s <> 0""")
+def embed_questions(spark, folder):
+    """The offline vectors of all questions, as their coordinates that aren't zero."""
+    from kvist.providers import embed_column, embedder
+
+    rows = embed_column(table(spark, folder, "tek17_eval_questions").select("_ord", "question"), "question", embedder("offline"))
+    rows = rows.select("_ord", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0")
+    return rows.select("_ord", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
 @CATALOGUE.query("store_fingerprint", S.fingerprint_sql("tek17_eval_questions", "sha256(concat_ws(chr(31), coalesce('{\"id\":' || to_json(id) || '}', '{}'), coalesce('{\"question_type\":' || to_json(question_type) || '}', '{}')))"))
@@ -200,7 +258,7 @@ def title_topics(spark, folder):
     return table(spark, folder, "tek17_dibk").select("_ord", T.clean_title(F.col("title")).alias("title"), T.topic_variants(F.col("title")).alias("variants"), T.difficulty(F.col("section_id")).alias("difficulty"))
 
 
-@CATALOGUE.query("manifest_stream")
+@CATALOGUE.query("manifest_stream", CATALOGUE.oracles["latest_valid_snapshot"])
 def manifest_stream(spark, folder):
     """The latest valid snapshot of each url, kept by a stream over the manifest's files."""
     from kvist.streaming.snapshots import latest_by_stream

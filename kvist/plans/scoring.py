@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kvist.functions import text as T
 from kvist.functions.metrics import wilson
+from kvist.operators import answering as A
 from kvist.operators import evaluation as E
 from kvist.operators import summaries as S
 from kvist.plans import duck as D
@@ -21,7 +22,7 @@ CELLS = {"tp": f"{_SHOULD} AND {_REFUSED}", "fp": f"NOT {_SHOULD} AND {_REFUSED}
 METRICS = list(D.metrics())
 
 
-def _runs(spark, folder):
+def runs_of(spark, folder):
     a, b = (table(spark, folder, f"run_log_{x}").withColumn("run", F.lit(x)) for x in "ab")
     return a.unionByName(b)
 
@@ -30,7 +31,7 @@ def _round(df, *names, digits=6):
     return df.select([(F.round(c, digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-def _cells(where: str = "true", prefix: str = "") -> str:
+def cells_sql(where: str = "true", prefix: str = "") -> str:
     return ", ".join(f"count(*) FILTER (WHERE {_OK} AND ({where}) AND {w}) AS {prefix}{n}" for n, w in CELLS.items())
 
 
@@ -76,7 +77,7 @@ hit3 AS (SELECT *, NOT need AND a_hit AND NOT f_hit AS p_hit FROM hits)"""
 
 @CATALOGUE.query("coverage_hits", f"WITH {_RUNS}, {_COVER} SELECT run, _ord, a_hit AS any_hit, f_hit AS full_hit, p_hit AS partial_hit FROM hit3")
 def coverage_hits(spark, folder):
-    return E.coverage(_runs(spark, folder)).select("run", "_ord", "any_hit", "full_hit", "partial_hit")
+    return E.coverage(runs_of(spark, folder)).select("run", "_ord", "any_hit", "full_hit", "partial_hit")
 
 
 _ANS = "lower(coalesce(answer, ''))"
@@ -89,7 +90,7 @@ _WARN = "(" + " OR ".join(f"contains({_ANS}, '{p}')" for p in T.QUALIFICATION_PH
 @CATALOGUE.query("refusal_flags", f"WITH {_RUNS} SELECT run, _ord, {_TAG} AS tagged, {_CLASS} AS heuristic, {_WARN} AS warned FROM runs")
 def refusal_flags(spark, folder):
     a = F.col("answer")
-    return _runs(spark, folder).select("run", "_ord", T.has_refusal_tag(a).alias("tagged"), T.classify_refusal(a).alias("heuristic"), T.has_qualification_warning(a).alias("warned"))
+    return runs_of(spark, folder).select("run", "_ord", T.has_refusal_tag(a).alias("tagged"), T.classify_refusal(a).alias("heuristic"), T.has_qualification_warning(a).alias("warned"))
 
 
 _CTX = "array_to_string(list_transform(coalesce(sources, []), lambda z: coalesce(z.text, '')), chr(10))"
@@ -99,7 +100,7 @@ _GROUND = f"CASE WHEN len({_OWN}) > 0 AND len({_THEIR}) > 0 THEN len(list_inters
 
 @CATALOGUE.query("groundedness", f"WITH {_RUNS} SELECT run, _ord, {_r(_GROUND)} AS score FROM runs")
 def groundedness(spark, folder):
-    return _round(_runs(spark, folder).select("run", "_ord", T.groundedness(F.col("answer"), F.col("sources")).alias("score")), "score")
+    return _round(runs_of(spark, folder).select("run", "_ord", T.groundedness(F.col("answer"), F.col("sources")).alias("score")), "score")
 
 
 _SCORED = f"""{_COVER},
@@ -118,7 +119,7 @@ SELECT run, _ord, CASE WHEN error IS NULL THEN st ELSE 'query_failed' END AS sta
     error IS NULL AND NOT sh AND NOT rf AND p_hit AS partial_support_non_refusal, error IS NULL AND NOT sh AND NOT rf AND f_hit AND gr < 0.25 AS ungrounded_non_refusal,
     CASE WHEN error IS NULL AND NOT sh AND NOT rf THEN f_hit END AS answer_supported FROM sc""")
 def item_scores(spark, folder):
-    scored = E.score_answers(E.coverage(_runs(spark, folder)))
+    scored = E.score_answers(E.coverage(runs_of(spark, folder)))
     return scored.select("run", "_ord", "status", "model_refused", "answer_correct", "answer_correct_strict", "unsupported_non_refusal", "partial_support_non_refusal", "ungrounded_non_refusal", "answer_supported")
 
 
@@ -138,25 +139,25 @@ def refusal_categories(spark, folder):
     z = E.false_if_null
     base = (S.hit(), z(F.col("full_hit")), z(F.col("partial_hit")), z(F.col("should_refuse")), z(F.col("model_refused")))
     full = E.refusal_category(*base, z(F.col("requires_qualification")), z(F.col("qualification_warning_present")))
-    return _runs(spark, folder).select("run", "_ord", E.refusal_category(*base).alias("category"), full.alias("category_full"))
+    return runs_of(spark, folder).select("run", "_ord", E.refusal_category(*base).alias("category"), full.alias("category_full"))
 
 
-@CATALOGUE.query("confusion", f"WITH {_RUNS} SELECT run, {_cells()} FROM runs GROUP BY run")
+@CATALOGUE.query("confusion", f"WITH {_RUNS} SELECT run, {cells_sql()} FROM runs GROUP BY run")
 def confusion(spark, folder):
-    return S.confusion_matrix(_runs(spark, folder))
+    return S.confusion_matrix(runs_of(spark, folder))
 
 
 _SLICES = {"any_hit": _HIT, "no_hit": f"NOT {_HIT}", "full_hit": "coalesce(full_hit, false)", "partial_hit": "coalesce(partial_hit, false)"}
 
 
-@CATALOGUE.query("sliced_confusion", f"WITH {_RUNS} " + " UNION ALL ".join(f"SELECT run, '{s}' AS slice, {_cells(w)} FROM runs GROUP BY run" for s, w in _SLICES.items()))
+@CATALOGUE.query("sliced_confusion", f"WITH {_RUNS} " + " UNION ALL ".join(f"SELECT run, '{s}' AS slice, {cells_sql(w)} FROM runs GROUP BY run" for s, w in _SLICES.items()))
 def sliced_confusion(spark, folder):
-    return S.sliced_confusion(_runs(spark, folder))
+    return S.sliced_confusion(runs_of(spark, folder))
 
 
-@CATALOGUE.query("refusal_metrics", f"WITH {_RUNS}, m AS (SELECT run, {_cells()} FROM runs GROUP BY run) SELECT run, tp, fp, tn, fn, " + ", ".join(f"{_r(x)} AS {n}" for n, x in D.metrics().items()) + " FROM m")
+@CATALOGUE.query("refusal_metrics", f"WITH {_RUNS}, m AS (SELECT run, {cells_sql()} FROM runs GROUP BY run) SELECT run, tp, fp, tn, fn, " + ", ".join(f"{_r(x)} AS {n}" for n, x in D.metrics().items()) + " FROM m")
 def refusal_metrics(spark, folder):
-    return _round(S.with_metrics(S.confusion_matrix(_runs(spark, folder))), *METRICS)
+    return _round(S.with_metrics(S.confusion_matrix(runs_of(spark, folder))), *METRICS)
 
 
 _RATES = {"accuracy": f"{_OK} AND {_SHOULD} = {_REFUSED}", "correct": "coalesce(answer_correct, false)", "strict": "coalesce(answer_correct_strict, false)"}
@@ -165,7 +166,7 @@ _RATES = {"accuracy": f"{_OK} AND {_SHOULD} = {_REFUSED}", "correct": "coalesce(
 @CATALOGUE.query("rates_with_intervals", f"WITH {_RUNS}, m AS (SELECT run, count(*) AS n, count(*) FILTER (WHERE NOT {_OK}) AS query_failed, " + ", ".join(f"count(*) FILTER (WHERE {w}) AS {k}_n" for k, w in _RATES.items()) + " FROM runs GROUP BY run) SELECT run, n, query_failed, "
     + ", ".join(f"{_r(f'{k}_n::DOUBLE / n')} AS {k}, {_r(D.wilson(f'{k}_n', 'n')[0])} AS {k}_low, {_r(D.wilson(f'{k}_n', 'n')[1])} AS {k}_high" for k in _RATES) + " FROM m")
 def rates_with_intervals(spark, folder):
-    return _round(S.rates_with_intervals(_runs(spark, folder)), *[f"{k}{x}" for k in _RATES for x in ("", "_low", "_high")])
+    return _round(S.rates_with_intervals(runs_of(spark, folder)), *[f"{k}{x}" for k in _RATES for x in ("", "_low", "_high")])
 
 
 @CATALOGUE.query("wilson_intervals", f"SELECT k, n, {_r(D.wilson('k', 'n')[0])} AS low, {_r(D.wilson('k', 'n')[1])} AS high FROM (SELECT top_k::BIGINT AS n, unnest(range(0, top_k::BIGINT + 1)) AS k FROM (SELECT DISTINCT top_k FROM run_log_a WHERE top_k IS NOT NULL))")
@@ -181,7 +182,7 @@ _TYPE = f"coalesce(nullif({D.strip('refusal_type')}, ''), '(unspecified)')"
 
 @CATALOGUE.query("refusal_by_type", f"WITH {_RUNS} SELECT run, {_TYPE} AS refusal_type, count(*) AS n, count(*) FILTER (WHERE {_REFUSED}) AS refused, {_r(f'count(*) FILTER (WHERE {_REFUSED})::DOUBLE / count(*)')} AS rate FROM runs WHERE {_OK} AND {_SHOULD} GROUP BY ALL")
 def refusal_by_type(spark, folder):
-    return _round(S.refusal_by_type(_runs(spark, folder)), "rate")
+    return _round(S.refusal_by_type(runs_of(spark, folder)), "rate")
 
 
 _QT = f"CASE WHEN {D.strip('question_type')} <> '' THEN {D.strip('question_type')} WHEN {_SHOULD} THEN 'refusal' WHEN coalesce(len(target_sections), 0) >= 2 OR coalesce(contains(id, '_multi_'), false) THEN 'in_scope_multi' ELSE 'in_scope_single' END"
@@ -190,7 +191,7 @@ _QT = f"CASE WHEN {D.strip('question_type')} <> '' THEN {D.strip('question_type'
 def _summary_sql() -> str:
     c = lambda w: f"count(*) FILTER (WHERE {w})"
     n, ok = "count(*)", c(_OK)
-    cols = [f"{n} AS n", f"{ok} AS n_ok", f"{c('NOT ' + _OK)} AS n_errors", f"{_r(D.div(c('NOT ' + _OK), n))} AS error_rate", _cells()]
+    cols = [f"{n} AS n", f"{ok} AS n_ok", f"{c('NOT ' + _OK)} AS n_errors", f"{_r(D.div(c('NOT ' + _OK), n))} AS error_rate", cells_sql()]
     hits = {"any": _HIT, "full": "coalesce(full_hit, false)", "partial": "coalesce(partial_hit, false)", "retrieval": _HIT}
     cols += [f"{_r(D.div(c(f'{_OK} AND {w}'), ok))} AS {h}_hit_rate" for h, w in hits.items()]
     for f in S.FLAGS:
@@ -212,13 +213,19 @@ def _summary_sql() -> str:
 
 @CATALOGUE.query("run_summary", _summary_sql())
 def run_summary(spark, folder):
-    out = S.run_summary(_runs(spark, folder)).drop("mode", "temperature", "retrieval_method", "hybrid_alpha", "prompt_version", "system_prompt_sha256", "refusal_type_breakdown")
+    out = S.run_summary(runs_of(spark, folder)).drop("mode", "temperature", "retrieval_method", "hybrid_alpha", "prompt_version", "system_prompt_sha256", "refusal_type_breakdown")
     return _round(out, *[f.name for f in out.schema.fields if f.dataType.typeName() == "double"])
 
 
-@CATALOGUE.query("run_summary_breakdown")
+@CATALOGUE.query("run_summary_breakdown", f"""WITH {_RUNS},
+f AS (SELECT run, arg_min(struct_pack(mode, model, retrieval_method, prompt_version, top_k), _ord) AS m FROM runs GROUP BY run),
+t AS (SELECT run, {_TYPE} AS kind, count(*) AS n, count(*) FILTER (WHERE {_REFUSED}) AS refused FROM runs WHERE {_OK} AND {_SHOULD} GROUP BY ALL),
+j AS (SELECT run, '{{' || string_agg('"' || kind || '":{{"n":' || n || ',"refused":' || refused || ',"refused_rate":' || (refused::DOUBLE / n)::VARCHAR || '}}', ',' ORDER BY kind) || '}}' AS breakdown FROM t GROUP BY run)
+SELECT run, m.mode AS mode, m.model AS model, replace(lower(coalesce(m.retrieval_method, '')), 'sparce', 'sparse') AS retrieval_method, m.prompt_version AS prompt_version, breakdown AS refusal_type_breakdown,
+    rank() OVER (ORDER BY coalesce(m.model, ''), replace(lower(coalesce(m.retrieval_method, '')), 'sparce', 'sparse'), coalesce(m.top_k, -1)) AS position FROM f LEFT JOIN j USING (run)""")
 def run_summary_breakdown(spark, folder):
-    return S.order_runs(S.run_summary(_runs(spark, folder))).select("run", "mode", "model", "retrieval_method", "prompt_version", "refusal_type_breakdown")
+    out = S.with_positions(S.run_summary(runs_of(spark, folder)))
+    return out.select("run", "mode", "model", "retrieval_method", "prompt_version", "refusal_type_breakdown", F.col("position").cast("bigint").alias("position"))
 
 
 def _conditional_sql() -> str:
@@ -236,7 +243,7 @@ def _conditional_sql() -> str:
 
 @CATALOGUE.query("conditional_refusal", _conditional_sql())
 def conditional_refusal(spark, folder):
-    out = S.conditional_refusal(_runs(spark, folder)).drop("mode", "model", "temperature", "top_k", "retrieval_method", "hybrid_alpha", "prompt_version")
+    out = S.conditional_refusal(runs_of(spark, folder)).drop("mode", "model", "temperature", "top_k", "retrieval_method", "hybrid_alpha", "prompt_version")
     return _round(out, *[f.name for f in out.schema.fields if f.dataType.typeName() == "double"])
 
 
@@ -263,7 +270,7 @@ def _compare_sql() -> str:
 
 
 @CATALOGUE.query("compare_runs", _compare_sql())
-def compare_runs(spark, folder):
+def compareruns_of(spark, folder):
     return _round(S.compare_runs(table(spark, folder, "run_log_a"), table(spark, folder, "run_log_b")), "a", "b", "delta")
 
 
@@ -281,15 +288,15 @@ def flip_counts(spark, folder):
     return S.flip_counts(table(spark, folder, "run_log_a"), table(spark, folder, "run_log_b"))
 
 
-_MODELS = f"m AS (SELECT coalesce(model, '') AS run, {_cells()} FROM runs GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY run) AS run_idx, {D.metrics()['accuracy']} AS acc, {D.metrics()['f1']} AS f1 FROM m)"
+_MODELS = f"m AS (SELECT coalesce(model, '') AS run, {cells_sql()} FROM runs GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY run) AS run_idx, {D.metrics()['accuracy']} AS acc, {D.metrics()['f1']} AS f1 FROM m)"
 
 
 @CATALOGUE.query("pairwise_runs", f"WITH {_RUNS}, {_MODELS} SELECT x.run_idx, x.run AS run_a, y.run AS run_b, {_r('y.acc - x.acc')} AS delta_accuracy, {_r('y.f1 - x.f1')} AS delta_f1 FROM i x JOIN i y ON y.run_idx = x.run_idx + 1")
-def pairwise_runs(spark, folder):
+def pairwiseruns_of(spark, folder):
     """Each model's run against the next one's."""
     from pyspark.sql import Window as W
 
-    by_model = _runs(spark, folder).withColumn("run", F.coalesce("model", F.lit("")))
+    by_model = runs_of(spark, folder).withColumn("run", F.coalesce("model", F.lit("")))
     summary = S.with_metrics(S.confusion_matrix(by_model)).withColumn("run_idx", F.row_number().over(W.orderBy("run")).cast("bigint"))
     return _round(S.pairwise_runs(summary, ["accuracy", "f1"]), "delta_accuracy", "delta_f1")
 
@@ -316,3 +323,21 @@ def answer_batch(spark, folder):
     collection = embed_column(chunks.select(F.col("ord").alias("id"), "key", F.col("text").alias("document"), "metadata"), "document", hashing_embedder())
     q = table(spark, folder, "tek17_eval_questions").filter("_ord % 100 = 0")
     return run_questions(q, collection, chunks, Settings(retrieval_method="hybrid"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_NEED = "coalesce(requires_qualification, false)"
+
+
+@CATALOGUE.query("prompts", f"""SELECT _ord, v AS version, sha256(CASE trim(lower(v)) WHEN 'relaxed' THEN {_quoted(A.PROMPTS['relaxed'])} WHEN 'strict' THEN {_quoted(A.PROMPTS['strict'])} ELSE {_quoted(A.PROMPTS['baseline'])} END
+    || CASE WHEN {_NEED} THEN {_quoted(A.QUALIFICATION)} ELSE '' END) AS system_sha256,
+    md5('Kontekst:' || chr(10) || chr(10) || coalesce(notes, '') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || CASE WHEN {_NEED} THEN {_quoted(A.QUALIFICATION.strip())} || chr(10) || chr(10) ELSE '' END || 'Spørsmål: ' || question) AS user_md5
+FROM tek17_eval_questions, (SELECT unnest(['baseline', ' Relaxed', 'strict', 'unknown']) AS v)""")
+def prompts(spark, folder):
+    """System prompts' fingerprints and user messages of all questions under four versions."""
+    q = table(spark, folder, "tek17_eval_questions").withColumn("version", F.explode(F.array(*map(F.lit, ("baseline", " Relaxed", "strict", "unknown")))))
+    need = F.col("requires_qualification")
+    return q.select("_ord", "version", A.prompt_fingerprint(A.system_prompt(F.col("version"), need)).alias("system_sha256"), F.md5(A.user_message(F.col("notes"), F.col("question"), need)).alias("user_md5"))

@@ -38,7 +38,7 @@ def hashing_embedder(dim: int = 64) -> Embed:
     def one(text: str) -> list[float]:
         v = [0.0] * dim
         for w in _WORDS((text or "").lower()):
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+            h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
             v[h % dim] += 1.0 if h >> 63 else -1.0
         n = math.sqrt(sum(x * x for x in v))
         return [x / n for x in v] if n else v
