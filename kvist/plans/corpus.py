@@ -253,9 +253,54 @@ def question_items(spark, folder):
     return Q.question_set(table(spark, folder, "tek17_dibk"), multi_share=0.25)
 
 
-@CATALOGUE.query("title_topics")
+def _cut_sql(x: str, patterns: list[str]) -> str:
+    for p in patterns:
+        x = f"regexp_replace({x}, '{p.replace('(?U)', '')}', ' ', 'g')"
+    return x
+
+
+def _topic_sql(x: str) -> str:
+    x = f"lower({x})"
+    for word, plain in T.TITLE_SYNONYMS.items():
+        x = f"regexp_replace({x}, '\\b{word}\\b', '{plain}', 'g')"
+    return f"regexp_replace(replace({x}, 'krav til', 'krav for'), '^[ .–-]+|[ .–-]+$', '', 'g')"
+
+
+_TITLE = f"trim({_cut_sql(D.strip(chr(99) + 'oalesce(title, ' + chr(39) * 2 + ')'), T.TITLE_CUTS)})"
+
+
+@CATALOGUE.query("title_topics", f"""WITH t AS (SELECT _ord, section_id, {_TITLE} AS title FROM tek17_dibk), p AS (SELECT *, {_topic_sql('title')} AS topic FROM t)
+SELECT _ord, title, CASE WHEN topic = '' THEN 'dette temaet' ELSE topic || '|' || topic || ' i et byggprosjekt' || CASE WHEN starts_with(topic, 'krav') THEN '' ELSE '|krav knyttet til ' || topic END END AS variants,
+    CASE WHEN starts_with(section_id, '§ 1-') OR starts_with(section_id, '§ 2-') THEN 'easy' ELSE 'medium' END AS difficulty FROM p""")
 def title_topics(spark, folder):
-    return table(spark, folder, "tek17_dibk").select("_ord", T.clean_title(F.col("title")).alias("title"), T.topic_variants(F.col("title")).alias("variants"), T.difficulty(F.col("section_id")).alias("difficulty"))
+    rows = table(spark, folder, "tek17_dibk")
+    return rows.select("_ord", T.clean_title(F.col("title")).alias("title"), F.array_join(T.topic_variants(F.col("title")), "|").alias("variants"), T.difficulty(F.col("section_id")).alias("difficulty"))
+
+
+def _array_sql(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@CATALOGUE.query("section_questions", f"""
+WITH s AS (SELECT {D.strip("coalesce(section_id, '')")} AS section_id, {D.strip("coalesce(title, '')")} AS title, _ord FROM tek17_dibk),
+f AS (SELECT section_id, arg_min(title, _ord) AS title, min(_ord) AS _ord FROM s WHERE section_id <> '' AND title <> '' GROUP BY section_id)
+SELECT 'auto_in_single_' || CASE WHEN _ord < 1000 THEN lpad(_ord::VARCHAR, 3, '0') ELSE _ord::VARCHAR END AS id, 'in_scope_single' AS question_type, replace(replace({_array_sql(Q.TITLES)}[_ord % {len(Q.TITLES)} + 1], '{{0}}', section_id), '{{1}}', lower(title)) AS question,
+    section_id AS target, CASE WHEN starts_with(section_id, '§ 1-') OR starts_with(section_id, '§ 2-') THEN 'easy' ELSE 'medium' END AS difficulty, false AS should_refuse FROM f""")
+def section_questions(spark, folder):
+    """A question about each section, by its title; numbered by the section's line."""
+    rows = Q.sections(table(spark, folder, "tek17_dibk")).withColumn("idx", F.col("_ord"))
+    return Q.single_items(rows, "title").select("id", "question_type", "question", F.array_join("target_sections", "|").alias("target"), "difficulty", "should_refuse")
+
+
+_REFUSE = " UNION ALL ".join(f"""SELECT 'auto_ref_{kind}_' || lpad(i::VARCHAR, 3, '0') AS id, {_array_sql(Q.WRAPPERS)}[i % {len(Q.WRAPPERS)} + 1] || {_array_sql(texts)}[i % {len(texts)} + 1] AS question, '{kind}' AS refusal_type,
+    CASE WHEN i % 3 = 0 THEN 'easy' ELSE 'medium' END AS difficulty, true AS should_refuse FROM (SELECT unnest(range(1, 41)) AS i)""" for kind, texts in (("out_of_scope", Q.OUT_OF_SCOPE), ("in_domain_missing_context", Q.MISSING_CONTEXT)))
+
+
+@CATALOGUE.query("refusal_items", _REFUSE)
+def refusal_items(spark, folder):
+    """Forty items to be refused of either kind; how many is a setting of the operator."""
+    both = Q.refusal_items(spark, 40, "out_of_scope").unionByName(Q.refusal_items(spark, 40, "in_domain_missing_context"))
+    return both.select("id", "question", "refusal_type", "difficulty", "should_refuse")
 
 
 @CATALOGUE.query("manifest_stream", CATALOGUE.oracles["latest_valid_snapshot"])
