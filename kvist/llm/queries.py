@@ -39,6 +39,18 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+_LONG = " UNION ALL ".join(f"SELECT '{t}' AS item_table, _ord AS item_ord, '{f}' AS item_field, md5({f}) AS text_md5 FROM {t} WHERE length({f}) > 800" for t, f in (("tek17_dibk", "reg_text"), ("tek17_dibk", "guidance_text"), ("tek17_chunks", "text")))
+
+
+@CATALOGUE.query("p2_whole", _LONG)
+def p2_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces' own parts, joined again: each must give the whole value; pieces over the limit give no row."""
+    own = F.struct("piece", F.expr("substring(text, overlap + 1)").alias("own"))
+    parts = _pieces(spark, folder).groupBy("item_table", "item_ord", "item_field").agg(F.array_sort(F.collect_list(own)).alias("p"), F.max(F.length("text")).alias("most"), F.max("overlap").alias("back"))
+    whole = F.array_join(F.transform("p", lambda x: x["own"]), "")
+    return parts.filter("most <= 800 AND back <= 200").select("item_table", "item_ord", "item_field", F.md5(whole).alias("text_md5"))
+
+
 @CATALOGUE.query("p4_found")
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, folder, "tek17_chunks"))
