@@ -163,7 +163,8 @@ def recall_at_k(log: DataFrame, run: str = "run") -> DataFrame:
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
     fields = ["question", "should_refuse", "model_refused", "status", "model", "full_hit", "partial_hit"]
-    one = lambda df, p: last_by_id(df).select("id", *[F.col(f).alias(f"{p}_{f}") for f in fields], F.coalesce("any_hit", "retrieval_hit").alias(f"{p}_any_hit"))
+    # Only what is compared goes into the choice of the last row.
+    one = lambda df, p: last_by_id(df.select("id", "_ord", *[F.col(f).alias(f"{p}_{f}") for f in fields], F.coalesce("any_hit", "retrieval_hit").alias(f"{p}_any_hit"))).drop("_ord")
     return one(a, "a").join(one(b, "b"), "id")
 
 

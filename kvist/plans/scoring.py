@@ -253,7 +253,7 @@ def _last(x: str) -> str:
 
 @CATALOGUE.query("last_row_by_id", f"WITH {_last('a')} SELECT k AS id, _ord, status FROM a")
 def last_row_by_id(spark, folder):
-    return S.last_by_id(table(spark, folder, "run_log_a")).select("id", "_ord", "status")
+    return S.last_by_id(table(spark, folder, "run_log_a").select("id", "_ord", "status"))
 
 
 def _compare_sql() -> str:
