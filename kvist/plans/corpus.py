@@ -292,6 +292,40 @@ def section_questions(spark, folder):
     return Q.single_items(rows, "title").select("id", "question_type", "question", F.array_join("target_sections", "|").alias("target"), "difficulty", "should_refuse")
 
 
+def _pair_sql(k: str) -> str:
+    return f"CASE WHEN len({k}) >= 2 THEN {k}[i % len({k}) + 1] || ' ' || {k}[(i + 1) % len({k}) + 1] WHEN len({k}) = 1 THEN {k}[1] END"
+
+
+_SCENARIO = "CASE " + " ".join(f"WHEN regexp_matches(lower(topic), '{p}') THEN replace({_array_sql(texts)}[i % {len(texts)} + 1], '{{}}', topic)" for p, texts in Q.SCENARIOS) + " END"
+
+
+@CATALOGUE.query("section_topics", f"""
+WITH s AS (SELECT {D.strip("coalesce(section_id, '')")} AS section_id, {D.strip("coalesce(title, '')")} AS title, {D.strip("coalesce(reg_text, '')")} AS reg, {D.strip("coalesce(guidance_text, '')")} AS gui, _ord FROM tek17_dibk),
+f AS (SELECT section_id, arg_min(title, _ord) AS title, arg_min(reg, _ord) AS reg, arg_min(gui, _ord) AS gui, min(_ord) AS i FROM s WHERE section_id <> '' AND title <> '' GROUP BY section_id),
+k AS (SELECT *, {_keywords_sql('reg')} AS kr, {_keywords_sql('gui')} AS kg, {_topic_sql(_TITLE)} AS plain FROM f),
+v AS (SELECT *, CASE WHEN plain = '' THEN ['dette temaet'] WHEN starts_with(plain, 'krav') THEN [plain, plain || ' i et byggprosjekt'] ELSE [plain, plain || ' i et byggprosjekt', 'krav knyttet til ' || plain] END AS phrases FROM k),
+t AS (SELECT *, coalesce({_pair_sql('kr')}, {_pair_sql('kg')}, phrases[i % len(phrases) + 1]) AS topic FROM v)
+SELECT section_id, topic, {_SCENARIO} AS question FROM t""")
+def section_topics(spark, folder):
+    """Each section's topic, and the question that its scenario makes of it; numbered by the section's line."""
+    rows = Q.sections(table(spark, folder, "tek17_dibk")).withColumn("topic", Q.topic(F.col("_ord")))
+    return rows.select("section_id", "topic", Q.scenario(F.col("topic"), F.col("_ord")).alias("question"))
+
+
+@CATALOGUE.query("section_groups", f"""
+WITH s AS (SELECT {D.strip("coalesce(section_id, '')")} AS section_id, {D.strip("coalesce(title, '')")} AS title, {D.strip("coalesce(chapter, '')")} AS chapter, _ord FROM tek17_dibk),
+f AS (SELECT section_id, coalesce(nullif(arg_min(chapter, _ord), ''), '(no_chapter)') AS ch FROM s WHERE section_id <> '' AND title <> '' GROUP BY section_id),
+z AS (SELECT ch, count(*) AS size FROM f GROUP BY ch HAVING count(*) >= 2),
+c AS (SELECT i, arg_min(struct_pack(ch, size), md5('17:' || i || ':' || ch)) AS c FROM z, (SELECT unnest(range(1, 41)) AS i) GROUP BY i),
+n AS (SELECT i, c.ch AS ch, least(c.size, 2 + (substr(md5('17:' || i), 1, 1) >= '8')::INT) AS k FROM c),
+m AS (SELECT i, k, section_id, row_number() OVER (PARTITION BY i ORDER BY md5('17:' || i || ':' || section_id)) AS rn FROM n JOIN f USING (ch))
+SELECT i AS idx, string_agg(section_id, '|' ORDER BY rn) AS sections FROM m WHERE rn <= k GROUP BY i""")
+def section_groups(spark, folder):
+    """Forty draws of two or three sections of one chapter; how many is a setting of the operator."""
+    groups = Q.multi_groups(Q.sections(table(spark, folder, "tek17_dibk")), 40, 17)
+    return groups.select("idx", F.array_join(F.transform("members", lambda x: x["section_id"]), "|").alias("sections"))
+
+
 _REFUSE = " UNION ALL ".join(f"""SELECT 'auto_ref_{kind}_' || lpad(i::VARCHAR, 3, '0') AS id, {_array_sql(Q.WRAPPERS)}[i % {len(Q.WRAPPERS)} + 1] || {_array_sql(texts)}[i % {len(texts)} + 1] AS question, '{kind}' AS refusal_type,
     CASE WHEN i % 3 = 0 THEN 'easy' ELSE 'medium' END AS difficulty, true AS should_refuse FROM (SELECT unnest(range(1, 41)) AS i)""" for kind, texts in (("out_of_scope", Q.OUT_OF_SCOPE), ("in_domain_missing_context", Q.MISSING_CONTEXT)))
 
