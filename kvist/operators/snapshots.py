@@ -12,19 +12,30 @@ from kvist.functions.plain import plain_section_id
 BLOCK = 64
 
 
-def number_deliveries(deliveries: DataFrame, entity: str, at: str) -> DataFrame:
+def number_deliveries(deliveries: DataFrame, entity: str, at: str, content: str | None = None) -> DataFrame:
     """Adds ``idx``, 1, 2, ... in the order of ``at`` within each entity; (entity, at) must be unique.
 
-    Numbers in two levels, so that a hot entity isn't sorted in one task: rows are counted by entity
-    and day, the days' counts are summed up (one small row per day), and each day is numbered alone.
+    content: a column; a delivery whose content is that of the one before is left out and isn't counted.
+    Numbers in two levels, so that a hot entity isn't sorted in one task: rows are compared and counted by
+    entity and day, the days' first and last contents are compared and their counts summed up (one small row
+    per day), and each day is numbered alone.
     """
-    day = F.to_date(F.col(at))
-    rows = deliveries.withColumn("_day", day)
-    days = rows.groupBy(entity, "_day").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(entity).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    days = days.select(entity, "_day", before.alias("_before"))
-    own = F.row_number().over(W.partitionBy(entity, "_day").orderBy(at))
-    return rows.join(days, [entity, "_day"]).withColumn("idx", (F.col("_before") + own).cast("long")).drop("_day", "_before")
+    rows = deliveries.withColumn("_day", F.to_date(F.col(at)))
+    in_day, of_days = W.partitionBy(entity, "_day").orderBy(at), W.partitionBy(entity).orderBy("_day")
+    first = F.row_number().over(in_day) == 1
+    news = F.lit(True) if content is None else first | ~F.col(content).eqNullSafe(F.lag(content).over(in_day))
+    rows = rows.withColumns({"_first": first, "_new": news})
+    edges = [] if content is None else [F.min_by(F.struct(content), at).alias("_head"), F.max_by(F.struct(content), at).alias("_tail")]
+    days = rows.groupBy(entity, "_day").agg(F.count_if("_new").alias("_n"), *edges)
+    # A day's first delivery is none of the new ones where the day before ended with its content.
+    same = F.lit(False) if content is None else F.coalesce(F.lag("_tail").over(of_days).eqNullSafe(F.col("_head")), F.lit(False))
+    days = days.withColumn("_same", same)
+    own = F.col("_n") - F.col("_same").cast("int")
+    before = F.coalesce(F.sum(own).over(of_days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(entity, "_day", "_same", before.alias("_before"))
+    kept = rows.join(days, [entity, "_day"]).withColumn("_new", F.col("_new") & ~(F.col("_first") & F.col("_same"))).filter("_new")
+    number = F.col("_before") + F.row_number().over(in_day)
+    return kept.withColumn("idx", number.cast("long")).drop("_day", "_before", "_first", "_new", "_same")
 
 
 def snapshot_changes(rows: DataFrame, entity: str, key: str, block: int = BLOCK) -> DataFrame:
@@ -79,10 +90,7 @@ def section_changes(manifest: DataFrame, provisions: DataFrame) -> DataFrame:
     lines = manifest.filter(valid & F.col("url").isNotNull()).select("url", at.alias("at"), "downloaded_at", "sha256", "_ord").filter("at IS NOT NULL")
     single = lines.groupBy("url", "at").agg(F.max_by(F.struct("downloaded_at", "sha256"), "_ord").alias("d")).select("url", "at", "d.*")
     # Content delivered again and again counts once: only what differs from the delivery before goes on.
-    every = number_deliveries(single, "url", "at")
-    before = every.select("url", (F.col("idx") + 1).alias("idx"), F.col("sha256").alias("before"), F.lit(True).alias("follows"))
-    news = every.join(before, ["url", "idx"], "left").filter("follows IS NULL OR NOT sha256 <=> before").select("url", "at", "downloaded_at", "sha256")
-    numbered = number_deliveries(news, "url", "at")
+    numbered = number_deliveries(single, "url", "at", "sha256")
     following = numbered.select("url", (F.col("idx") - 1).alias("idx"), F.col("downloaded_at").alias("next_label"))
     deliveries = numbered.join(following, ["url", "idx"], "left").select("url", "sha256", "idx", F.col("downloaded_at").alias("label"), "next_label")
 

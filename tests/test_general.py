@@ -79,6 +79,22 @@ def test_numbering_in_two_levels(spark):
     assert [got["u", start + datetime.timedelta(hours=5 * i)] for i in range(30)] == list(range(1, 31)) and got["v", start] == 1
 
 
+def test_numbering_leaves_out_repeated_contents(spark):
+    rng = random.Random(5)
+    start, rows, want = datetime.datetime(2022, 1, 1), [], {}
+    for url in "uvw":
+        was, n = "no content yet", 0
+        for i in range(60):
+            at, sha = start + datetime.timedelta(hours=7 * i), rng.choice(["a", "b", None, None if url == "w" else "a"])
+            rows.append((url, at, sha))
+            if sha != was:
+                was, n = sha, n + 1
+                want[url, at] = n
+    random.Random(2).shuffle(rows)
+    got = number_deliveries(spark.createDataFrame(rows, "url string, at timestamp_ntz, sha256 string"), "url", "at", "sha256")
+    assert {(r["url"], r["at"]): r["idx"] for r in got.collect()} == want
+
+
 def test_plain_section_ids(spark):
     cases = {"§ 8-5": "§ 8-5", "8-5": "§ 8-5", "§​ ８–５а ": "§ 8-5a", "": None, "​": None, "kapittel  x": "kapittel x", "§": "§"}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "a string, b string")
