@@ -151,8 +151,8 @@ def _seeds(df: DataFrame, key: str, seed: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                own = [words(t) for t in some.column(1).to_pylist()]
-                values, times = zip(*(np.unique(rolling(np.fromiter(map(codes.__getitem__, w), np.uint64, len(w)), seed), return_counts=True) for w in own))
+                coded = (np.fromiter(map(codes.__getitem__, words(t.as_py())), np.uint64) for t in some.column(1))
+                values, times = zip(*(np.unique(rolling(c, seed), return_counts=True) for c in coded))
                 n = [len(v) for v in values]
                 cols = [some.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(times).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "seed", "times"])

@@ -23,6 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ BAND = 16_384
 LIGHT, MOST_WEIGHTS = 4, 500_000
 #: Hashes under which a set's least element is one of its marks; the first one finds its leader, all of them its first links.
 MARKS = 4
+#: Rows, and bytes of texts or sets, that are worked on at once.
+PORTION_ROWS, PORTION_BYTES = 2048, 8 << 20
 #: Sequences that a task gathers before it counts them, and distinct words whose codes it keeps.
 COUNTED, KEPT_WORDS = 1 << 22, 200_000
 
@@ -50,6 +53,18 @@ _ENTRIES = "list bigint, id bigint, place bigint, span bigint, b0 bigint, b1 big
 _FAR = (1 << 21) - 1
 
 
+def _portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in portions of at most PORTION_ROWS rows and about PORTION_BYTES of a column, so that long rows don't add up."""
+    at = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > at and (held + n > PORTION_BYTES or i - at >= PORTION_ROWS):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(at)
+
+
 class _Codes(dict):
     """64-bit codes of words; starts anew when it holds KEPT_WORDS, which changes no code."""
 
@@ -114,8 +129,7 @@ def shingle_sets(df: DataFrame, order: str, text: str, shingle: int = SHINGLE, l
             return pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.int32()), pa.array([tok[often].tobytes()]), none, none, pa.nulls(1, pa.list_(pa.int64())), pa.array([n[often].tobytes()])], names=names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for some in _portions(batch, 1):
                 rows, begins, items = _sets(some.column(1).to_pylist(), codes, shingle, least)
                 if not len(rows):
                     continue
@@ -190,10 +204,10 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64)
 
 
-def _entry_batch(tok, weight, ident, whole, n, lo, hi, slack, rest, bitmap, component=()) -> pa.RecordBatch:
+def _entry_batch(tok, weight, ident, whole, n, lo, hi, slack, rest, bitmap, component=(), band: int = BAND) -> pa.RecordBatch:
     """Index entries; an entry of a long list goes to each cell of the grid that its band meets."""
     n, lo, hi, slack, rest = (v.astype(np.int64) for v in (n, lo, hi, slack, rest))
-    bands = -(-weight // BAND)
+    bands = -(-weight // band)
     many = np.flatnonzero(bands > 1)
     copies = np.ones(len(tok), np.int64)
     copies[many] = bands[many]
@@ -239,12 +253,12 @@ def _similar_enough(x: dict, a: np.ndarray, b: np.ndarray, share: Fraction) -> n
     return most >= _needed(x["lo"][a] + x["lo"][b], share)
 
 
-def _meet(x: dict, begins: np.ndarray, share: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meet(x: dict, begins: np.ndarray, share: Fraction, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of entries within each list that can't be excluded, block by block."""
     size = np.diff(begins)
     if "component" in x:  # a list of one component holds no pair that is looked for
         size = np.where(np.minimum.reduceat(x["component"], begins[:-1]) == np.maximum.reduceat(x["component"], begins[:-1]), 1, size)
-    small = np.repeat((size > 1) & (size <= BLOCK), np.diff(begins))
+    small = np.repeat((size > 1) & (size <= most), np.diff(begins))
     last = np.repeat(begins[1:], np.diff(begins))
     at = np.flatnonzero(small)
     step = 1
@@ -252,20 +266,20 @@ def _meet(x: dict, begins: np.ndarray, share: Fraction) -> Iterator[tuple[np.nda
         at = at[at + step < last[at]]
         yield at, at + step
         step += 1
-    for g in np.flatnonzero(size > BLOCK):
+    for g in np.flatnonzero(size > most):
         by = begins[g] + np.argsort(x["rest"][begins[g] : begins[g + 1]], kind="stable")
-        cuts = np.arange(0, len(by), BLOCK)
+        cuts = np.arange(0, len(by), most)
         of = lambda f, c: f.reduceat(x[c][by], cuts)
         block = {"lo": of(np.minimum, "lo"), "hi": of(np.maximum, "hi"), "slack": of(np.maximum, "slack"), "rest": of(np.maximum, "rest")}
         for i in range(len(cuts)):
             js = np.arange(i, len(cuts))
             for j in js[_fits(block, np.full(len(js), i), js, share)]:
-                p, q = by[cuts[i] : cuts[i] + BLOCK], by[cuts[j] : cuts[j] + BLOCK]
+                p, q = by[cuts[i] : cuts[i] + most], by[cuts[j] : cuts[j] + most]
                 a, b = np.repeat(p, len(q)), np.tile(q, len(p))
                 yield (a[a < b], b[a < b]) if i == j else (a, b)
 
 
-def _candidates(share: Fraction):
+def _candidates(share: Fraction, most: int):
     """Reads index entries sorted by list, and gives the pairs of ids that may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +289,7 @@ def _candidates(share: Fraction):
             x, found = _read_entries(t), []
             new = np.ones(t.num_rows, bool)
             new[1:] = x["list"][1:] != x["list"][:-1]
-            for a, b in _meet(x, np.append(np.flatnonzero(new), t.num_rows), share):
+            for a, b in _meet(x, np.append(np.flatnonzero(new), t.num_rows), share, most):
                 keep = (x["id"][a] != x["id"][b]) & (~x["crossed"][a] | (x["side"][a] != x["side"][b])) & _fits(x, a, b, share)
                 if "component" in x:
                     keep &= x["component"][a] != x["component"][b]
@@ -316,9 +330,7 @@ def _verified(share: Fraction, every: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (p for b in batches for p in _portions(b, 2)):
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             (ta, at), (tb, bt) = _lists(batch.column(2)), _lists(batch.column(3))
             la, lb, sa, sb = (batch.column(k).to_numpy().astype(np.int64) for k in range(4, 8))
@@ -345,6 +357,7 @@ class SimilarityJoin:
         if not 0 < self.share <= 1:
             raise ValueError("similarity must be over 0 and at most 1")
         self.num, self.den = self.share.numerator, self.share.denominator
+        self.block, self.band = BLOCK, BAND
         rows = materialize(sets, dictionary=False)
         keyed = rows.filter("counts IS NULL")
         keys = keyed.select("ord", "n", "k1", "k2", "marks")
@@ -393,9 +406,7 @@ class SimilarityJoin:
         order, share = self.order, self.share
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (p for b in batches for p in _portions(b, 2)):
                 ident, leader, first = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
                 (items, begins), (led, led_begins) = _lists(batch.column(2)), _lists(batch.column(3))
                 bits = _bitmaps(items, begins)
@@ -435,18 +446,16 @@ class SimilarityJoin:
 
         linked: (id, component) of sets that are connected already; its entries then bear their component.
         """
-        order, share = self.order, self.share
+        order, share, band = self.order, self.share, self.band
         schema = _ENTRIES if linked is None else f"{_ENTRIES}, component bigint"
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (p for b in batches for p in _portions(b, 2)):
                 ident, n, (items, begins) = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _lists(batch.column(2))
                 lo, hi, slack, *component = (batch.column(k).to_numpy() for k in range(3, batch.num_columns))
                 row, tok, weight, rest = order.value.prefixes(items, begins, share)
                 bits = _bitmaps(items, begins)
-                yield _entry_batch(tok, weight, ident[row], np.ones(len(row), bool), n[row], lo[row], hi[row], slack[row], rest, bits[:, row], [c[row] for c in component])
+                yield _entry_batch(tok, weight, ident[row], np.ones(len(row), bool), n[row], lo[row], hi[row], slack[row], rest, bits[:, row], [c[row] for c in component], band)
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -457,7 +466,7 @@ class SimilarityJoin:
                 n = batch.column(1).to_numpy()[row]
                 bits = np.stack([batch.column(k).to_numpy()[row] for k in (5, 6)])
                 component = [batch.column(k).to_numpy()[row] for k in range(7, batch.num_columns)]
-                yield _entry_batch(tok, weight, batch.column(0).to_numpy()[row], np.zeros(len(row), bool), n, n, n, np.zeros(len(row), np.int64), rest, bits, component)
+                yield _entry_batch(tok, weight, batch.column(0).to_numpy()[row], np.zeros(len(row), bool), n, n, n, np.zeros(len(row), np.int64), rest, bits, component, band)
 
         # What isn't a lone set: copies and followers drop out, leaders speak for their followers.
         none = F.lit(None).cast("int")
@@ -483,7 +492,7 @@ class SimilarityJoin:
         groups = materialize(followers.groupBy("leader").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("more").alias("slack")))
         first = rows.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
         entries = self._entries(followers, groups, None if every else connected(first))
-        met = entries.repartition("list").sortWithinPartitions("list").mapInArrow(_candidates(self.share), "a bigint, b bigint, wa boolean, wb boolean")
+        met = entries.repartition("list").sortWithinPartitions("list").mapInArrow(_candidates(self.share, self.block), "a bigint, b bigint, wa boolean, wb boolean")
         candidates = met.distinct()
         if every:
             candidates = candidates.unionByName(groups.select(F.col("leader").alias("a"), F.col("leader").alias("b"), F.lit(True).alias("wa"), F.lit(True).alias("wb")))
