@@ -188,3 +188,31 @@ def test_dense_blocks_agree(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(R, "BLOCK_FLOATS", 100)
     assert rows() == whole and len(whole) == 3 * sum(1 for i in range(120) if i % 9)
+
+
+def test_bm25_best_of_blocks(spark, monkeypatch):
+    """The k best equal all scores' first k, over several portions of queries, and what leaves the blocks isn't the product of both sides."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(["og", *rng.choices([f"w{x}" for x in range(40)], k=1 + i % 9)])) for i in range(2000)], "o int, t string").repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(["og", *rng.choices([f"w{x}" for x in range(40)], k=4)])) for i in range(40)], "q int, t string")
+    scored = R.bm25_scores(asked, docs, "q", "t", "o", "t")
+    want = sorted((r["qid"], r["rank"], r["ord"]) for r in R.best_first(scored, 5, F.col("score"), "ord").collect())
+    found = lambda: sorted((r["qid"], r["rank"], r["ord"]) for r in R.sparse_top_k(asked, docs, 5, "q", "t", "o", "t").collect())
+    assert scored.count() == 40 * 2000 and found() == want and R.bm25_scores(asked, docs, "q", "t", "o", "t", k=5).count() < 8000
+    monkeypatch.setattr(R, "QUERY_TOKENS", 70)
+    monkeypatch.setattr(R, "HEAVY", 20)
+    assert found() == want
+
+
+def test_bm25_of_repeated_keys(spark, tmp_path):
+    """Documents of one key add their scores, and each counts in the statistics, as in SQL."""
+    docs = spark.createDataFrame([(1, "trapp a"), (1, "trapp a"), (1, "trapp b c"), (2, "trapp"), (3, "lyd"), (None, "trapp trapp")], "o int, t string")
+    asked = spark.createDataFrame([("q", "trapp lyd"), ("q", "lyd")], "id string, q string")
+    from oracle import duck
+    from kvist.plans.ranking import _bm25_sql
+
+    docs.write.parquet(f"{tmp_path}/docs.parquet")
+    asked.write.parquet(f"{tmp_path}/asked.parquet")
+    _, want = duck(f"WITH {_bm25_sql('SELECT id AS qid, q FROM asked', 'SELECT o AS ord, t AS text FROM docs', 6)} SELECT qid, ord, round(score, 9) FROM sparse", str(tmp_path))
+    got = [(r["qid"], r["ord"], round(r["score"], 9)) for r in R.sparse_top_k(asked, docs, 6, "id", "q", "o", "t").collect()]
+    assert len(got) == 4 and sorted(got, key=str) == sorted(want, key=str)
