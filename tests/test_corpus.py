@@ -216,3 +216,15 @@ def test_bm25_of_repeated_keys(spark, tmp_path):
     _, want = duck(f"WITH {_bm25_sql('SELECT id AS qid, q FROM asked', 'SELECT o AS ord, t AS text FROM docs', 6)} SELECT qid, ord, round(score, 9) FROM sparse", str(tmp_path))
     got = [(r["qid"], r["ord"], round(r["score"], 9)) for r in R.sparse_top_k(asked, docs, 6, "id", "q", "o", "t").collect()]
     assert len(got) == 4 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_dense_by_small_pieces(spark, monkeypatch):
+    """Vectors and queries are multiplied in pieces of bounded size, whose sizes change nothing; copies tie by id."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.choices(range(-2, 3), k=4)]) for i in range(900)], "id int, v array<double>").repartition(2)
+    asked = df.filter("id % 30 = 0")
+    rows = lambda: sorted(map(tuple, R.dense_top_k(asked, df, 3, "id", "v", "id", "v").select("qid", "id", "rank").collect()))
+    whole = rows()
+    monkeypatch.setattr(R, "SCAN_ROWS", 300)
+    monkeypatch.setattr(R, "SCAN_QUERIES", 7)
+    assert rows() == whole and len(whole) == 3 * asked.filter("exists(v, x -> x <> 0)").count()
