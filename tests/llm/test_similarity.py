@@ -231,3 +231,38 @@ def test_a_third_in_one_near_group(spark, monkeypatch, query_rows):
     if query_rows == 500:
         near = most_similar(df, "id", "embedding", probes=10**6).collect()
         assert len(near) == 5 * len(rows) and all(r["neighbour"] in top[r["id"]] for r in near)
+
+
+@pytest.mark.parametrize("some", [False, True])
+def test_no_query_travels_under_a_floor(spark, monkeypatch, some):
+    """Portions of the index meet scans of all rows: pairs within and across portions, salted lists, and no shuffle in a scan's plan."""
+    import kvist.llm.similar as similar
+
+    plans = []
+    write = similar.materialize
+
+    def noted(df, **kinds):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, **kinds)
+
+    monkeypatch.setattr(similar, "HELD_FLOATS", 64 * 300)
+    monkeypatch.setattr(similar, "materialize", noted)
+    v = np.array(vectors(800))
+    v[:500] = v[0] / np.linalg.norm(v[0]) + np.random.default_rng(4).normal(size=(500, 64)) * 0.02
+    ids = [f"{i:05d}" for i in range(len(v))]
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in zip(ids, v)], "id string, embedding array<float>").repartition(5)
+    unit = v.astype(np.float32) / np.linalg.norm(v, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    fifth = np.maximum(np.sort(s, axis=1)[:, -5:-4], 0.9)
+    sure, may = ({(ids[i], ids[j]) for i, j in zip(*np.nonzero(s >= fifth + e))} for e in (1e-6, -1e-6))  # beyond rounding
+    if some:
+        got = {(r["id"], r["neighbour"]) for r in most_similar(df, "id", "embedding", floor=0.9, asks=similar.F.col("id").cast("int") % 10 == 0).collect()}
+        sure, may = ({(a, b) for a, b in x if int(a) % 10 == 0} for x in (sure, may))
+    else:
+        got = {tuple(r) for r in similar_pairs(df, "id", "embedding").collect()}
+        sure, may = ({(min(p), max(p)) for p in x} for x in (sure, may))
+    assert sure and sure <= got <= may
+    scans = [p for p in plans if "MapInArrow" in p and "cosine" in p]
+    assert len(scans) >= 4 and not any("FlatMapGroupsInArrow" in p for p in plans)
+    assert all("REPARTITION" in p or "Exchange" not in p for p in scans)
