@@ -228,3 +228,21 @@ def test_dense_by_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(R, "SCAN_ROWS", 300)
     monkeypatch.setattr(R, "SCAN_QUERIES", 7)
     assert rows() == whole and len(whole) == 3 * asked.filter("exists(v, x -> x <> 0)").count()
+
+
+@pytest.mark.parametrize("query", ["chapter_filter"])
+def test_queries_ask_blocks_for_their_best(spark, monkeypatch, query):
+    """Each search says how many it wants, and what leaves the blocks of postings is far less than all that shares a token."""
+    from kvist.plans import ranking
+
+    asked, score = [], R.bm25_scores
+
+    def noted(*args, **kinds):
+        asked.append((args, kinds, score(*args, **kinds)))
+        return asked[-1][2]
+
+    monkeypatch.setattr(R, "bm25_scores", noted)
+    ranking.CATALOGUE.queries[query](spark, "/root/testdata/sf0.01")
+    (args, kinds, found), = asked
+    whole = score(*args[:8]).count()
+    assert whole > 3000 and found.count() < whole / 4
