@@ -230,7 +230,7 @@ def test_dense_by_small_pieces(spark, monkeypatch):
     assert rows() == whole and len(whole) == 3 * asked.filter("exists(v, x -> x <> 0)").count()
 
 
-@pytest.mark.parametrize("query", ["chapter_filter", "sweep_alpha"])
+@pytest.mark.parametrize("query", ["chapter_filter", "sweep_alpha", "per_query_k"])
 def test_queries_ask_blocks_for_their_best(spark, monkeypatch, query):
     """Each search says how many it wants, and what leaves the blocks of postings is far less than all that shares a token."""
     from kvist.plans import ranking
