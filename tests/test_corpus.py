@@ -246,3 +246,40 @@ def test_queries_ask_blocks_for_their_best(spark, monkeypatch, query):
     (args, kinds, found), = asked
     whole = score(*args[:8]).count()
     assert whole > 3000 and found.count() < whole / 4
+
+
+#: The searches whose found rows meet a table, which doesn't travel for them.
+MEETING = ["context_assembly"]
+
+
+@pytest.mark.parametrize("query", MEETING)
+def test_found_rows_travel(spark, monkeypatch, query):
+    """What was found is sent to the table's rows; where it is too much for that, a shuffle gives the same rows."""
+    from kvist.plans import ranking
+
+    run = lambda: ranking.CATALOGUE.queries[query](spark, "/root/testdata/sf0.01")
+    rows = lambda df: sorted(map(str, df.collect()))
+    df = run()
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert joins and all("strategy=broadcast" in x for x in joins)
+    monkeypatch.setattr(R, "broadcast_if_small", lambda df, limit=0: df)
+    assert rows(run()) == rows(df) and df.count()
+
+
+@pytest.mark.parametrize("query", ["context_assembly"])
+def test_searches_ask_for_their_best(spark, monkeypatch, query):
+    """No more leaves the blocks of postings than what can be among the best, of all that shares a token."""
+    from kvist.plans import ranking
+
+    name = "index_scores" if "index" in query else "bm25_scores"
+    asked, score = [], getattr(R, name)
+
+    def noted(*args, **kinds):
+        asked.append((args, kinds, score(*args, **kinds)))
+        return asked[-1][2]
+
+    monkeypatch.setattr(R, name, noted)
+    ranking.CATALOGUE.queries[query](spark, "/root/testdata/sf0.01")
+    (args, kinds, found), = asked
+    whole = score(*args[:4] if "index" in query else args[:8]).count()
+    assert whole > 3000 and found.count() < whole / 4
