@@ -249,7 +249,7 @@ def test_queries_ask_blocks_for_their_best(spark, monkeypatch, query):
 
 
 #: The searches whose found rows meet a table, which doesn't travel for them.
-MEETING = ["context_assembly"]
+MEETING = ["context_assembly", "chapter_filter"]
 
 
 @pytest.mark.parametrize("query", MEETING)
