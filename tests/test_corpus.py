@@ -249,7 +249,7 @@ def test_queries_ask_blocks_for_their_best(spark, monkeypatch, query):
 
 
 #: The searches whose found rows meet a table, which doesn't travel for them.
-MEETING = ["context_assembly", "chapter_filter", "hybrid_topk", "sweep_alpha", "retrieve_hybrid", "recall_at_k"]
+MEETING = ["context_assembly", "chapter_filter", "hybrid_topk", "sweep_alpha", "retrieve_sparse", "retrieve_hybrid", "recall_at_k"]
 
 
 @pytest.mark.parametrize("query", MEETING)
@@ -266,7 +266,7 @@ def test_found_rows_travel(spark, monkeypatch, query):
     assert rows(run()) == rows(df) and df.count()
 
 
-@pytest.mark.parametrize("query", ["context_assembly", "recall_at_k", "hybrid_topk", "retrieve_hybrid"])
+@pytest.mark.parametrize("query", ["context_assembly", "recall_at_k", "retrieve_sparse", "hybrid_topk", "retrieve_hybrid"])
 def test_searches_ask_for_their_best(spark, monkeypatch, query):
     """No more leaves the blocks of postings than what can be among the best, of all that shares a token."""
     from kvist.plans import ranking
