@@ -266,7 +266,7 @@ def test_found_rows_travel(spark, monkeypatch, query):
     assert rows(run()) == rows(df) and df.count()
 
 
-@pytest.mark.parametrize("query", ["context_assembly", "recall_at_k", "retrieve_sparse", "hybrid_topk", "retrieve_hybrid"])
+@pytest.mark.parametrize("query", ["context_assembly", "recall_at_k", "retrieve_sparse", "hybrid_topk", "retrieve_hybrid", "bm25_index_topk"])
 def test_searches_ask_for_their_best(spark, monkeypatch, query):
     """No more leaves the blocks of postings than what can be among the best, of all that shares a token."""
     from kvist.plans import ranking
