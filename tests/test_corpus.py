@@ -249,7 +249,7 @@ def test_queries_ask_blocks_for_their_best(spark, monkeypatch, query):
 
 
 #: The searches whose found rows meet a table, which doesn't travel for them.
-MEETING = ["context_assembly", "chapter_filter", "hybrid_topk", "sweep_alpha", "retrieve_sparse", "retrieve_hybrid", "recall_at_k"]
+MEETING = ["context_assembly", "chapter_filter", "per_query_k", "hybrid_topk", "sweep_alpha", "retrieve_sparse", "retrieve_hybrid", "recall_at_k"]
 
 
 @pytest.mark.parametrize("query", MEETING)
